@@ -21,7 +21,7 @@ from whetstone.llm import common as C
 from whetstone.llm.components import components
 
 #: Layouts of a window: name and segments per 2^k shingles.
-LAYOUTS = (("exact", 0.8), ("exact", 1.1), ("exact", 1.8), ("delete", 0.5), ("token", 0))
+LAYOUTS = (("exact", 0.8), ("exact", 1.2), ("delete", 0.5), ("token", 0))
 #: Frequent shingles: seen so often by one task's flush, and at most so many in all (only the cost depends on them).
 HOT_LOCAL, HOT_MOST = 8, 100_000
 _DOC = "doc_id long, kind int, n long, h1 long, h2 long, k int, slack array<int>, cost array<int>, sketch array<long>"
@@ -33,7 +33,7 @@ def _most_apart(n):
 
 
 def _segment(h, m):
-    return ((h >> np.uint64(17)) % m.astype(np.uint64)).astype(np.int64)
+    return (((h >> np.uint64(9)) & np.uint64(0xFFFFFFFF)) * m.astype(np.uint64) >> np.uint64(32)).astype(np.int64)
 
 
 def _measure(k):
@@ -127,14 +127,15 @@ def _emit(k, layout, hot, nb):
             salt = lambda w, s: C.mixed((w.astype(np.uint64) << np.uint64(40)) + s.astype(np.uint64) + np.uint64(choice << 56))
             full = count > 0
             weight = np.minimum(count, 2) if kind == "delete" else full.astype(np.int64)
-            # index the cheapest segments whose weights reach the bound
-            order = np.lexsort((-weight, frequent, owner))
-            order = order[full[order]]
-            run = np.cumsum(weight[order])
-            first = np.searchsorted(owner[order], np.arange(len(m)))
-            run = run - np.concatenate(([0], run))[first[owner[order]]] - weight[order]
-            index = np.zeros(len(count), bool)
-            index[order] = (run <= _most_apart(n)[owner[order]]) & own[owner[order]]
+            # index the cheapest segments whose weights reach the bound: those that are not frequent come first
+            def ahead(of):  # the weight of such segments before each one, in its text
+                run = np.cumsum(np.where(of, weight, 0))
+                first = np.concatenate(([0], run))[np.searchsorted(owner, np.arange(len(m) + 1))]
+                return run - np.where(of, weight, 0) - first[:-1][owner], np.diff(first)
+
+            rare, total_rare = ahead(full & ~frequent)
+            rank = np.where(frequent, ahead(full & frequent)[0] + total_rare[owner], rare)
+            index = full & (rank <= _most_apart(n)[owner]) & own[owner]
             where = np.flatnonzero(full)
             key = C.mixed(C.mixed(low[where]) + high[where] * np.uint64(0x9E3779B97F4A7C15) ^ salt(window[owner[where]], seg[where]))
             yield key, index[where], owner[where]
@@ -245,6 +246,7 @@ _FOUND = "kind int, bucket int, pairs binary, members array<long>, own array<boo
 
 
 def _found(pairs, lists, nb):
+    nb = max(8, nb // 16)  # pairs are few: so many buckets keep the blobs of all tasks few, too
     b = (C.mixed(pairs[:, 0].astype(np.uint64) * np.uint64(31) + pairs[:, 1].astype(np.uint64)) % np.uint64(nb)).astype(np.int64)
     out = list(C.packed(b, np.ascontiguousarray(pairs).view("<i8,<i8").ravel())) if len(pairs) else []
     return pa.table({
@@ -269,12 +271,11 @@ def _verify(k, percent):
                 h1, o1 = C.shingles(data, at, k)
                 h2, o2 = C.shingles(*C.raw(rows.column("tb")), k)
                 n1, n2 = np.diff(o1), np.diff(o2)
-                owner = np.concatenate((np.repeat(np.arange(len(n1)), n1), np.repeat(np.arange(len(n2)), n2)))
-                h = np.concatenate((h1, h2))
-                order = np.lexsort((h, owner))
-                h, owner = h[order], owner[order]
-                same = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
-                both = np.bincount(owner[1:][same], minlength=len(n1))
+                both = np.zeros(len(n1), np.int64)
+                for i in range(len(n1)):
+                    h = np.concatenate((h1[o1[i] : o1[i + 1]], h2[o2[i] : o2[i + 1]]))
+                    h.sort()
+                    both[i] = np.count_nonzero(h[1:] == h[:-1])
                 good = (both > 0) & (100 * both >= percent * (n1 + n2 - both))
                 yield pa.RecordBatch.from_arrays([rows.column(0).filter(pa.array(good)), rows.column(1).filter(pa.array(good))], names=["a", "b"])
 
@@ -282,23 +283,30 @@ def _verify(k, percent):
 
 
 def _across(percent):
-    """Of one list of candidates: pairs of an indexed and any member from different components that sizes and sketches allow."""
+    """Of lists of candidates: pairs of an indexed and any member from different components that sizes and sketches allow."""
 
-    def run(table: pa.Table) -> pa.Table:
-        doc, own, comp, n = (table[c].to_numpy() for c in ("doc", "own", "comp", "n"))
-        sketch = np.array(table["sketch"].to_pylist(), np.int64).view(np.uint64)
-        out = []
-        own_at = np.flatnonzero(own.astype(bool))
-        for begin in range(0, len(own_at), 64):
-            rows = own_at[begin : begin + 64]
+    def one(doc, own, comp, n, sketch):
+        rows_at = np.flatnonzero(own)
+        for begin in range(0, len(rows_at), 64):
+            rows = rows_at[begin : begin + 64]
             for col in range(0, len(doc), 8192):
                 part = slice(col, col + 8192)
-                ok = (comp[rows][:, None] != comp[part][None, :]) & (100 * np.minimum(n[rows][:, None], n[part][None, :]) >= percent * np.maximum(n[rows][:, None], n[part][None, :]))
-                i, j = np.nonzero(ok)
-                apart = np.bitwise_count(sketch[rows[i]] ^ sketch[part][j]).sum(1, dtype=np.int64) if len(i) else np.zeros(0)
-                near = 7 * apart <= n[rows[i]] + n[part][j]
-                out.append(np.stack((doc[rows[i[near]]], doc[part][j[near]]), 1))
-        p = np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), np.int64)
+                x, y = n[rows][:, None], n[part][None, :]
+                i, j = np.nonzero((comp[rows][:, None] != comp[part][None, :]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)))
+                if len(i):
+                    apart = np.bitwise_count(sketch[rows[i]] ^ sketch[part][j]).sum(1, dtype=np.int64)
+                    near = 7 * apart <= n[rows[i]] + n[part][j]
+                    yield np.stack((doc[rows[i[near]]], doc[part][j[near]]), 1)
+
+    def run(table: pa.Table) -> pa.Table:
+        g, doc, comp, n = (table[c].to_numpy() for c in ("g", "doc", "comp", "n"))
+        own = table["own"].to_numpy().astype(bool)
+        sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, 8)
+        order = np.argsort(g, kind="stable")
+        out = [np.zeros((0, 2), np.int64)]
+        for at in np.split(order, np.flatnonzero(np.diff(g[order])) + 1):
+            out += one(doc[at], own[at], comp[at], n[at], sketch[at])
+        p = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
         return pa.table({"a": pa.array(p[:, 0], pa.int64()), "b": pa.array(p[:, 1], pa.int64())})
 
     return run
@@ -329,9 +337,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def hot(h):
         v = known.value
-        if not len(v):
-            return np.zeros(len(h), bool)
-        return v[np.minimum(np.searchsorted(v, h), len(v) - 1)] == h
+        out = np.zeros(len(h), bool)
+        if len(v):
+            marks = np.zeros(1 << 20, bool)
+            marks[v >> np.uint64(44)] = True
+            at = np.flatnonzero(marks[h >> np.uint64(44)])
+            out[at] = v[np.minimum(np.searchsorted(v, h[at]), len(v) - 1)] == h[at]
+        return out
 
     nb = C.buckets(spark)
     keyed = docs.mapInArrow(_emit(shingle_words, layout, hot, nb), "bucket int, low long, short boolean, rows binary")
@@ -360,7 +372,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = C.durable(lists.join(classes.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
     mixed = named.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("g")
     open_ = named.join(mixed, "g", "left_semi").join(info.select(F.col("doc_id").alias("doc"), "n", "sketch"), "doc")
-    rest = C.durable(open_.groupBy("g").applyInArrow(_across(75), "a long, b long").distinct())
+    rest = C.durable(open_.groupBy(F.pmod("g", F.lit(nb)).alias("bucket")).applyInArrow(_across(75), "a long, b long").distinct())
     if not rest.isEmpty():
         more = links(rest)
         if not more.isEmpty():

@@ -173,18 +173,40 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.stack((doc[first], start[first], reach[last]), 1)
 
 
-_OUT = "kind int, bucket int, low long, thin boolean, doc_id long, rows binary"
+_OUT = "kind int, bucket int, low long, thin boolean, rows binary"
 
 
-def _table(kinds, buckets, lows, thins, docs, rows):
-    return dict(kind=pa.array(kinds, pa.int32()), bucket=pa.array(buckets, pa.int32()), low=pa.array(lows, pa.int64()), thin=pa.array(thins, pa.bool_()), doc_id=pa.array(docs, pa.int64()), rows=pa.array(rows, pa.binary()))
+def _table(kinds, buckets, lows, thins, rows):
+    return dict(kind=pa.array(kinds, pa.int32()), bucket=pa.array(buckets, pa.int32()), low=pa.array(lows, pa.int64()), thin=pa.array(thins, pa.bool_()), rows=pa.array(rows, pa.binary()))
 
 
-def _spans_by_doc(spans: np.ndarray) -> list[tuple[int, bytes]]:
-    if not len(spans):
-        return []
-    cuts = np.flatnonzero(np.diff(spans[:, 0])) + 1
-    return [(int(x[0, 0]), np.ascontiguousarray(x[:, 1:]).tobytes()) for x in np.split(spans, cuts)]
+def _by_doc(kind: int, rows: np.ndarray, doc: np.ndarray, nd: int) -> dict:
+    """Rows about documents as a blob for each of nd parts of all ids."""
+    out = list(C.packed((C.mixed(np.ascontiguousarray(doc).view(np.uint64)) % np.uint64(nd)).astype(np.int64), rows))
+    n = len(out)
+    return _table([kind] * n, [b for b, _ in out], [None] * n, [None] * n, [x for _, x in out])
+
+
+_SPAN = np.dtype([("doc", "<i8"), ("start", "<i8"), ("end", "<i8")])
+
+
+def _spans(kind: int, spans: np.ndarray, nd: int) -> dict:
+    return _by_doc(kind, np.ascontiguousarray(spans, np.int64).view(_SPAN).ravel() if len(spans) else np.zeros(0, _SPAN), spans[:, 0], nd)
+
+
+def _each_doc(kind: np.dtype, merge: bool):
+    """From blobs by part of all ids to one blob for each document, without its id."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = C.unpacked([x for c in table["rows"].chunks for x in c], kind)
+        if merge:
+            rows = np.ascontiguousarray(_merged(rows["doc"], rows["start"], rows["end"])).view(_SPAN).ravel()
+        rows = rows[np.argsort(rows["doc"], kind="stable")]
+        cuts = np.flatnonzero(np.diff(rows["doc"])) + 1
+        parts = np.split(rows, cuts)
+        return pa.table({"doc_id": pa.array([int(x["doc"][0]) for x in parts], pa.int64()), "rows": pa.array([x.tobytes() for x in parts], pa.binary())})
+
+    return run
 
 
 def _thin(rows: np.ndarray) -> tuple[int, bool, np.ndarray]:
@@ -213,7 +235,7 @@ def _wide(low: int, thin: bool, blob) -> np.ndarray:
     return out
 
 
-def _map(length, nb):
+def _map(length, nb, nd):
     def run(batches):
         held, size = [], 0
 
@@ -221,43 +243,41 @@ def _map(length, nb):
             rows, spans = _collapse(np.concatenate(held), length)
             low, thin, less = _thin(rows)
             out = list(C.packed((C.mixed(rows["key"]) % np.uint64(nb)).astype(np.int64), less))
-            docs = _spans_by_doc(spans)
-            return pa.RecordBatch.from_pydict(_table([0] * len(out) + [1] * len(docs), [b for b, _ in out] + [None] * len(docs), [low] * len(out) + [None] * len(docs), [thin] * len(out) + [None] * len(docs), [None] * len(out) + [d for d, _ in docs], [x for _, x in out] + [x for _, x in docs]))
+            n = len(out)
+            yield pa.RecordBatch.from_pydict(_table([0] * n, [b for b, _ in out], [low] * n, [thin] * n, [x for _, x in out]))
+            yield pa.RecordBatch.from_pydict(_spans(1, spans, nd))
 
         for batch in batches:
             for rows, data, at in C.slices(batch, "text"):
                 held.append(_anchors(data, at, rows.column("doc_id").to_numpy(zero_copy_only=False), length))
                 size += len(held[-1])
                 if 2 * size >= C.FLUSH_ROWS:
-                    yield flush()
+                    yield from flush()
                     held, size = [], 0
         if size:
-            yield flush()
+            yield from flush()
 
     return run
 
 
-_ASK = np.dtype([("key", "<u8"), ("start", "<i8"), ("n", "<i8")])
+_ASK = np.dtype([("doc", "<i8"), ("key", "<u8"), ("start", "<i8"), ("n", "<i8")])
 
 
-def _reduce(length):
+def _reduce(length, nd):
     """Kind 1: spans of a document; kind 2: the fragments that suffix sorting needs, by document."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table["kind"][0].as_py() == 1:
+            spans = C.unpacked([x for c in table["rows"].chunks for x in c], _SPAN)
+            return pa.table(_spans(1, _merged(spans["doc"], spans["start"], spans["end"]), nd))
         rows = np.concatenate([_wide(*x) for x in zip(table["low"].to_pylist(), table["thin"].to_pylist(), (x for c in table["rows"].chunks for x in c), strict=True)])
         rows, spans = _collapse(rows, length)
         new = np.concatenate(([True], rows["key"][1:] != rows["key"][:-1]))
         group = np.cumsum(new) - 1
         rows = rows[np.bincount(group)[group] > 1]
         ask = np.empty(len(rows), _ASK)
-        ask["key"], ask["start"], ask["n"] = rows["key"], rows["pos"] - rows["left"], rows["left"].astype(np.int64) + rows["right"]
-        order = np.argsort(rows["doc"], kind="stable")
-        doc, ask = rows["doc"][order], ask[order]
-        cuts = np.flatnonzero(np.diff(doc)) + 1
-        asks = [(int(d), x.tobytes()) for d, x in zip(doc[np.concatenate(([0], cuts))], np.split(ask, cuts), strict=True)] if len(doc) else []
-        docs = _spans_by_doc(spans)
-        n, m = len(docs), len(asks)
-        return pa.table(_table([1] * n + [2] * m, [None] * (n + m), [None] * (n + m), [None] * (n + m), [d for d, _ in docs + asks], [x for _, x in docs + asks]))
+        ask["doc"], ask["key"], ask["start"], ask["n"] = rows["doc"], rows["key"], rows["pos"] - rows["left"], rows["left"].astype(np.int64) + rows["right"]
+        return pa.concat_tables([pa.table(_spans(1, spans, nd)), pa.table(_by_doc(2, ask, ask["doc"], nd))])
 
     return run
 
@@ -270,10 +290,9 @@ def _fragments(nb):
             held: dict[int, list[tuple[int, int, int, bytes]]] = {}
             for doc, text, asks in zip(batch["doc_id"].to_pylist(), batch["text"], batch["asks"].to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                for blob in asks:
-                    a = np.frombuffer(blob, _ASK)
-                    for b, key, s, n in zip((C.mixed(a["key"]) % np.uint64(nb)).tolist(), a["key"].tolist(), a["start"].tolist(), a["n"].tolist(), strict=True):
-                        held.setdefault(b, []).append((key, doc, s, raw[s : s + n]))
+                a = np.frombuffer(asks, _ASK)
+                for b, key, s, n in zip((C.mixed(a["key"]) % np.uint64(nb)).tolist(), a["key"].tolist(), a["start"].tolist(), a["n"].tolist(), strict=True):
+                    held.setdefault(b, []).append((key, doc, s, raw[s : s + n]))
             ks = list(held)
             head = [np.array([x[:3] + (len(x[3]),) for x in held[k]], np.int64).tobytes() for k in ks]
             yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(head, pa.binary()), pa.array([b"".join(x[3] for x in held[k]) for k in ks], pa.binary())], names=["bucket", "head", "bytes"])
@@ -281,7 +300,7 @@ def _fragments(nb):
     return run
 
 
-def _sort(length):
+def _sort(length, nd):
     def run(table: pa.Table) -> pa.Table:
         head = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 4) for x in table["head"].to_pylist()])
         data = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8)
@@ -297,9 +316,7 @@ def _sort(length):
             last = int(same[max(k - 1, np.searchsorted(same, first, "right"))]) if len(same) else len(head)
             out.append(_classes(head[first:last], at[first:last], data, length))
             first = last
-        docs = _spans_by_doc(_merged(*np.concatenate(out).T))
-        n = len(docs)
-        return pa.table(_table([1] * n, [None] * n, [None] * n, [None] * n, [d for d, _ in docs], [x for _, x in docs]))
+        return pa.table(_spans(1, _merged(*np.concatenate(out).T), nd))
 
     return run
 
@@ -334,12 +351,11 @@ def _cut(digests):
     def run(batches):
         for batch in batches:
             n, gone, spans, kept = [], [], [], []
-            for text, blobs in zip(batch["text"], batch["spans"].to_pylist(), strict=True):
+            for text, blob in zip(batch["text"], batch["spans"].to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes()
-                runs = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in blobs]) if blobs else np.zeros((0, 2), np.int64)
-                runs = _merged(np.zeros(len(runs), np.int64), runs[:, 0], runs[:, 1])[:, 1:]
-                ends = [0, *runs[:, 1].tolist()]
-                rest = b"".join([raw[a:b] for a, b in zip(ends, [*runs[:, 0].tolist(), len(raw)], strict=True)])
+                runs = np.frombuffer(blob or b"", _SPAN)
+                ends = [0, *runs["end"].tolist()]
+                rest = b"".join([raw[a:b] for a, b in zip(ends, [*runs["start"].tolist(), len(raw)], strict=True)])
                 n.append(len(raw))
                 gone.append(len(raw) - len(rest))
                 spans.append(len(runs))
@@ -358,12 +374,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     nb = C.buckets(spark)
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), C.text_column(docs, text_col).alias("text")).where("doc_id is not null")
-    mapped = C.durable(docs.mapInArrow(_map(length, nb), _OUT).repartition(nb, F.coalesce("bucket", F.xxhash64("doc_id"))))
-    reduced = C.durable(mapped.where("kind = 0").groupBy("bucket").applyInArrow(_reduce(length), _OUT))
-    asks = reduced.where("kind = 2").groupBy("doc_id").agg(F.collect_list("rows").alias("asks"))
-    fragments = docs.join(asks, "doc_id").select("doc_id", "text", "asks").mapInArrow(_fragments(nb), "bucket int, head binary, bytes binary")
-    sorted_ = C.durable(fragments.groupBy("bucket").applyInArrow(_sort(length), _OUT))
-    parts = [x.where("kind = 1").select("doc_id", "rows") for x in (mapped, reduced, sorted_)]
-    spans = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("doc_id").agg(F.collect_list("rows").alias("spans"))
-    both = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    nd = max(8, nb // 8)
+    mapped = docs.mapInArrow(_map(length, nb, nd), _OUT)
+    # kind 0 is grouped by the anchors' buckets, kind 1 by the documents'
+    reduced = C.durable(mapped.groupBy("kind", "bucket").applyInArrow(_reduce(length, nd), _OUT))
+    asks = C.durable(reduced.where("kind = 2").groupBy("bucket").applyInArrow(_each_doc(_ASK, False), "doc_id long, rows binary"))
+    fragments = docs.join(asks, "doc_id").select("doc_id", "text", F.col("rows").alias("asks")).mapInArrow(_fragments(nb), "bucket int, head binary, bytes binary")
+    sorted_ = C.durable(fragments.groupBy("bucket").applyInArrow(_sort(length, nd), _OUT))
+    parts = [x.where("kind = 1").select("bucket", "rows") for x in (reduced, sorted_)]
+    spans = C.durable(parts[0].unionByName(parts[1]).groupBy("bucket").applyInArrow(_each_doc(_SPAN, True), "doc_id long, rows binary"))
+    both = docs.join(spans.withColumnRenamed("rows", "spans"), "doc_id", "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_cut(digests), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if digests else 'binary'}")
