@@ -31,3 +31,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def load() -> None:
+    """Imports every module that registers queries."""
+    import importlib
+    import pkgutil
+
+    from whetstone import plans
+
+    for m in pkgutil.iter_modules(plans.__path__):
+        importlib.import_module(f"whetstone.plans.{m.name}")
+
+
+load()
