@@ -22,7 +22,7 @@ from whetstone.llm import common as C
 #: Bytes of an anchor; anchors are the least of LENGTH - GRAM + 1 neighbours.
 GRAM = 40
 #: Bytes that one suffix sort takes, beyond the fragments of a single anchor.
-SORT_BYTES = 1_500_000
+SORT_BYTES = 200_000
 #: Symbols in a 63-bit word of nine-bit symbols.
 SYMBOLS = 7
 
@@ -48,22 +48,28 @@ def two_stage(text: np.ndarray, depth: int = 105) -> tuple[np.ndarray, np.ndarra
     smaller = step[np.minimum(nxt, n - 1)] > 0  # than its successor
     smaller[n - 1] = True  # nothing induces it
 
-    # first stage: sort directly, only ties going on to the next word
+    # first stage: sort directly, only ties going on to the next word; words are compared by their ranks, so that a tie's
+    # group and word fit one number
+    order = np.argsort(words[:n])
+    rank = np.zeros(n + depth + SYMBOLS, np.uint64)
+    ordered = words[order]
+    rank[order] = np.cumsum(np.concatenate(([True], ordered[1:] != ordered[:-1]))).astype(np.uint64)
     direct = np.flatnonzero(smaller)
-    order = np.argsort(words[direct], kind="stable")
-    direct = direct[order]
-    head = np.concatenate(([True], words[direct[1:]] != words[direct[:-1]]))
+    key = rank[direct]
+    order = np.argsort(key)
+    direct, key = direct[order], key[order]
+    head = np.concatenate(([True], key[1:] != key[:-1]))
+    at = np.arange(len(direct))
     for j in range(SYMBOLS, depth, SYMBOLS):
-        alone = head & np.concatenate((head[1:], [True]))
-        at = np.flatnonzero(~alone)
+        h = head[at]
+        at = at[~(h & np.concatenate((h[1:], [True])))]
         if not len(at):
             break
-        group = np.cumsum(head)[at]
-        key = words[direct[at] + j]
-        order = np.lexsort((key, group))
-        direct[at] = direct[at][order]
-        key, group = key[order], group[order]
-        head[at] |= np.concatenate(([True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])))
+        key = (np.cumsum(head[at]).astype(np.uint64) << np.uint64(32)) | rank[direct[at] + j]
+        order = np.argsort(key)
+        direct[at] = direct[at[order]]
+        key = key[order]
+        head[at] = np.concatenate(([True], key[1:] != key[:-1]))
 
     # second stage: one scan over the buckets induces the rest
     symbols = int(t.max()) + 1
@@ -94,19 +100,23 @@ def two_stage(text: np.ndarray, depth: int = 105) -> tuple[np.ndarray, np.ndarra
             done = upto
         push(sorted_[end[c] - count[c] : end[c]])
 
-    common = np.zeros(n, np.int64)
-    open_ = np.arange(1, n)
-    for j in range(0, depth, SYMBOLS):
-        apart = words[sorted_[open_] + j] ^ words[sorted_[open_ - 1] + j]
-        high = np.frexp(apart.astype(np.float64))[1]
-        # a float may round up to the next power of two: then one symbol less is claimed and the next line corrects it
-        same = np.where(apart == 0, SYMBOLS, (63 - high) // 9)
-        more = np.minimum(same + 1, SYMBOLS)
-        shift = (np.uint64(9) * (SYMBOLS - more).astype(np.uint64))
-        same = np.where((apart >> shift) == 0, more, same)
-        common[open_] += same
-        open_ = open_[apart == 0]
-    return sorted_, np.minimum(common, depth)
+    # adjacent common prefixes by halves: 8, 4, 2 and 1 words (longer stretches as hashes of their halves), then symbols
+    sizes = [words]
+    while SYMBOLS << len(sizes) < depth:
+        x = sizes[-1]
+        width = SYMBOLS << (len(sizes) - 1)
+        sizes.append(C.mixed(x + np.concatenate((x[width:], np.zeros(width, np.uint64))) * np.uint64(0x9E3779B97F4A7C15)))
+    a, b = sorted_[1:].copy(), sorted_[:-1].copy()
+    for i in reversed(range(len(sizes))):
+        step = np.where(sizes[i][a] == sizes[i][b], SYMBOLS << i, 0)
+        a += step
+        b += step
+    apart = words[np.minimum(a, len(words) - 1)] ^ words[np.minimum(b, len(words) - 1)]
+    same = np.zeros(n - 1, np.int64)
+    for j in range(1, SYMBOLS):
+        same += (apart >> np.uint64(9 * (SYMBOLS - j))) == 0
+    common = np.concatenate(([0], np.minimum(a - sorted_[1:] + same, depth)))
+    return sorted_, common
 
 
 _ROW = np.dtype([("key", "<u8"), ("frag", "<u8"), ("doc", "<i8"), ("pos", "<i8"), ("a", "u1"), ("b", "u1"), ("left", "u1"), ("right", "u1")])
