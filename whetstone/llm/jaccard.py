@@ -23,7 +23,9 @@ from whetstone.llm.components import components
 #: Layouts of a window: name and segments per 2^k shingles.
 LAYOUTS = (("exact", 0.8), ("exact", 1.2), ("delete", 0.5), ("token", 0))
 #: Frequent shingles: seen so often by one task's flush, and at most so many in all (only the cost depends on them).
-HOT_LOCAL, HOT_MOST = 8, 100_000
+HOT_LOCAL, HOT_MOST = 3, 400_000
+#: Bits of a set's parity sketch: two sets differ in at least as many shingles as their sketches in bits.
+SKETCH = 2048
 _DOC = "doc_id long, kind int, n long, h1 long, h2 long, k int, slack array<int>, cost array<int>, sketch array<long>"
 
 
@@ -45,7 +47,7 @@ def _measure(k):
                 return []
             v, c = np.unique(np.concatenate(gathered), return_counts=True)
             v, c = v[c >= HOT_LOCAL], c[c >= HOT_LOCAL]
-            top = np.argsort(-c, kind="stable")[:20_000]
+            top = np.argsort(-c, kind="stable")[:50_000]
             return [_rows(None, len(top), kind=1, h1=v[top].view(np.int64), n=c[top])]
 
         for batch in batches:
@@ -67,7 +69,7 @@ def _measure(k):
                     cost.append(full + n if kind == "delete" else full)
                 slack.append(n - _most_apart(n) - 1)
                 cost.append(2 * n)
-                bits = np.bincount(text * 512 + (h & np.uint64(511)).astype(np.int64), minlength=512 * len(n)).reshape(-1, 512) & 1
+                bits = np.bincount(text * SKETCH + (h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH * len(n)).reshape(-1, SKETCH) & 1
                 sketch = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
                 yield _rows(rows.column("doc_id"), len(n), kind=0, n=n, h1=C.mixed(high).view(np.int64), h2=C.mixed(low ^ (high << np.uint64(40))).view(np.int64), k=w, slack=np.array(slack).T, cost=np.array(cost).T, sketch=sketch)
                 gathered.append(h)
@@ -301,7 +303,7 @@ def _across(percent):
     def run(table: pa.Table) -> pa.Table:
         g, doc, comp, n = (table[c].to_numpy() for c in ("g", "doc", "comp", "n"))
         own = table["own"].to_numpy().astype(bool)
-        sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, 8)
+        sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH // 64)
         order = np.argsort(g, kind="stable")
         out = [np.zeros((0, 2), np.int64)]
         for at in np.split(order, np.flatnonzero(np.diff(g[order])) + 1):
@@ -350,22 +352,21 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = C.durable(keyed.groupBy("bucket").applyInArrow(_groups(nb), _FOUND))
 
     info = sets.where("n > 0").groupBy("doc_id").agg(F.max_by(F.struct("n", "sketch", "h1", "h2"), "n").alias("x")).select("doc_id", "x.*")
-    texts = docs
 
-    def links(pairs: DataFrame) -> DataFrame:
+    def links(pairs: DataFrame, large: bool) -> DataFrame:
         x, y = (info.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
-        apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(8)), F.lit(0))
+        apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH // 64)), F.lit(0))
         near = C.durable(pairs.join(x, "a").join(y, "b").where((100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")) & (7 * apart <= F.col("na") + F.col("nb"))).select("a", "b"))
-        ids = C.durable(near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct())
-        some = C.durable(texts.join(ids, "doc_id", "left_semi"))
-        ta, tb = (some.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+        # the pairs have no bound, so they are not to be broadcast; both joins read one exchange of the texts
+        ta, tb = (docs.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+        near = near.hint("merge") if large else near
         both = near.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
         return C.durable(both.mapInArrow(_verify(shingle_words, 75), "a long, b long").distinct())
 
     twins = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("b"))
     equal = C.durable(sets.where("n > 0").join(twins, ["n", "h1", "h2"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct())
     pairs = C.durable(found.where("kind = 0").groupBy("bucket").applyInArrow(_distinct, "a long, b long"))
-    edges = equal.unionByName(links(pairs))
+    edges = equal.unionByName(links(pairs, True))
     classes = C.durable(components(edges))
 
     lists = found.where("kind = 1").select("members", "own").distinct().select(F.xxhash64("members", "own").alias("g"), F.explode(F.arrays_zip("members", "own")).alias("x")).select("g", F.col("x.members").alias("doc"), F.col("x.own").alias("own"))
@@ -374,7 +375,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = named.join(mixed, "g", "left_semi").join(info.select(F.col("doc_id").alias("doc"), "n", "sketch"), "doc")
     rest = C.durable(open_.groupBy(F.pmod("g", F.lit(nb)).alias("bucket")).applyInArrow(_across(75), "a long, b long").distinct())
     if not rest.isEmpty():
-        more = links(rest)
+        more = links(rest, False)
         if not more.isEmpty():
             classes = C.durable(components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
     return sets.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
