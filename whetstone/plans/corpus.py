@@ -130,9 +130,9 @@ def a21(r):
     return per.groupBy(platform.alias("platform")).agg(_r6(F.count_if("bought") / F.nullif(F.count("*"), F.lit(0))).alias("rate"))
 
 
-@query("a22_arpu", "SELECT strftime(o_orderdate, '%Y-%m') AS m, round(sum(o_totalprice) / count(DISTINCT o_custkey), 2) AS arpu FROM orders GROUP BY 1")
+@query("a22_arpu", "SELECT strftime(o_orderdate, '%Y-%m') AS m, round(sum(o_totalprice) / count(DISTINCT o_custkey), 6) AS arpu FROM orders GROUP BY 1")
 def a22(r):
-    return r("orders").groupBy(_month("o_orderdate").alias("m")).agg(_r2(F.sum("o_totalprice") / F.count_distinct("o_custkey")).alias("arpu"))
+    return r("orders").groupBy(_month("o_orderdate").alias("m")).agg(_r6(F.sum("o_totalprice") / F.count_distinct("o_custkey")).alias("arpu"))
 
 
 @query("a23_daily_trend", f"SELECT strftime(ts, '%Y-%m-%d') AS d, count(*) AS n, round(100.0 * count(*) FILTER (WHERE event_type <> 'error') / count(*), 4) AS ok_pct FROM events WHERE ts >= TIMESTAMP '{NOW_EVENTS}' - INTERVAL 14 DAYS GROUP BY 1")
