@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 #: One word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are hashed in slices of about this many bytes; a longer document is a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 800_000
 #: Rows that a map task gathers before it writes packed blobs.
-FLUSH_ROWS = 2_000_000
+FLUSH_ROWS = 1_200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
