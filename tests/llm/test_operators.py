@@ -179,11 +179,11 @@ def test_near_lines(spark):
     text = dict(rows)
 
     def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, prev = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y)))
+        b, steps = np.array(list(b)), np.arange(len(b) + 1)
+        row = steps
+        for x in a:
+            row = np.concatenate((row[:1] + 1, np.minimum(row[1:] + 1, row[:-1] + (b != x))))
+            row = np.minimum.accumulate(row - steps) + steps
         return row[-1]
 
     links = [(a, b) for a in text for b in text if a < b and (sim[a] ^ sim[b]).bit_count() <= lines.BITS and distance(text[a], text[b]) <= len(max(text[a], text[b], key=len)) // 10]
@@ -191,6 +191,24 @@ def test_near_lines(spark):
     assert {x.doc_id for x in lines.dedup_lines(df).where("n_removed = 0").collect()} == {i for i in text if want[i] == i}
 
 
+def test_within():
+    """Bounded edit distance against the full table, over small alphabets and edited copies."""
+    r = random.Random(4)
+    for _ in range(400):
+        a = [r.choice("ab" if r.random() < 0.5 else "abcdefgh") for _ in range(r.randint(0, 40))]
+        b = list(a) if r.random() < 0.7 else [r.choice("ab") for _ in range(r.randint(0, 40))]
+        for _ in range(r.randint(0, 6)):
+            at = r.randint(0, len(b))
+            b[at : at + r.randint(0, 2)] = r.choice(["", "a", "xy"])
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, prev = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y)))
+        for most in range(10):
+            assert lines.within(np.array(a, "U1"), np.array(b, "U1"), most) == (row[-1] <= most), (a, b, most)
+
+
 def test_mixing(spark, docs, texts, none):
     got = mixing.mix(docs).collect()
     size = {i: len(WORD.findall(t or "")) for i, t in texts.items()}
