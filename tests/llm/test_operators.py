@@ -191,6 +191,21 @@ def test_near_lines(spark):
     assert {x.doc_id for x in lines.dedup_lines(df).where("n_removed = 0").collect()} == {i for i in text if want[i] == i}
 
 
+def test_near_lines_without_bits(spark):
+    """Every line within the edit similarity of another goes with it, whatever bits their SimHashes differ in."""
+    r = random.Random(12)
+    rows = []
+    for i in range(150):  # pairs of which the second has one or two other words
+        w = _prose(1000 + i, r.randint(12, 60)).split()
+        rows.append((2 * i, " ".join(w)))
+        for _ in range(r.randint(1, 2) if len(w) > 30 else 1):
+            w[r.randrange(len(w))] = f"w{r.randrange(100)}"
+        rows.append((2 * i + 1, " ".join(w)))
+    near = [i for i in range(150) if lines.within(*(np.array(list(rows[2 * i + k][1])) for k in range(2)), max(len(rows[2 * i + k][1]) for k in range(2)) // 10)]
+    gone = {x.doc_id for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).where("n_removed > 0").collect()}
+    assert len(near) > 100 and gone <= {2 * i + 1 for i in near} and len(gone) >= 0.98 * len(near)
+
+
 def test_within():
     """Bounded edit distance against the full table, over small alphabets and edited copies."""
     r = random.Random(4)
