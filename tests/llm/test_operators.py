@@ -321,6 +321,19 @@ def test_cutoffs(spark):
     assert few["cut_symbols"] == math.inf
 
 
+def test_cutoffs_of_small_strata(spark):
+    """Strata too small to certify anything alone are tested together; a large one stays by itself."""
+    def cut(sizes):
+        n = sum(sizes.values())
+        lang = [k for k, v in sizes.items() for _ in range(v)]
+        rows = spark.createDataFrame([(i, k, False, 0.01, 0.0, 0.0, 0.0, 5.0) for i, k in enumerate(lang)], "doc_id long, stratum string, base_failed boolean, symbols double, dup_lines double, repeats double, upper double, word_length double")
+        return {r["stratum"]: (r["tested_as"], r["n"], r["cut_symbols"], r["rejected_symbols"]) for r in rules.cutoffs(rows, spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))).collect()}
+
+    assert cut({"en": 2000, "fr": 500, "de": 500, "es": 300}) == {k: ("small", 3300, 0.03, 0) for k in ("en", "fr", "de", "es")}
+    assert cut({"en": 6000, "fr": 500, "de": 400}) == {"en": ("en", 6000, 0.03, 0), "fr": ("all", 6900, 0.03, 0), "de": ("all", 6900, 0.03, 0)}
+    assert cut({"en": 200, "fr": 100}) == {k: ("all", 300, math.inf, 0) for k in ("en", "fr")}
+
+
 def test_binomial_tail(spark):
     cases = [(0, 1000, 0.002), (3, 4000, 0.002), (5, 30, 0.3), (0, 5, 0.5), (190, 120_000, 0.002)]
     for k, n, p in cases:

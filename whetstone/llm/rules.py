@@ -4,7 +4,12 @@ Each rule rejects a document whose measure is above a cutoff. Per stratum and ru
 on: a cutoff holds if the exact binomial tail P(X <= rejected | n, limit) of the clean labelled rows is at most
 delta / (strata * rules). The first that does not hold ends the sequence, so trying several cutoffs costs no more
 confidence (fixed-sequence testing), and the division by strata and rules (Bonferroni) covers the rest: with confidence 1 - delta
-no stratum's rule rejects more than `limit` of the clean documents. With too few labels a rule rejects nothing.
+no stratum's rule rejects more than `limit` of the clean documents.
+
+A stratum whose clean labels are too few to certify even a cutoff that rejects none of them is small. Small strata are tested
+as one pooled stratum; where they are too few together, all strata are. Which strata are pooled follows from their counts
+alone, never from what a cutoff rejects, so the correction by the number of tested strata still holds; the bound is then on the
+pool's clean documents as a whole. With too few labels in the pool, too, a rule rejects nothing.
 """
 
 from __future__ import annotations
@@ -91,24 +96,48 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
 
 
 def cutoffs(rows: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule cutoffs): of each stratum and rule the strictest cutoff that holds; infinite if none does.
+    """(stratum, tested_as, n, rule cutoffs, rule rejections): of each stratum and rule the strictest cutoff that holds.
 
-    Clean rows are those labelled 1 that the base rules keep. Null labels and ids are left out; of several labels the
-    largest counts. Strata without a label are absent.
+    A cutoff is infinite if none holds. tested_as is the stratum itself, 'small' or 'all' (module docstring), n the clean labelled rows tested and rejected_*
+    how many of them the cutoff rejects. Clean rows are those labelled 1 that the base rules keep. Null labels and ids are left
+    out; of several labels the largest counts. A stratum of rows without a label has none of its own and is small.
     """
     clean = labels.where("quality = 1").select("doc_id").distinct()
     hold = rows.where("not base_failed").join(clean, "doc_id", "left_semi")
-    counts = hold.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r, cs in CUTOFFS.items() for i, c in enumerate(cs)])
+    tries = [f"{r}_{i}" for r, cs in CUTOFFS.items() for i in range(len(cs))]
+    own = hold.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r, cs in CUTOFFS.items() for i, c in enumerate(cs)])
+    own = durable(rows.select("stratum").distinct().join(own, "stratum", "left").na.fill(0))  # a row for each stratum
+    # the least level a stratum may get is that with every stratum tested on its own: the same for all, known from counts
+    alone = own.crossJoin(F.broadcast(own.agg(F.count("*").alias("many")))).withColumn("small", F.pow(F.lit(1 - limit), F.col("n")) > delta / ((F.col("many") + 1) * len(CUTOFFS)))
+    small = alone.where("small").agg(F.lit("small").alias("as"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ["n", *tries]])
+    every = own.agg(F.lit("all").alias("as"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ["n", *tries]])
+    size = alone.agg(F.count_if(~F.col("small")).alias("large"), F.sum(F.when(F.col("small"), F.col("n")).otherwise(0)).alias("together"))
+    size = size.select(F.when(F.pow(F.lit(1 - limit), F.col("together")) > delta / ((F.col("large") + 1) * len(CUTOFFS)), "all").otherwise("small").alias("pool"))
+    placed = durable(alone.crossJoin(F.broadcast(size)).select("stratum", F.col("small").alias("pooled"), F.when(F.col("small"), F.col("pool")).alias("pool"), "n", *tries))
+    pools = small.unionByName(every).join(placed.where("pooled").select(F.col("pool").alias("as")).distinct(), "as", "left_semi")
+    counts = durable(placed.where("not pooled").select(F.lit(False).alias("pooled"), F.col("stratum").alias("as"), "n", *tries).unionByName(pools.select(F.lit(True).alias("pooled"), "as", "n", *tries)).withColumnRenamed("as", "stratum"))
     each = F.array(*[F.struct(F.lit(r).alias("rule"), F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"{r}_{i}").alias("k")) for i, c in enumerate(cs)]).alias("tries")) for r, cs in CUTOFFS.items()])
     strata = counts.agg(F.count("*").alias("strata"))
-    tests = counts.select("stratum", "n", F.explode(each).alias("x")).select("stratum", "n", "x.*").crossJoin(F.broadcast(strata))  # one row on the right
+    tests = counts.select("pooled", "stratum", "n", F.explode(each).alias("x")).select("pooled", "stratum", "n", "x.*").crossJoin(F.broadcast(strata))  # one row on the right
     level = delta / (F.col("strata") * len(CUTOFFS))
-    tried = tests.select("stratum", "rule", "n", level.alias("level"), F.posexplode("tries").alias("i", "t"))
+    tried = tests.select("pooled", "stratum", "rule", "n", level.alias("level"), F.posexplode("tries").alias("i", "t"))
     held = tried.withColumn("holds", binomial_tail(F.col("t.k"), F.col("n"), limit) <= F.col("level"))
-    stop = held.groupBy("stratum", "rule").agg(F.min(F.when(~F.col("holds"), F.col("i"))).alias("stop"), F.max("i").alias("last"), F.array_sort(F.collect_list(F.struct("i", "t.c"))).alias("cs"))
+    stop = held.groupBy("pooled", "stratum", "rule", "n").agg(F.min(F.when(~F.col("holds"), F.col("i"))).alias("stop"), F.max("i").alias("last"), F.array_sort(F.collect_list(F.struct("i", "t.c", "t.k"))).alias("cs"))
     best = F.coalesce(F.col("stop"), F.col("last") + 1)
-    chosen = stop.select("stratum", "rule", F.when(best > 0, F.get(F.col("cs"), best - 1)["c"]).otherwise(F.lit(float("inf"))).alias("cut"))
-    return chosen.groupBy("stratum").pivot("rule", list(CUTOFFS)).agg(F.first("cut")).select("stratum", *[F.col(r).alias(f"cut_{r}") for r in CUTOFFS])
+    last = F.get(F.col("cs"), best - 1)
+    chosen = stop.select("pooled", "stratum", "n", "rule", F.when(best > 0, last["c"]).otherwise(F.lit(float("inf"))).alias("cut"), F.when(best > 0, last["k"]).otherwise(0).alias("rejected"))
+    wide = chosen.groupBy("pooled", "stratum", "n").agg(*[F.max(F.when(F.col("rule") == r, F.col(c))).alias(f"{c}_{r}") for c in ("cut", "rejected") for r in CUTOFFS])
+    tested = placed.select("stratum", "pooled", F.coalesce("pool", "stratum").alias("tested_as"))
+    return tested.join(wide.withColumnRenamed("stratum", "tested_as"), ["pooled", "tested_as"]).select("stratum", "tested_as", "n", *[f"{c}_{r}" for c in ("cut", "rejected") for r in CUTOFFS])
+
+
+def rejections(judged: DataFrame, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum_col: str = "lang") -> DataFrame:
+    """(stratum, rows, base_failed, rejected, clean, clean_rejected) of judged rows: how many the base rules and the cutoffs reject. Needs distinct ids."""
+    of = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[stratum_col].cast("string"), F.lit("")).alias("stratum"))
+    good = labels.where("quality = 1").select("doc_id", F.lit(True).alias("clean")).distinct()
+    cut = ~F.col("base_failed") & ~F.col("kept")
+    clean = F.coalesce("clean", F.lit(False)) & ~F.col("base_failed")
+    return judged.join(of, "doc_id").join(good, "doc_id", "left").groupBy("stratum").agg(F.count("*").alias("rows"), F.count_if("base_failed").alias("base_failed"), F.count_if(cut).alias("rejected"), F.count_if(clean).alias("clean"), F.count_if(clean & cut).alias("clean_rejected"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
