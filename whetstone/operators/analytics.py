@@ -106,3 +106,19 @@ def scan_partitioned(df: DataFrame, column: str, low, high) -> DataFrame:
     if low is None or high is None:
         raise ValueError(f"a scan needs bounds on {column}")
     return df.where((F.col(column) >= F.lit(low)) & (F.col(column) < F.lit(high)))
+
+
+def similar_baskets(df: DataFrame, basket: str, item: str, percent: int = 50) -> DataFrame:
+    """(a, b, jaccard): all pairs a < b of baskets whose item sets have a Jaccard similarity of percent / 100 or more.
+
+    Prefix filter: sets that share enough share one of their n - ceil(n * percent / 100) + 1 rarest items. A pair counts at its first such item only.
+    """
+    items = df.select(F.col(basket).alias("o"), F.col(item).alias("i")).dropna().distinct()
+    ranked = items.join(items.groupBy("i").agg(F.count("*").alias("f")), "i")
+    sets = ranked.groupBy("o").agg(F.array_sort(F.collect_list(F.struct("f", "i"))).alias("s")).select("o", F.transform("s", lambda x: x["i"]).alias("s"), F.size("s").alias("n"))
+    sets = sets.withColumn("p", F.slice("s", F.lit(1), (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).cast("int")))
+    x, y = (sets.select(F.col("o").alias(c), F.col("s").alias(f"s{c}"), F.col("n").alias(f"n{c}"), F.col("p").alias(f"p{c}"), F.explode("p").alias("i")) for c in "ab")
+    met = x.join(y, "i").where((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("i")))
+    both = met.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"))
+    union = F.col("na") + F.col("nb") - F.col("both")
+    return both.where(100 * F.col("both") >= percent * union).select("a", "b", (F.col("both") / union).alias("jaccard"))

@@ -341,6 +341,11 @@ def k3(r):
     return r("part").select("p_partkey", F.when(F.col("p_size") > 40, None).otherwise(F.col("p_size")).alias("s")).orderBy(F.desc_nulls_last("s"), "p_partkey").limit(50)
 
 
+@query("k3_nulls_last_sort_all", "SELECT p_partkey, CASE WHEN p_size > 40 THEN NULL ELSE p_size END AS s FROM part ORDER BY s DESC NULLS LAST, p_partkey")
+def k3_all(r):
+    return r("part").select("p_partkey", F.when(F.col("p_size") > 40, None).otherwise(F.col("p_size")).alias("s")).orderBy(F.desc_nulls_last("s"), "p_partkey")
+
+
 @query("k4_page", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 25")
 def k4(r):
     return A.page_after(r("orders"), "o_orderkey", 500, 25).select("o_orderkey", "o_custkey")
@@ -407,6 +412,11 @@ def x14(r):
     return p.select("a", "b", _r6(F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("jaccard"))
 
 
+@query("x14_basket_jaccard_all")
+def x14_all(r):
+    return A.similar_baskets(r("lineitem"), "l_orderkey", "l_suppkey").withColumn("jaccard", _r6("jaccard"))
+
+
 @query("x15_json_props", "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
 def x15(r):
     return r("events").groupBy(F.get_json_object("props", "$.k").cast("bigint").alias("k")).agg(F.count("*").alias("n"))
