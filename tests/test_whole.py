@@ -2,7 +2,7 @@
 
 import random
 
-from whetstone.plans import corpus
+from whetstone.plans import corpus, warehouse
 
 
 def test_x14_all(spark):
@@ -21,3 +21,27 @@ def test_k3_all(spark):
     df = spark.createDataFrame([(i, i % 50) for i in range(300)], "p_partkey long, p_size int")
     got = [tuple(x) for x in corpus.k3_all(lambda _: df).collect()]
     assert got == sorted(((i, i % 50 if i % 50 <= 40 else None) for i in range(300)), key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
+
+
+def test_g4_all(spark):
+    r = random.Random(6)
+    rows = [(r.randrange(40), r.randrange(25)) for _ in range(45)]
+    near = {}
+    for p, s in rows:
+        near.setdefault(f"p{p}", set()).add(f"s{s}")
+        near.setdefault(f"s{s}", set()).add(f"p{p}")
+    want = {}
+    for start in [f"s{s}" for s in sorted({s for _, s in rows})[:3]]:
+        front = {start: start}
+        n, seen = 0, {}
+        while front:
+            seen |= {x: (path, n) for x, path in front.items()}
+            new = {}
+            for x, path in front.items():
+                for y in near[x] - seen.keys():
+                    new[y] = min(new.get(y, "~"), f"{path}>{y}")
+            front, n = new, n + 1
+        want |= {(start, x): v for x, v in seen.items()}
+    df = spark.createDataFrame(rows, "l_partkey long, l_suppkey long")
+    got = {(x.start, x.node): (x.path, x.n) for x in warehouse.g4_all(lambda _: df).collect()}
+    assert got == want and max(n for _, n in want.values()) > 4

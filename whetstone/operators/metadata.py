@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,15 +45,19 @@ def merged_edges(*sources: DataFrame) -> DataFrame:
     return every.where("src <> dst").groupBy("src", "dst").agg(F.max("weight").alias("weight"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("source"))
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, hops: int = 4) -> DataFrame:
-    """(start, node, path, n): the least text among shortest directed paths, breadth first, one join a hop; visited nodes are not visited again."""
+def shortest_paths(edges: DataFrame, starts: DataFrame, hops: int | None = 4) -> DataFrame:
+    """(start, node, path, n): the least text among shortest directed paths, breadth first, one join a hop; visited nodes are not visited again. Without hops, until no new node is found."""
     seen = starts.select(F.col("node").alias("start"), "node", F.col("node").cast("string").alias("path"), F.lit(0).alias("n"))
     front = seen
-    for hop in range(1, hops + 1):
+    for hop in count(1) if hops is None else range(1, hops + 1):
         step = front.join(edges, front["node"] == edges["src"]).select("start", F.col("dst").alias("node"), F.concat_ws(">", "path", F.col("dst").cast("string")).alias("path"))
         front = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").groupBy("start", "node").agg(F.min("path").alias("path")).withColumn("n", F.lit(hop))
         if edges.sparkSession.sparkContext.getCheckpointDir():
             front = front.checkpoint()
+        elif hops is None:
+            front = front.localCheckpoint()
+        if hops is None and front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 

@@ -152,6 +152,15 @@ def g4(r):
     return M.shortest_paths(e, e.select(F.col("src").alias("node")).distinct(), hops=2)
 
 
+@query("g4_shortest_paths_all")
+def g4_all(r):
+    """From the three least suppliers to every node that can be reached; a line joins its part and supplier both ways."""
+    e = r("lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).dropna().distinct()
+    e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    starts = r("lineitem").select("l_suppkey").dropna().distinct().orderBy("l_suppkey").limit(3)
+    return M.shortest_paths(e, starts.select(F.concat(F.lit("s"), "l_suppkey").alias("node")), hops=None)
+
+
 _WORDS = "(SELECT DISTINCT p_name AS value FROM part)"
 
 
