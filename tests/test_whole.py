@@ -1,7 +1,9 @@
 """Queries over all rows, against brute force."""
 
 import random
+import re
 
+from whetstone.functions import text as X
 from whetstone.plans import corpus, warehouse
 
 
@@ -45,3 +47,17 @@ def test_g4_all(spark):
     df = spark.createDataFrame(rows, "l_partkey long, l_suppkey long")
     got = {(x.start, x.node): (x.path, x.n) for x in warehouse.g4_all(lambda _: df).collect()}
     assert got == want and max(n for _, n in want.values()) > 4
+
+
+def test_t11_all(spark):
+    texts = {1: "mail ann@x.org, SSN 123-45-6789; 123-45-6789", 2: "card 1234 5678 9012 3456 or 123.456.7890", 3: "é🙂 10.0.0.1 and 10.0.0.1x 10.0.0.1", 4: "x TIMESTAMP '2024-01-01' 1.2.3.4", 5: "Web@Site.org", 6: None, 7: "a" * 60 + "@b.org", 8: "none"}
+    want = set()
+    for i, t in texts.items():
+        for k, p in X.PII.items():
+            for m in re.finditer(p, t or "", re.ASCII):
+                around = t[max(0, m.start() - 20) : m.end() + 20]
+                if m.group().lower() != "web@site.org" and not any(re.search(s, around) for s in X.SAFE):
+                    want.add((i, k, m.start(), m.group()[:50]))
+    docs = spark.createDataFrame([(i, t, "en", "web@site.org") for i, t in texts.items()], "doc_id long, text string, lang string, source string")
+    got = [tuple(x) for x in warehouse.t11_all(lambda _: docs).collect()]
+    assert len(got) == len(want) and set(got) == want and {k for _, k, _, _ in got} == set(X.PII)

@@ -190,6 +190,12 @@ def t11(r):
     return d.where("emails + ips > 0")
 
 
+@query("t11_pii_matches")
+def t11_all(r):
+    known = r("documents").select(F.explode(F.array("lang", "source")).alias("name")).dropna().distinct()
+    return X.pii_matches(r("documents"), known)
+
+
 def _nested_sql(x, pats):
     for p in pats:
         x = f"regexp_replace({x}, '{p}', '[REDACTED]', 'g')"
