@@ -341,7 +341,7 @@ def k3(r):
     return r("part").select("p_partkey", F.when(F.col("p_size") > 40, None).otherwise(F.col("p_size")).alias("s")).orderBy(F.desc_nulls_last("s"), "p_partkey").limit(50)
 
 
-@query("k3_nulls_last_sort_all", "SELECT p_partkey, CASE WHEN p_size > 40 THEN NULL ELSE p_size END AS s FROM part ORDER BY s DESC NULLS LAST, p_partkey")
+@query("k3_nulls_last_sort_all")
 def k3_all(r):
     return r("part").select("p_partkey", F.when(F.col("p_size") > 40, None).otherwise(F.col("p_size")).alias("s")).orderBy(F.desc_nulls_last("s"), "p_partkey")
 
