@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from whetstone import registry
@@ -21,7 +22,7 @@ def duck(sf_dir):
 def _rows(df):
     def one(v):
         v = v.tolist() if hasattr(v, "tolist") else v
-        if v is None or v != v:
+        if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)):
             return "None"
         if isinstance(v, float) and not math.isinf(v):
             return str(int(v)) if round(v, 6) == int(v) else str(round(v, 6))
