@@ -20,11 +20,13 @@ FLUSH_ROWS = 1_200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (local tests)."""
+    """The folder that driver and executors share. Only a local session may go without one: it gets a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         named = spark.conf.get("spark.whetstone.scratch", None)
         if not named:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             named = tempfile.mkdtemp(prefix="spark-")
             spark.conf.set("spark.whetstone.scratch", named)
     return named.rstrip("/")
@@ -38,6 +40,40 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, per: DataFrame, keys: list[str], n: str = "n", total: int | None = None, hot: int = 200) -> DataFrame:
+    """rows joined with the one row that `per` has for each key and that counts in `n` how many rows have the key.
+
+    Keys with one of `hot` parts of all rows or more are `hot` at most, so theirs are broadcast and no task gets such a
+    key whole; all others are shuffled. Both sides are read twice, so they should be durable.
+    """
+    total = per.agg(F.sum(n)).first()[0] or 0 if total is None else total
+    heavy = F.broadcast(per.where(F.col(n) * hot >= total))  # at most `hot` rows
+    light = rows.join(heavy.select(*keys), keys, "left_anti").join(per.where(F.col(n) * hot < total), keys)
+    return rows.join(heavy, keys).drop(n).unionByName(light.drop(n))
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) of the rows with an id, where ids stand for one text each, and the (doc_id, named) of such ids, if new.
+
+    Where an id has different texts, new ids number the distinct pairs of id and text in their order; equal rows share one.
+    """
+    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), text_column(docs, text_col).alias("text")).where("doc_id is not null")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h"))
+    if hashed.groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").isEmpty():
+        return docs, None
+    # partitions of a sorted table are in order, and so are these numbers
+    ids = durable(hashed.distinct().orderBy("doc_id", "h").withColumnRenamed("doc_id", "named").withColumn("doc_id", F.monotonically_increasing_id()))
+    both = docs.withColumnRenamed("doc_id", "named").withColumn("h", F.xxhash64("text")).join(ids, ["named", "h"])
+    return durable(both.select("doc_id", "text")), ids.select("doc_id", "named")
+
+
+def renamed(rows: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    """rows with the ids that `keyed` gave in `columns` as they were."""
+    for c in columns if names is not None else ():
+        rows = rows.join(names.withColumnRenamed("doc_id", c), c).drop(c).withColumnRenamed("named", c)
+    return rows
+
+
 def buckets(spark: SparkSession, each: int = 4) -> int:
     """How many key ranges a packed shuffle deals to: a multiple of the shuffle partitions, so that it follows the cluster."""
     return max(16, each * int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -1,16 +1,22 @@
 """Embedding near-dedup by collision-counting projections.
 
-Unit vectors are projected on fixed random lines. Vectors at most d apart differ by a normal of deviation d on each line,
-so the window around a query and the number of lines on which a near vector falls into it follow from the wanted recall.
-The first line, sorted, parts the table into slabs as wide as its window, so that near vectors share a slab or sit in
-neighbours; slabs are cut into blocks, and pairs of blocks are tasks of bounded size. In a task every query's window is
-a range of the sorted first line; on the other lines collisions are counted pair by pair, and pairs that reach the count
-are verified in double precision. Tasks return counts and spanning links only, never all pairs.
+Vectors are projected on LINES fixed random lines, each line sorted and scaled to its own mean and deviation. A window
+around a query is selective where the line is thin, so each vector queries the lines on which it lies farthest out only,
+`outer` of them: there its window, REACH deviations of two vectors at the least similarity, holds few others. A pair's
+count is the number of lines on which both lie in each other's window. Pairs that count `least` lines or more meet in a
+key made of `least` of their lines, so counting is an equi-join on such keys and nothing is compared by itself.
+`outer` and `least` are calibrated by simulated pairs at the least similarity for the wanted recall, and `least` grows
+with the number of vectors so that pairs which meet by chance stay few for each vector.
+
+A pair that shares more lines than `least` is taken under its first ones only, hence once. Members of a key are compared
+in blocks of bounded size, in double precision; tasks return counts and spanning links, never all pairs.
 """
 
 from __future__ import annotations
 
-from math import comb, erf, sqrt
+from functools import cache
+from itertools import combinations
+from math import comb, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -20,28 +26,69 @@ from pyspark.sql import functions as F
 from whetstone.llm import common as C
 from whetstone.llm.components import components
 
-#: Lines besides the first, window in deviations on them and on the first, and the recall at the least similarity.
-LINES, WINDOW, FIRST_WINDOW, RECALL = 28, 1.6, 3.6, 0.9995
-#: Vectors in a block.
-BLOCK = 2048
+#: Lines, the recall wanted at the least similarity itself, and chance meetings a vector may have.
+LINES, RECALL, CHANCE = 1024, 0.985, 4
+#: Half a window, in deviations of the difference of two vectors at the least similarity.
+REACH = 4.0
+#: Vectors in a block, and about how many rows a task takes.
+BLOCK, TASK_ROWS = 2048, 40_000
 
 
-def calibrated(similarity: float, lines: int = LINES, window: float = WINDOW, recall: float = RECALL) -> tuple[float, int]:
-    """The distance at the least similarity, and the largest count that so near vectors reach with the wanted recall."""
-    p = erf(window / sqrt(2))
-    upto, least = 0.0, 0
-    for k in range(lines + 1):
-        upto += comb(lines, k) * p**k * (1 - p) ** (lines - k)
-        if upto > 1 - recall:
-            least = k
+@cache
+def _lines(dim: int) -> np.ndarray:
+    return np.random.default_rng(7919 + dim).standard_normal((dim, LINES))
+
+
+def _outermost(z: np.ndarray, outer: int) -> np.ndarray:
+    """For each row the signed numbers of the lines on which it lies farthest out, in order."""
+    far = np.argpartition(-np.abs(z), outer - 1, axis=1)[:, :outer]
+    side = np.take_along_axis(z, far, 1) > 0
+    return np.sort(2 * far + side, axis=1).astype(np.uint16)
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which entries of x's rows are in y's rows."""
+    return (x[:, :, None] == y[:, None, :]).any(2)
+
+
+@cache
+def calibrated(n: int, dim: int, similarity: float) -> tuple[int, int]:
+    """(outer, least) for n vectors: the least count whose chance meetings are few, with the fewest lines that give the recall."""
+    r = np.random.default_rng(13)
+    a = r.standard_normal((4000, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    e = r.standard_normal((4000, dim))
+    e -= (e * a).sum(1, keepdims=True) * a
+    e /= np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-300)
+    p, q = a @ _lines(dim), (similarity * a + sqrt(max(0.0, 1 - similarity**2)) * e) @ _lines(dim)
+    near = np.abs(p - q) <= _reach(similarity)
+    for least in range(2, 7):
+        for outer in range(least, 17):
+            x = _outermost(p, outer)
+            hit = _shared(x, _outermost(q, outer)) & np.take_along_axis(near, (x // 2).astype(np.int64), 1)
+            if (hit.sum(1) >= least).mean() >= RECALL:
+                break
+        if n * comb(outer, least) ** 2 <= CHANCE * comb(LINES, least) * 2**least:
             break
-    return sqrt(max(0.0, 2 - 2 * similarity)), least
+    return outer, least
+
+
+def _reach(similarity: float) -> float:
+    return REACH * sqrt(max(0.0, 2 - 2 * similarity))
+
+
+def _key(lines: np.ndarray) -> np.ndarray:
+    """The key of each row of line numbers, in their order."""
+    h = np.full(len(lines), lines.shape[1], np.uint64)
+    for c in range(lines.shape[1]):
+        h = C.mixed(h * np.uint64(0x9E3779B97F4A7C15) + lines[:, c].astype(np.uint64) + np.uint64(1))
+    return h.view(np.int64)
 
 
 def _valid(batches):
     """Vectors as bytes of doubles; those that are null, zero or have null or non-finite components have none."""
     for batch in batches:
-        ids, out, dims, slab = batch["vec_id"], [], [], []
+        ids, out, dims = batch["vec_id"], [], []
         for v in batch["embedding"]:
             x = np.array(v.as_py(), np.float64) if v.is_valid and None not in v.as_py() else np.zeros(0)
             good = len(x) and np.isfinite(x).all() and x.any()
@@ -50,25 +97,38 @@ def _valid(batches):
         yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=["vec_id", "dim", "vector"])
 
 
-def _lines(dim: int) -> np.ndarray:
-    return np.random.default_rng(7919 + dim).standard_normal((dim, LINES + 1))
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _slab(width):
+def _of_dim(batch: pa.RecordBatch):
+    """The rows of each length of vectors: their places and unit vectors."""
+    dim = batch["dim"].to_numpy(zero_copy_only=False)
+    for d in np.unique(dim).tolist():
+        at = np.flatnonzero(dim == d)
+        yield d, at, _unit(np.frombuffer(b"".join(batch["vector"][i].as_py() for i in at.tolist()), np.float64).reshape(-1, d))
+
+
+def _moments(batches):
+    """Per length of vectors their number, the sums and the squared sums of their projections."""
+    for batch in batches:
+        for d, at, x in _of_dim(batch):
+            p = x @ _lines(d)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(LINES, d), pa.int32()), pa.array(np.arange(LINES), pa.int32()), pa.array(np.full(LINES, len(at)), pa.int64()), pa.array(p.sum(0)), pa.array((p * p).sum(0))], names=["dim", "line", "n", "s", "ss"])
+
+
+def _keys(scale):
     def run(batches):
         for batch in batches:
-            slab = np.zeros(batch.num_rows, np.int64)
-            dim = batch["dim"].to_numpy(zero_copy_only=False)
-            for d in np.unique(dim):
-                at = np.flatnonzero(dim == d)
-                x = np.frombuffer(b"".join(batch["vector"][i].as_py() for i in at.tolist()), np.float64).reshape(-1, d)
-                slab[at] = np.floor(_unit(x) @ _lines(d)[:, 0] / width)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slab, pa.int64())], names=[*batch.schema.names, "slab"])
+            for d, at, x in _of_dim(batch):
+                mean, deviation, outer, least = scale[d]
+                top = _outermost((x @ _lines(d) - mean) / deviation, outer)
+                chosen = list(combinations(range(outer), least))
+                key = np.stack([_key(top[:, list(c)]) for c in chosen], 1).ravel()
+                tops = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * outer), len(at), [None, pa.py_buffer(np.ascontiguousarray(top).tobytes())]).cast(pa.binary())
+                each = pa.array(np.repeat(np.arange(len(at)), len(chosen)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), d), pa.int32()), pa.array(key), batch["rid"].take(pa.array(at)).take(each), tops.take(each)], names=["dim", "key", "rid", "top"])
 
     return run
 
@@ -87,86 +147,98 @@ def _stars(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
         root = nxt
 
 
-def _compare(similarity):
-    apart, least = calibrated(similarity)
-    w = WINDOW * apart
-    cell = w / 24  # windows are whole cells, rounded up
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, copies, side = table["vec_id"].to_numpy(), table["copies"].to_numpy(), table["side"].to_numpy()
-        d = table["dim"][0].as_py()
-        raw = np.frombuffer(b"".join(table["vector"].to_pylist()), np.float64).reshape(-1, d)
-        unit = _unit(raw)
-        p = unit @ _lines(d)
-        grid = np.round(p[:, 1:] / cell).astype(np.int64).astype(np.uint8).T.copy()
-        same = bool(table["same"][0].as_py())
-        order = np.argsort(p[:, 0], kind="stable")
-        left, right = (order, order) if same else (order[side[order] == 0], order[side[order] == 1])
-        first = p[right, 0]
-        links = np.zeros(len(ids), np.int64)
-        xs, ys = [], []
-        reach = FIRST_WINDOW * apart
-        cand = grid[:, right]
-        for begin in range(0, len(left), 128):
-            q = left[begin : begin + 128]
-            lo, hi = np.searchsorted(first, p[q[0], 0] - reach), np.searchsorted(first, p[q[-1], 0] + reach, "right")
-            if lo >= hi:
-                continue
-            hits = np.zeros((len(q), hi - lo), np.uint8)
-            for m in range(LINES):
-                hits += (cand[m, lo:hi][None, :] - grid[m, q][:, None] + np.uint8(25)) <= 50
-            i, j = np.nonzero(hits >= least)
-            x, y = q[i], right[lo + j]
-            keep = (x != y) & (np.abs(p[x, 0] - p[y, 0]) <= reach)
-            x, y = x[keep], y[keep]
-            good = np.einsum("ij,ij->i", unit[x], unit[y]) >= similarity
-            x, y = x[good], y[good]
-            np.add.at(links, x, copies[y])
-            if not same:
-                np.add.at(links, y, copies[x])
-            xs.append(x)
-            ys.append(y)
-        x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (xs, ys))
-        names, at = np.unique(ids, return_inverse=True)
-        a, b = _stars(at[x], at[y], len(names))
+def _candidates(task: np.ndarray, side: np.ndarray, inside: np.ndarray):
+    """Pairs of places of rows of one task, sorted by it, in pieces: all of a block with itself, or of either side."""
+    edge = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1])))
+    size = np.diff(np.concatenate((edge, [len(task)])))
+    few = np.repeat(size <= 16, size)
+    for off in range(1, min(16, int(size.max(initial=1)))):  # small tasks all at once
+        x = np.flatnonzero((task[off:] == task[:-off]) & few[off:])
+        yield x[inside[x] | (side[x] != side[x + off])], x[inside[x] | (side[x] != side[x + off])] + off
+    for e, s in zip(edge[size > 16].tolist(), size[size > 16].tolist(), strict=True):
+        rows = np.arange(e, e + s)
+        left, right = (rows, rows) if inside[e] else (rows[side[rows] == 0], rows[side[rows] == 1])
+        for begin in range(0, len(left), 256):
+            x, y = np.repeat(left[begin : begin + 256], len(right)), np.tile(right, len(left[begin : begin + 256]))
+            ok = x < y if inside[e] else slice(None)
+            yield x[ok], y[ok]
+
+
+def _compare(similarity, scale):
+    def one(table: pa.Table, d: int) -> pa.Table:
+        _, _, outer, least = scale[d]
+        key, rid, copies, side, inside = (table[c].to_numpy() for c in ("key", "rid", "copies", "side", "inside"))
+        task = table["task"].to_numpy()
+        order = np.argsort(task, kind="stable")
+        key, rid, copies, side, inside, task = (v[order] for v in (key, rid, copies, side, inside, task))
+        unit = _unit(np.frombuffer(b"".join(table["vector"].to_pylist()), np.float64).reshape(-1, d))[order]
+        top = np.frombuffer(b"".join(table["top"].to_pylist()), np.uint16).reshape(-1, outer)[order]
+        place = np.empty(top.shape)  # of each row on its own lines
+        for i in range(0, len(top), 4096):
+            place[i : i + 4096] = np.take_along_axis(unit[i : i + 4096] @ _lines(d), (top[i : i + 4096] // 2).astype(np.int64), 1)
+        names, at = np.unique(rid, return_inverse=True)
+        links, xs, ys = np.zeros(len(names), np.int64), [], []
+        for x, y in _candidates(task, side, inside):
+            for begin in range(0, len(x), 1 << 15):
+                a, b = x[begin : begin + (1 << 15)], y[begin : begin + (1 << 15)]
+                good = (key[a] == key[b]) & (np.einsum("ij,ij->i", unit[a], unit[b]) >= similarity)
+                a, b = a[good], b[good]
+                # lines on which both lie in the other's window; the pair belongs to the key of the first of them
+                hit = ((top[a][:, :, None] == top[b][:, None, :]) & (np.abs(place[a][:, :, None] - place[b][:, None, :]) <= _reach(similarity))).any(2)
+                enough = hit.sum(1) >= least
+                a, b, hit = a[enough], b[enough], hit[enough]
+                first = top[a][hit & (np.cumsum(hit, axis=1) <= least)].reshape(-1, least)
+                own = _key(first) == key[a]
+                xs.append(at[a[own]])
+                ys.append(at[b[own]])
+        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
+        many = np.zeros(len(names), np.int64)
+        many[at] = copies
+        np.add.at(links, x, many[y])
+        np.add.at(links, y, many[x])
+        a, b = _stars(x, y, len(names))
         some = np.flatnonzero(links)
-        return pa.table({"a": pa.array(np.concatenate((names[a], ids[some])), pa.int64()), "b": pa.array(np.concatenate((names[b], ids[some])), pa.int64()), "links": pa.array(np.concatenate((np.zeros(len(a), np.int64), links[some])), pa.int64())})
+        return pa.table({"a": pa.array(np.concatenate((names[a], names[some])), pa.int64()), "b": pa.array(np.concatenate((names[b], names[some])), pa.int64()), "links": pa.array(np.concatenate((np.zeros(len(a), np.int64), links[some])), pa.int64())})
 
-    return run
+    return lambda table: one(table, table["dim"][0].as_py())
 
 
 def near_vectors(vectors: DataFrame, similarity: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each vector, by cosine similarity in double precision.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different lengths
-    do not link. Rows without an id are left out; a row repeated whole counts once.
+    do not link. Rows without an id are left out; a row repeated whole counts once. Different vectors of one id are rows
+    of their own, each with its own links; no rows give none. Other columns are ignored.
     """
+    spark = vectors.sparkSession
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("embedding")).where("vec_id is not null")
     rows = C.durable(rows.mapInArrow(_valid, "vec_id long, dim int, vector binary").distinct())
-    sound = rows.where("dim > 0")
-    twins = sound.groupBy("dim", "vector").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
-    width = FIRST_WINDOW * calibrated(similarity)[0]
-    reps = C.durable(twins.select("vec_id", "dim", "vector", "copies").mapInArrow(_slab(width), "vec_id long, dim int, vector binary, copies long, slab long"))
-    # slabs are few: the first line's range over the window's width, for each length of vectors
-    cuts = reps.groupBy("dim", "slab").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    nxt = cuts.select("dim", (F.col("slab") - 1).alias("slab"), F.col("blocks").alias("above"))
-    below = cuts.select("dim", (F.col("slab") + 1).alias("slab"), F.col("blocks").alias("below"))
-    cuts = cuts.join(nxt, ["dim", "slab"], "left").join(below, ["dim", "slab"], "left").fillna(0)
-    placed = reps.join(cuts, ["dim", "slab"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks")))
-    task = lambda slab, x, y, up, side: F.struct(slab.alias("slab"), x.alias("x"), y.alias("y"), F.lit(up).alias("up"), F.lit(side).alias("side"))
-    to = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
-    block, slab = F.col("block"), F.col("slab")
-    tasks = F.concat(
-        F.transform(to(F.col("blocks")), lambda o: F.struct(slab.alias("slab"), F.least(block, o).alias("x"), F.greatest(block, o).alias("y"), F.lit(0).alias("up"), F.when(block <= o, 0).otherwise(1).alias("side"))),
-        F.transform(to(F.col("above")), lambda o: task(slab, block, o, 1, 0)),
-        F.transform(to(F.col("below")), lambda o: task(slab - 1, o, block, 1, 1)),
-    )
-    dealt = placed.select("vec_id", "dim", "vector", "copies", F.explode(tasks).alias("t")).select("vec_id", "dim", "vector", "copies", "t.*").withColumn("same", (F.col("up") == 0) & (F.col("x") == F.col("y")))
-    out = C.durable(dealt.groupBy("dim", "slab", "x", "y", "up").applyInArrow(_compare(similarity), "a long, b long, links long"))
-    classes = components(out.where("links = 0").select("a", "b"))
-    counts = out.where("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    named = twins.withColumnRenamed("vec_id", "rep").join(counts, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    info = named.select("dim", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    all_ = rows.join(info, ["dim", "vector"], "left")
-    own = F.coalesce("component_id", "vec_id")
-    return all_.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (own == F.col("vec_id")).alias("kept"))
+    reps = C.durable(rows.where("dim > 0").groupBy("dim", "vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")).withColumn("rid", F.monotonically_increasing_id()))
+    # LINES rows for each length of vectors
+    scale = {}
+    for r in reps.mapInArrow(_moments, "dim int, line int, n long, s double, ss double").groupBy("dim", "line").agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss"))).orderBy("dim", "line").collect():
+        mean = r["s"] / r["n"]
+        of = scale.setdefault(r["dim"], ([], [], *calibrated(1 << max(10, (r["n"] - 1).bit_length()), r["dim"], similarity)))
+        of[0].append(mean)
+        of[1].append(max(sqrt(max(0.0, r["ss"] / r["n"] - mean * mean)), 0.2 / sqrt(r["dim"])))
+    scale = {d: (np.array(x[0]), np.array(x[1]), x[2], x[3]) for d, x in scale.items()}
+
+    keys = C.durable(reps.mapInArrow(_keys(scale), "dim int, key long, rid long, top binary"))
+    # members of a key come in blocks, and two blocks at a time to a task
+    met = C.durable(keys.groupBy("dim", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK)))
+    live = C.join_hot(keys, met, ["dim", "key"]).withColumn("block", F.pmod(F.xxhash64("rid", F.lit(3)), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = live.select("*", other.alias("other")).select("dim", "key", "rid", "top", (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") == F.col("other")).alias("inside"), F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("task"))
+    n_dealt = met.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+    parts = max(16, n_dealt // TASK_ROWS)
+    full = C.durable(dealt).join(reps.select("rid", "vector", "copies"), "rid")
+    out = C.durable(full.groupBy("dim", F.pmod("task", F.lit(parts)).alias("part")).applyInArrow(_compare(similarity, scale), "a long, b long, links long"))
+
+    counts = out.where("links > 0").groupBy(F.col("a").alias("rid")).agg(F.sum("links").alias("links"))
+    classes = components(out.where("links = 0").select("a", "b")).withColumnRenamed("node", "rid")
+    named = C.durable(reps.select("rid", "dim", "vector", "first", "copies").join(counts, "rid", "left").join(classes, "rid", "left").withColumn("component", F.coalesce("component", "rid")))
+    least = C.durable(named.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
+    info = C.durable(C.join_hot(named, least, ["component"]).select("dim", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", F.col("copies").alias("n")))
+    sound = C.join_hot(rows.where("dim > 0"), info, ["dim", "vector"]).select("vec_id", "n_links", "component_id")
+    every = sound.unionByName(rows.where("dim = 0").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    return every.withColumn("kept", F.col("component_id") == F.col("vec_id"))
