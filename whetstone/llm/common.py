@@ -52,19 +52,21 @@ def join_hot(rows: DataFrame, per: DataFrame, keys: list[str], n: str = "n", tot
     return rows.join(heavy, keys).drop(n).unionByName(light.drop(n))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+def keyed(docs: DataFrame, id_col: str, text_col: str, rows: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, text) of the rows with an id, where ids stand for one text each, and the (doc_id, named) of such ids, if new.
 
     Where an id has different texts, new ids number the distinct pairs of id and text in their order; equal rows share one.
+    With `rows`, column `row` holds the row as it was.
     """
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), text_column(docs, text_col).alias("text")).where("doc_id is not null")
+    held = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if rows else []
+    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), text_column(docs, text_col).alias("text"), *held).where("doc_id is not null")
     hashed = docs.select("doc_id", F.xxhash64("text").alias("h"))
     if hashed.groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").isEmpty():
         return docs, None
     # partitions of a sorted table are in order, and so are these numbers
     ids = durable(hashed.distinct().orderBy("doc_id", "h").withColumnRenamed("doc_id", "named").withColumn("doc_id", F.monotonically_increasing_id()))
     both = docs.withColumnRenamed("doc_id", "named").withColumn("h", F.xxhash64("text")).join(ids, ["named", "h"])
-    return durable(both.select("doc_id", "text")), ids.select("doc_id", "named")
+    return durable(both.select("doc_id", "text", *(["row"] if rows else []))), ids.select("doc_id", "named")
 
 
 def renamed(rows: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
@@ -191,6 +193,24 @@ def shingles(data: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.ndarray,
     return h, np.searchsorted(text, np.arange(len(at)))
 
 
+def task_pairs(task: np.ndarray, side: np.ndarray, inside: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of rows of one task, in pieces, from rows sorted by task: all of a block with itself (inside), else of either side."""
+    edge = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1])))
+    size = np.diff(np.concatenate((edge, [len(task)])))
+    few = np.repeat(size <= 16, size)
+    for off in range(1, min(16, int(size.max(initial=1)))):  # small tasks all at once
+        x = np.flatnonzero((task[off:] == task[:-off]) & few[off:])
+        x = x[inside[x] | (side[x] != side[x + off])]
+        yield x, x + off
+    for e, s in zip(edge[size > 16].tolist(), size[size > 16].tolist(), strict=True):
+        rows = np.arange(e, e + s)
+        left, right = (rows, rows) if inside[e] else (rows[side[rows] == 0], rows[side[rows] == 1])
+        for begin in range(0, len(left), 16):
+            x, y = np.repeat(left[begin : begin + 16], len(right)), np.tile(right, len(left[begin : begin + 16]))
+            ok = x < y if inside[e] else slice(None)
+            yield x[ok], y[ok]
+
+
 def packed(bucket: np.ndarray, rows: np.ndarray, into: dict[int, list[bytes]] | None = None) -> Iterator[tuple[int, bytes]]:
     """Rows of a structured array as one blob for each bucket."""
     order = np.argsort(bucket, kind="stable")

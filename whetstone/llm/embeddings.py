@@ -147,23 +147,6 @@ def _stars(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
         root = nxt
 
 
-def _candidates(task: np.ndarray, side: np.ndarray, inside: np.ndarray):
-    """Pairs of places of rows of one task, sorted by it, in pieces: all of a block with itself, or of either side."""
-    edge = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1])))
-    size = np.diff(np.concatenate((edge, [len(task)])))
-    few = np.repeat(size <= 16, size)
-    for off in range(1, min(16, int(size.max(initial=1)))):  # small tasks all at once
-        x = np.flatnonzero((task[off:] == task[:-off]) & few[off:])
-        yield x[inside[x] | (side[x] != side[x + off])], x[inside[x] | (side[x] != side[x + off])] + off
-    for e, s in zip(edge[size > 16].tolist(), size[size > 16].tolist(), strict=True):
-        rows = np.arange(e, e + s)
-        left, right = (rows, rows) if inside[e] else (rows[side[rows] == 0], rows[side[rows] == 1])
-        for begin in range(0, len(left), 256):
-            x, y = np.repeat(left[begin : begin + 256], len(right)), np.tile(right, len(left[begin : begin + 256]))
-            ok = x < y if inside[e] else slice(None)
-            yield x[ok], y[ok]
-
-
 def _compare(similarity, scale):
     def one(table: pa.Table, d: int) -> pa.Table:
         _, _, outer, least = scale[d]
@@ -178,7 +161,7 @@ def _compare(similarity, scale):
             place[i : i + 4096] = np.take_along_axis(unit[i : i + 4096] @ _lines(d), (top[i : i + 4096] // 2).astype(np.int64), 1)
         names, at = np.unique(rid, return_inverse=True)
         links, xs, ys = np.zeros(len(names), np.int64), [], []
-        for x, y in _candidates(task, side, inside):
+        for x, y in C.task_pairs(task, side, inside):
             for begin in range(0, len(x), 1 << 15):
                 a, b = x[begin : begin + (1 << 15)], y[begin : begin + (1 << 15)]
                 good = (key[a] == key[b]) & (np.einsum("ij,ij->i", unit[a], unit[b]) >= similarity)

@@ -12,6 +12,8 @@ different components are compared, so no link between different texts is lost an
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from whetstone.llm import common as C
 from whetstone.llm.components import components
+from whetstone.llm.groups import PIECE, join_lists, still_apart
 
 #: Layouts of a window: name and segments per 2^k shingles.
 LAYOUTS = (("exact", 0.8), ("exact", 1.2), ("delete", 0.5), ("token", 0))
@@ -244,19 +247,27 @@ def _groups(nb):
     return run
 
 
-_FOUND = "kind int, bucket int, pairs binary, members array<long>, own array<boolean>"
+_FOUND = "kind int, bucket int, pairs binary, g long, members array<long>, own array<boolean>"
 
 
 def _found(pairs, lists, nb):
+    """Pairs as blobs by bucket; lists as rows of PIECE members at most, under a number of the whole list."""
     nb = max(8, nb // 16)  # pairs are few: so many buckets keep the blobs of all tasks few, too
     b = (C.mixed(pairs[:, 0].astype(np.uint64) * np.uint64(31) + pairs[:, 1].astype(np.uint64)) % np.uint64(nb)).astype(np.int64)
     out = list(C.packed(b, np.ascontiguousarray(pairs).view("<i8,<i8").ravel())) if len(pairs) else []
+    pieces = []
+    for members, own in lists:
+        raw = members.tobytes() + (b"" if own is None else np.packbits(own).tobytes())
+        g = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+        pieces += [(g, members[i : i + PIECE], None if own is None else own[i : i + PIECE]) for i in range(0, len(members), PIECE)]
+    none = [None] * len(out)
     return pa.table({
-        "kind": pa.array([0] * len(out) + [1] * len(lists), pa.int32()),
-        "bucket": pa.array([x for x, _ in out] + [None] * len(lists), pa.int32()),
-        "pairs": pa.array([x for _, x in out] + [None] * len(lists), pa.binary()),
-        "members": pa.array([None] * len(out) + [x for x, _ in lists], pa.list_(pa.int64())),
-        "own": pa.array([None] * len(out) + [x for _, x in lists], pa.list_(pa.bool_())),
+        "kind": pa.array([0] * len(out) + [1] * len(pieces), pa.int32()),
+        "bucket": pa.array([x for x, _ in out] + [None] * len(pieces), pa.int32()),
+        "pairs": pa.array([x for _, x in out] + [None] * len(pieces), pa.binary()),
+        "g": pa.array(none + [g for g, _, _ in pieces], pa.int64()),
+        "members": pa.array(none + [x for _, x, _ in pieces], pa.list_(pa.int64())),
+        "own": pa.array(none + [x for _, _, x in pieces], pa.list_(pa.bool_())),
     })
 
 
@@ -285,29 +296,18 @@ def _verify(k, percent):
 
 
 def _across(percent):
-    """Of lists of candidates: pairs of an indexed and any member from different components that sizes and sketches allow."""
-
-    def one(doc, own, comp, n, sketch):
-        rows_at = np.flatnonzero(own)
-        for begin in range(0, len(rows_at), 64):
-            rows = rows_at[begin : begin + 64]
-            for col in range(0, len(doc), 8192):
-                part = slice(col, col + 8192)
-                x, y = n[rows][:, None], n[part][None, :]
-                i, j = np.nonzero((comp[rows][:, None] != comp[part][None, :]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)))
-                if len(i):
-                    apart = np.bitwise_count(sketch[rows[i]] ^ sketch[part][j]).sum(1, dtype=np.int64)
-                    near = 7 * apart <= n[rows[i]] + n[part][j]
-                    yield np.stack((doc[rows[i[near]]], doc[part][j[near]]), 1)
+    """Of tasks: pairs of an indexed and any member from different components that sizes and sketches allow."""
 
     def run(table: pa.Table) -> pa.Table:
-        g, doc, comp, n = (table[c].to_numpy() for c in ("g", "doc", "comp", "n"))
-        own = table["own"].to_numpy().astype(bool)
-        sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH // 64)
-        order = np.argsort(g, kind="stable")
+        order = np.argsort(table["task"].to_numpy(), kind="stable")
+        doc, comp, n, task, side, inside, own = (table[c].to_numpy()[order] for c in ("doc", "comp", "size", "task", "side", "inside", "own"))
+        sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH // 64)[order]
         out = [np.zeros((0, 2), np.int64)]
-        for at in np.split(order, np.flatnonzero(np.diff(g[order])) + 1):
-            out += one(doc[at], own[at], comp[at], n[at], sketch[at])
+        for x, y in C.task_pairs(task, side, inside):
+            some = (comp[x] != comp[y]) & (own[x] | own[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            x, y = x[some], y[some]
+            near = 7 * np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64) <= n[x] + n[y]
+            out.append(np.stack((doc[x[near]], doc[y[near]]), 1))
         p = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
         return pa.table({"a": pa.array(p[:, 0], pa.int64()), "b": pa.array(p[:, 1], pa.int64())})
 
@@ -318,10 +318,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_shingles, component_id) for each row with an id, by word-shingle Jaccard similarity of 0.75 or more.
 
     Null and empty texts, and texts without a word, have no shingle and link with nothing. Rows without an id are left
-    out; repeated rows of one id each return a row. Other columns are ignored. An empty table gives an empty result.
+    out; repeated rows each return a row, and different texts of one id are documents of their own. Other columns are ignored. An empty table gives an empty result.
     """
+    docs, names = C.keyed(docs, id_col, text_col)
+    return C.renamed(_classes(docs, shingle_words), names, "doc_id", "component_id").select("doc_id", "n_shingles", "component_id")
+
+
+def _classes(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of rows whose ids stand for one text each."""
     spark = docs.sparkSession
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), C.text_column(docs, text_col).alias("text")).where("doc_id is not null")
     measured = C.durable(docs.mapInArrow(_measure(shingle_words), _DOC))
     sets = measured.where("kind = 0").select("doc_id", "n", "h1", "h2", "k", "slack", "cost", "sketch")
 
@@ -363,17 +368,16 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = near.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
         return C.durable(both.mapInArrow(_verify(shingle_words, 75), "a long, b long").distinct())
 
-    twins = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("b"))
-    equal = C.durable(sets.where("n > 0").join(twins, ["n", "h1", "h2"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct())
+    filled = C.durable(sets.where("n > 0").select("doc_id", F.col("n").alias("size"), "h1", "h2"))
+    twins = C.durable(filled.groupBy("size", "h1", "h2").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1"))
+    equal = C.durable(C.join_hot(filled, twins, ["size", "h1", "h2"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct())
     pairs = C.durable(found.where("kind = 0").groupBy("bucket").applyInArrow(_distinct, "a long, b long"))
     edges = equal.unionByName(links(pairs, True))
     classes = C.durable(components(edges))
 
-    lists = found.where("kind = 1").select("members", "own").distinct().select(F.xxhash64("members", "own").alias("g"), F.explode(F.arrays_zip("members", "own")).alias("x")).select("g", F.col("x.members").alias("doc"), F.col("x.own").alias("own"))
-    named = C.durable(lists.join(classes.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
-    mixed = named.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("g")
-    open_ = named.join(mixed, "g", "left_semi").join(info.select(F.col("doc_id").alias("doc"), "n", "sketch"), "doc")
-    rest = C.durable(open_.groupBy(F.pmod("g", F.lit(nb)).alias("bucket")).applyInArrow(_across(75), "a long, b long").distinct())
+    open_, parts = still_apart(join_lists(found, "own"), classes)
+    open_ = open_.join(info.select(F.col("doc_id").alias("doc"), F.col("n").alias("size"), "sketch"), "doc")
+    rest = C.durable(open_.groupBy(F.pmod("task", F.lit(parts)).alias("part")).applyInArrow(_across(75), "a long, b long").distinct())
     if not rest.isEmpty():
         more = links(rest, False)
         if not more.isEmpty():
@@ -382,6 +386,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_per_class(docs: DataFrame) -> DataFrame:
-    """The rows of documents that are the first of their class of near copies, each as it is."""
-    keep = jaccard_classes(docs).where("doc_id = component_id").select(F.col("doc_id")).distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """The rows of documents that are the first of their class of near copies, each as it is.
+
+    Of repeated rows one stays, of rows that share id and text any one that a hash of the row picks. Rows without an id go;
+    rows without a word are in no class and stay. Columns may have any names.
+    """
+    rows, _ = C.keyed(docs, "doc_id", "text", rows=True)
+    keep = _classes(rows.select("doc_id", "text")).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    held = rows.select("doc_id", "row").join(C.durable(keep).hint("merge"), "doc_id")
+    again = held.where("n > 1").groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return held.where("n = 1").select("row").unionByName(again.select("row")).select("row.*")
