@@ -48,12 +48,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = state
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         up = F.count_if(F.col("v") > F.col("u")).alias("n")
-        low = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), up))
-        # a hub has many rows: its minimum is broadcast
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+        # a hub has many rows: its minimum is broadcast; the plan computes `low` once
         large = join_hot(both.where("v > u"), low, ["u"], total=state["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        small = durable(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        least = durable(small.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        stars = join_hot(small, least, ["u"])
+        small = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        # a node has as many smaller neighbours as tasks held it at most: each task gave it one root
+        least = small.groupBy("u").agg(F.min("v").alias("m"))
+        stars = small.join(least, "u")
         pairs = durable(stars.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
     roots = pairs.select(F.col("v").alias("u")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select(F.col("u").alias("node"), F.col("u").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

@@ -94,16 +94,25 @@ def round_copies(docs: DataFrame, levels: int, seed: int = 20240229) -> DataFram
     return last if settled is None else settled.unionByName(last)
 
 
+def _numbered(docs: DataFrame, id_col: str, text_col: str, source_col: str, whole: bool = False) -> DataFrame:
+    """(doc_id, source, size, row): `row` is a hash of id, source, text and of the rank among rows equal in these.
+
+    With `whole`, column `held` has the row as it was; rows equal in these are ranked by the rest of it.
+    """
+    size = F.coalesce(F.regexp_count(docs[text_col].cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    held = [F.struct(*(docs[c] for c in docs.columns)).alias("held")] if whole else []
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), size.alias("size"), F.xxhash64(docs[text_col]).alias("h"), *held)
+    again = F.row_number().over(Window.partitionBy("doc_id", "source", "h").orderBy(F.xxhash64("held") if whole else "size"))
+    return rows.withColumn("again", again).withColumn("row", F.xxhash64("doc_id", "source", "h", "again")).drop("h", "again")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken, row): how often the mix takes each row of documents.
 
     Null and empty texts have size 0 and take nothing; null is a source like others. Repeated rows are rows of their
     own: `row`, a hash of the row's columns and of its rank among equal ones, tells them apart. No rows, no result.
     """
-    size = F.coalesce(F.regexp_count(docs[text_col].cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), size.alias("size"), F.xxhash64(docs[text_col]).alias("h"))
-    again = F.row_number().over(Window.partitionBy("doc_id", "source", "h").orderBy("size"))
-    sizes = durable(sizes.withColumn("again", again).withColumn("row", F.xxhash64("doc_id", "source", "h", "again")).drop("again"))
+    sizes = durable(_numbered(docs, id_col, text_col, source_col).select("doc_id", "source", "size", "row"))
     targets = durable(source_targets(sizes, weights, share, most))
     most_docs = targets.agg(F.max("sized")).first()[0] or 0
     levels, nodes = 1, most_docs
@@ -120,7 +129,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """The rows of documents, each as often as the mix takes it. Needs distinct doc_ids; null ids are left out."""
-    counts = mix(docs).where("copies > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").cast("int").alias("__copies"))
-    out = docs.join(counts, "doc_id")
-    return out.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """The rows of documents, each as often as the mix takes it, with all their columns, whatever their names.
+
+    Repeated rows, rows without an id and texts that share an id are rows of their own. No rows give none.
+    """
+    counts = mix(docs).where("copies > 0").select("row", F.col("copies").cast("int").alias("copies"))
+    rows = _numbered(docs, "doc_id", "text", "source", whole=True).select("row", "held")
+    taken = rows.join(counts, "row").select("held", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("again"))
+    return taken.select("held.*")

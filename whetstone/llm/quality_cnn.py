@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from whetstone.llm import common as C
 
 FILTERS, GRAM, HALF = 16, 5, 256
-#: The sample that training takes: rows, by hash order of their ids, and the most bytes of one.
-SAMPLE_ROWS, SAMPLE_BYTES = 2400, 20_000
+#: The sample that training takes: rows, by hash order of their ids, and the most characters of one; a longer text is
+#: trained on as PIECES pieces from all over it. Scores always read whole texts.
+SAMPLE_ROWS, SAMPLE_CHARS, PIECES = 2400, 20_000, 40
 EPOCHS, RATE = 8, 0.02
 
 
@@ -121,18 +122,24 @@ def held_out(doc_id):
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], list[int]]:
-    """At most SAMPLE_ROWS labelled rows outside the holdout of at most SAMPLE_BYTES bytes each, in hash order of their ids."""
+    """At most SAMPLE_ROWS labelled rows outside the holdout, of any length, in hash order of their ids."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     text = C.text_column(docs, "text")
-    some = docs.select(F.col("doc_id"), text.alias("text")).where(~held_out(F.col("doc_id")) & (F.octet_length("text") <= SAMPLE_BYTES))
+    each, n = SAMPLE_CHARS // PIECES, F.length(text)
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring(text, F.floor(i * (n - each) / (PIECES - 1)).cast("int") + 1, F.lit(each))), "")
+    some = docs.select(F.col("doc_id"), F.when(n <= SAMPLE_CHARS, text).otherwise(spread).alias("text")).where(~held_out(F.col("doc_id")))
     ids = some.select("doc_id", F.xxhash64("doc_id", F.lit(17)).alias("h")).join(known, "doc_id").orderBy("h", "doc_id").limit(SAMPLE_ROWS)
     got = C.durable(ids)
-    rows = some.join(F.broadcast(got), "doc_id").orderBy("h", "doc_id", "text").limit(SAMPLE_ROWS).select("text", "quality").collect()  # bounded: SAMPLE_ROWS * SAMPLE_BYTES
+    rows = some.join(F.broadcast(got), "doc_id").orderBy("h", "doc_id", "text").limit(SAMPLE_ROWS).select("text", "quality").collect()  # bounded: SAMPLE_ROWS * SAMPLE_CHARS
     return [r["text"].encode("utf-8", "surrogatepass") for r in rows], [int(r["quality"]) for r in rows]
 
 
 def scored(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row. Null texts are scored as empty. Repeated rows score alike."""
+    """(doc_id, held_out, score, predicted) of each row, from its whole text, however long, piece by piece.
+
+    Null texts are scored as empty, repeated rows alike; a null id is in the holdout as the empty text's. No rows give none,
+    and without labels every score is the same. Other columns are ignored.
+    """
     texts, marks = sample(docs, labels)
     out = io.BytesIO()
     np.savez(out, **train(texts, marks))

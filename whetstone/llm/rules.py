@@ -88,8 +88,8 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """One row a document with its counts, its base verdict and the measures of the rules."""
-    m = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[stratum_col].cast("string"), F.lit("")).alias("stratum"), measures(docs[text_col]).alias("m"))
-    m = m.select("doc_id", "stratum", "m.w.*", "m.l.*", "m.n_symbols", "m.n_upper")
+    m = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[stratum_col].cast("string"), F.lit("")).alias("stratum"), F.xxhash64(docs[text_col], docs[stratum_col]).alias("h"), measures(docs[text_col]).alias("m"))
+    m = m.select("doc_id", "stratum", "h", "m.w.*", "m.l.*", "m.n_symbols", "m.n_upper")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return m.withColumn("base_failed", failed).withColumns({"symbols": ratio("n_symbols", "word_chars"), "dup_lines": ratio("n_dup_lines", "n_lines"), "repeats": ratio("n_repeat_words", "n_words"), "upper": ratio("n_upper", "word_chars"), "word_length": ratio("word_chars", "n_words")})
@@ -140,20 +140,26 @@ def rejections(judged: DataFrame, docs: DataFrame, labels: DataFrame, id_col: st
     return judged.join(of, "doc_id").join(good, "doc_id", "left").groupBy("stratum").agg(F.count("*").alias("rows"), F.count_if("base_failed").alias("base_failed"), F.count_if(cut).alias("rejected"), F.count_if(clean).alias("clean"), F.count_if(clean & cut).alias("clean_rejected"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_rules) of each row.
-
-    Null and empty texts have no words and fail the base rules. Null strata are one stratum. Repeated rows are judged alike.
-    """
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
     rows = durable(measured(docs, id_col, text_col, stratum_col))
     cuts = durable(cutoffs(rows, labels))
     # one row a stratum
     both = rows.join(cuts, "stratum", "left")
     failed = F.array_compact(F.array(*[F.when(F.col(r) > F.coalesce(F.col(f"cut_{r}"), F.lit(float("inf"))), F.lit(r)) for r in CUTOFFS]))
-    return both.withColumn("failed_rules", failed).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), "failed_rules")
+    return both.withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+
+
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_rules) of each row.
+
+    Null and empty texts have no words and fail the base rules. Null strata are one stratum. Repeated rows are judged alike,
+    different texts of one id each by itself. No rows give none; other columns are ignored.
+    """
+    return _judged(docs, labels, id_col, text_col, stratum_col).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents that pass, as they are. Rows without an id are left out."""
-    keep = judged(docs, labels).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """The rows of documents that pass, as they are, with columns of any names. Rows without an id are left out; repeated rows pass alike."""
+    keep = _judged(docs, labels, "doc_id", "text", "lang").where("kept").select(F.col("doc_id").alias("id"), "h").distinct()
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("held"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"], docs["lang"]).alias("h"))
+    return rows.join(keep, ["id", "h"], "left_semi").select("held.*")

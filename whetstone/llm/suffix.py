@@ -5,7 +5,8 @@ the least hash in it, the leftmost of equals. Equal strings have equal anchors,
 surroundings (fragments) of equal anchors only. Equal fragments are collapsed to their earliest before they are shuffled
 as bytes; what is left is suffix-sorted, in parts by anchor, in two stages: only suffixes smaller than their successors
 are sorted directly, all others are induced from them in one scan over the buckets of first bytes. Adjacent common
-prefixes of 100 bytes or more then form classes, of which the earliest start stays.
+prefixes of 100 bytes or more then form classes, of which the earliest start stays. An anchor with very many different
+fragments is not sorted in one task: its strings go by 128 bits of their own, the earliest kept by each map task first.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from whetstone.llm import common as C
 GRAM = 40
 #: Bytes that one suffix sort takes, beyond the fragments of a single anchor.
 SORT_BYTES = 200_000
+#: Windows of a long text that are read at a time, and fragments of an anchor beyond which it is split by window.
+SEGMENT, HOT = 1 << 22, 20_000
 #: Symbols in a 63-bit word of nine-bit symbols.
 SYMBOLS = 7
 
@@ -120,7 +123,7 @@ def two_stage(text: np.ndarray, depth: int = 105) -> tuple[np.ndarray, np.ndarra
 
 
 _ROW = np.dtype([("key", "<u8"), ("frag", "<u8"), ("doc", "<i8"), ("pos", "<i8"), ("a", "u1"), ("b", "u1"), ("left", "u1"), ("right", "u1")])
-_THIN = np.dtype([("k0", "<u4"), ("k1", "<u2"), ("f0", "<u4"), ("f1", "<u2"), ("doc", "<u4"), ("pos", "<u4"), ("a", "u1"), ("b", "u1"), ("left", "u1"), ("right", "u1")])
+_THIN = np.dtype([("k0", "<u4"), ("k1", "<u2"), ("frag", "<u8"), ("doc", "<u4"), ("pos", "<u4"), ("a", "u1"), ("b", "u1"), ("left", "u1"), ("right", "u1")])
 _M48 = np.uint64((1 << 48) - 1)
 
 
@@ -151,7 +154,7 @@ def _anchors(data: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int) ->
     own, p = owner[j[first]], p[first]
     f0, f1 = np.maximum(at[:-1][own], p - reach), np.minimum(at[1:][own], p + length)
     rows = np.empty(len(p), _ROW)
-    rows["key"], rows["frag"] = h[p] & _M48, C.mixed(roll.spans(f0, f1) + (p - f0).astype(np.uint64)) & _M48
+    rows["key"], rows["frag"] = h[p] & _M48, C.mixed(roll.spans(f0, f1) + (p - f0).astype(np.uint64))
     rows["doc"], rows["pos"] = doc[own], p - at[:-1][own]
     rows["a"], rows["b"], rows["left"], rows["right"] = p - j[first], p - j[last], p - f0, f1 - p
     return rows
@@ -225,7 +228,7 @@ def _thin(rows: np.ndarray) -> tuple[int, bool, np.ndarray]:
         return low, False, rows
     out = np.empty(len(rows), _THIN)
     out["k0"], out["k1"] = rows["key"] & np.uint64(0xFFFFFFFF), rows["key"] >> np.uint64(32)
-    out["f0"], out["f1"] = rows["frag"] & np.uint64(0xFFFFFFFF), rows["frag"] >> np.uint64(32)
+    out["frag"] = rows["frag"]
     out["doc"], out["pos"] = rows["doc"] - low, rows["pos"]
     for c in ("a", "b", "left", "right"):
         out[c] = rows[c]
@@ -238,7 +241,7 @@ def _wide(low: int, thin: bool, blob) -> np.ndarray:
     x = np.frombuffer(blob.as_buffer(), _THIN)
     out = np.empty(len(x), _ROW)
     out["key"] = x["k0"].astype(np.uint64) | (x["k1"].astype(np.uint64) << np.uint64(32))
-    out["frag"] = x["f0"].astype(np.uint64) | (x["f1"].astype(np.uint64) << np.uint64(32))
+    out["frag"] = x["frag"]
     out["doc"], out["pos"] = x["doc"].astype(np.int64) + low, x["pos"]
     for c in ("a", "b", "left", "right"):
         out[c] = x[c]
@@ -259,8 +262,12 @@ def _map(length, nb, nd):
 
         for batch in batches:
             for rows, data, at in C.slices(batch, "text"):
-                held.append(_anchors(data, at, rows.column("doc_id").to_numpy(zero_copy_only=False), length))
-                size += len(held[-1])
+                doc = rows.column("doc_id").to_numpy(zero_copy_only=False)
+                for s in range(0, max(len(data), 1), SEGMENT if len(at) == 2 else max(len(data), 1)):  # a long text is a slice of its own
+                    part = data[s : s + SEGMENT + length - 1] if len(at) == 2 else data
+                    held.append(_anchors(part, np.array([0, len(part)]) if len(at) == 2 else at, doc, length))
+                    held[-1]["pos"] += s
+                size = sum(map(len, held))
                 if 2 * size >= C.FLUSH_ROWS:
                     yield from flush()
                     held, size = [], 0
@@ -270,7 +277,7 @@ def _map(length, nb, nd):
     return run
 
 
-_ASK = np.dtype([("doc", "<i8"), ("key", "<u8"), ("start", "<i8"), ("n", "<i8")])
+_ASK = np.dtype([("doc", "<i8"), ("key", "<u8"), ("start", "<i8"), ("n", "<i8"), ("hot", "u1")])
 
 
 def _reduce(length, nd):
@@ -284,34 +291,90 @@ def _reduce(length, nd):
         rows, spans = _collapse(rows, length)
         new = np.concatenate(([True], rows["key"][1:] != rows["key"][:-1]))
         group = np.cumsum(new) - 1
-        rows = rows[np.bincount(group)[group] > 1]
+        many = np.bincount(group)[group]
+        rows, many = rows[many > 1], many[many > 1]
         ask = np.empty(len(rows), _ASK)
+        ask["hot"] = many > HOT
         ask["doc"], ask["key"], ask["start"], ask["n"] = rows["doc"], rows["key"], rows["pos"] - rows["left"], rows["left"].astype(np.int64) + rows["right"]
         return pa.concat_tables([pa.table(_spans(1, spans, nd)), pa.table(_by_doc(2, ask, ask["doc"], nd))])
 
     return run
 
 
-def _fragments(nb):
-    """Packs the asked fragments of each document by anchor."""
+_WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("start", "<i8")])
+
+
+def _windows(raw: np.ndarray, asks: np.ndarray, doc: int, length: int) -> np.ndarray:
+    """Of hot fragments each window of a text once, by 128 bits of its bytes."""
+    at = np.unique(np.concatenate([np.arange(s, s + n - length + 1) for s, n in zip(asks["start"].tolist(), asks["n"].tolist(), strict=True)]))
+    out = np.empty(len(at), _WINDOW)
+    out["doc"], out["start"] = doc, at
+    for name, data in (("h1", raw), ("h2", _OTHER[raw])):
+        out[name] = C.Rolling(data).spans(at, at + length)
+    # the second is of other bytes, each with its neighbour, so that no pair of texts has both alike by one cause
+    out["h2"] = C.mixed(out["h2"] + C.Rolling(raw[::-1].copy()).spans(len(raw) - at - length, len(raw) - at) * np.uint64(0x9E3779B97F4A7C15))
+    return out
+
+
+_OTHER = np.random.default_rng(5).permutation(256).astype(np.uint8)
+
+
+def _earliest(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The earliest of equal windows, and all others."""
+    rows = rows[np.lexsort((rows["start"], rows["doc"], rows["h2"], rows["h1"]))]
+    new = np.concatenate(([True], (rows["h1"][1:] != rows["h1"][:-1]) | (rows["h2"][1:] != rows["h2"][:-1]))) if len(rows) else np.zeros(0, bool)
+    head = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0)) if len(rows) else np.zeros(0, int)
+    later = (rows["doc"] != rows["doc"][head]) | (rows["start"] != rows["start"][head])
+    return rows[new], rows[later]
+
+
+def _fragments(nb, nd, length):
+    """Kind 0: the asked fragments of each document, packed by anchor; kind 3: the windows of hot ones, by hash, of equal ones the earliest; kind 1: spans of the others."""
 
     def run(batches):
+        hot = []
+
+        def flush():
+            first, later = _earliest(np.concatenate(hot))
+            out = list(C.packed((C.mixed(first["h1"]) % np.uint64(nb)).astype(np.int64), first))
+            yield rows_of(3, [b for b, _ in out], [None] * len(out), [x for _, x in out])
+            spans = _spans(1, _merged(later["doc"], later["start"], later["start"] + length), nd)
+            yield rows_of(1, spans["bucket"].to_pylist(), [None] * len(spans["bucket"]), spans["rows"].to_pylist())
+
+        def rows_of(kind, buckets, heads, blobs):
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(buckets), pa.int32()), pa.array(buckets, pa.int32()), pa.array(heads, pa.binary()), pa.array(blobs, pa.binary())], names=["kind", "bucket", "head", "bytes"])
+
         for batch in batches:
             held: dict[int, list[tuple[int, int, int, bytes]]] = {}
             for doc, text, asks in zip(batch["doc_id"].to_pylist(), batch["text"], batch["asks"].to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 a = np.frombuffer(asks, _ASK)
+                some = a[(a["hot"] > 0) & (a["n"] >= length)]
+                if len(some):
+                    hot.append(_windows(np.frombuffer(raw, np.uint8), some, doc, length))
+                a = a[a["hot"] == 0]
                 for b, key, s, n in zip((C.mixed(a["key"]) % np.uint64(nb)).tolist(), a["key"].tolist(), a["start"].tolist(), a["n"].tolist(), strict=True):
                     held.setdefault(b, []).append((key, doc, s, raw[s : s + n]))
             ks = list(held)
-            head = [np.array([x[:3] + (len(x[3]),) for x in held[k]], np.int64).tobytes() for k in ks]
-            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(head, pa.binary()), pa.array([b"".join(x[3] for x in held[k]) for k in ks], pa.binary())], names=["bucket", "head", "bytes"])
+            yield rows_of(0, ks, [np.array([x[:3] + (len(x[3]),) for x in held[k]], np.int64).tobytes() for k in ks], [b"".join(x[3] for x in held[k]) for k in ks])
+            if sum(map(len, hot)) > C.FLUSH_ROWS:
+                yield from flush()
+                hot = []
+        if hot:
+            yield from flush()
 
     return run
 
 
 def _sort(length, nd):
     def run(table: pa.Table) -> pa.Table:
+        kind = table["kind"][0].as_py()
+        if kind == 1:
+            spans = C.unpacked([x for c in table["bytes"].chunks for x in c], _SPAN)
+            return pa.table(_spans(1, _merged(spans["doc"], spans["start"], spans["end"]), nd))
+        if kind == 3:
+            _, later = _earliest(C.unpacked([x for c in table["bytes"].chunks for x in c], _WINDOW))
+            return pa.table(_spans(1, _merged(later["doc"], later["start"], later["start"] + length), nd))
         head = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 4) for x in table["head"].to_pylist()])
         data = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8)
         at = np.cumsum(head[:, 3]) - head[:, 3]
@@ -379,19 +442,22 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_bytes, n_removed, n_spans, kept): the bytes of each text that no earlier string of `length` bytes repeats.
 
     kept is the rest in bytes (cuts may split a character), or its SHA-256 (digests). Null texts count as empty. Rows
-    without an id have no place in the order and are left out; rows that repeat an id share its spans.
+    without an id have no place in the order and are left out; rows that repeat an id and its text share its spans, different
+    texts of one id are texts of their own. No rows give none; other columns are ignored. Texts of any length are read in
+    segments.
     """
     spark = docs.sparkSession
     nb = C.buckets(spark)
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), C.text_column(docs, text_col).alias("text")).where("doc_id is not null")
+    docs, names = C.keyed(docs, id_col, text_col)
     nd = max(8, nb // 8)
     mapped = docs.mapInArrow(_map(length, nb, nd), _OUT)
     # kind 0 is grouped by the anchors' buckets, kind 1 by the documents'
     reduced = C.durable(mapped.groupBy("kind", "bucket").applyInArrow(_reduce(length, nd), _OUT))
     asks = C.durable(reduced.where("kind = 2").groupBy("bucket").applyInArrow(_each_doc(_ASK, False), "doc_id long, rows binary"))
-    fragments = docs.join(asks, "doc_id").select("doc_id", "text", F.col("rows").alias("asks")).mapInArrow(_fragments(nb), "bucket int, head binary, bytes binary")
-    sorted_ = C.durable(fragments.groupBy("bucket").applyInArrow(_sort(length, nd), _OUT))
+    fragments = docs.join(asks, "doc_id").select("doc_id", "text", F.col("rows").alias("asks")).mapInArrow(_fragments(nb, nd, length), "kind int, bucket int, head binary, bytes binary")
+    sorted_ = C.durable(fragments.groupBy("kind", "bucket").applyInArrow(_sort(length, nd), _OUT))
     parts = [x.where("kind = 1").select("bucket", "rows") for x in (reduced, sorted_)]
     spans = C.durable(parts[0].unionByName(parts[1]).groupBy("bucket").applyInArrow(_each_doc(_SPAN, True), "doc_id long, rows binary"))
     both = docs.join(spans.withColumnRenamed("rows", "spans"), "doc_id", "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(_cut(digests), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if digests else 'binary'}")
+    out = both.mapInArrow(_cut(digests), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if digests else 'binary'}")
+    return C.renamed(out, names, "doc_id").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
