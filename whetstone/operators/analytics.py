@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from whetstone.sources.files import reread, scratch
+
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: Sequence[str]) -> DataFrame:
     """For each left row the values of the latest right row of its key that is not later. One shuffle by key, no range join.
@@ -37,18 +39,21 @@ def funnel(events: DataFrame, user: str, ts: str, kind: str, stages: Sequence[st
     return counts.select(F.inline(F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit(s).alias("stage"), F.col(f"n{i}").alias("users")) for i, s in enumerate(stages)])))
 
 
-def cumulative_share(df: DataFrame, key: str, value: str, parts: int = 64) -> DataFrame:
+def cumulative_share(df: DataFrame, key: str, value: str) -> DataFrame:
     """Rows with `running` and `share`: values summed from the largest on, over the total, ties by key.
 
-    Sums of value ranges precede sums within a range, so no task holds all rows.
+    Rows are dealt by range of (value, key), so equal values part by key; sums of ranges precede sums within a range, and no
+    task holds all rows.
     """
-    cuts = df.agg(F.percentile_approx(value, [i / parts for i in range(parts + 1)], 1000).alias("c"))
-    ranged = df.crossJoin(F.broadcast(cuts)).withColumn("__p", F.size(F.filter("c", lambda c: c > F.col(value)))).drop("c")  # one row on the right
-    sums = ranged.groupBy("__p").agg(F.sum(value).alias("s"))
-    every = Window.orderBy("__p")  # at most parts + 2 rows
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, F.desc(value), key).withColumn("__p", F.spark_partition_id())
+    dealt = reread(dealt, scratch(spark, "ranges"))
+    sums = dealt.groupBy("__p").agg(F.sum(value).alias("s"))
+    every = Window.orderBy("__p")  # a row for each range
     ahead = sums.select("__p", (F.sum("s").over(every) - F.col("s")).alias("__ahead"), F.sum("s").over(Window.partitionBy(F.lit(0))).alias("__total"))
     w = Window.partitionBy("__p").orderBy(F.desc(value), key).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(F.broadcast(ahead), "__p").withColumn("running", F.col("__ahead") + F.sum(value).over(w))
+    out = dealt.join(F.broadcast(ahead), "__p").withColumn("running", F.col("__ahead") + F.sum(value).over(w))  # `parts` rows at most
     return out.withColumn("share", F.col("running") / F.col("__total")).drop("__p", "__ahead", "__total")
 
 

@@ -6,23 +6,28 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from whetstone.functions import text as X
+from whetstone.sources.files import reread, scratch
 
 
-def profile(df: DataFrame, exact: bool = True, width: int = 10) -> DataFrame:
-    """(column, distinct_count, null_pct, min, max): one pass over the table; exact counts take `width` columns a pass."""
-    distinct = F.count_distinct if exact else F.approx_count_distinct
-    parts = []
-    step = width if exact else len(df.columns)
-    for first in range(0, len(df.columns), step):
-        cols = df.columns[first : first + step]
-        one = df.agg(F.count("*").alias("__n"), *[x for i, c in enumerate(cols) for x in (distinct(c).alias(f"d{i}"), F.count_if(F.col(c).isNull()).alias(f"z{i}"), F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}"))])
-        rows = [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("distinct_count"), F.round(100.0 * F.col(f"z{i}") / F.nullif(F.col("__n"), F.lit(0)), 2).alias("null_pct"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max")) for i, c in enumerate(cols)]
-        parts.append(one.select(F.inline(F.array(*rows))))
-    return reduce(DataFrame.unionByName, parts)
+def profile(df: DataFrame, exact: bool = True) -> DataFrame:
+    """(column, distinct_count, null_pct, min, max) of each column.
+
+    Approximate counts take one pass over the table. Exact ones come from (column, value) counts: two aggregations by
+    value and then by column, so no row is expanded by the distinct columns of one aggregate.
+    """
+    cols = df.columns
+    total = df.agg(F.count("*").alias("__n"), *[x for i, c in enumerate(cols) for x in (F.approx_count_distinct(c).alias(f"d{i}"), F.count_if(F.col(c).isNull()).alias(f"z{i}"), F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}"))])
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("distinct_count"), F.round(100.0 * F.col(f"z{i}") / F.nullif(F.col("__n"), F.lit(0)), 2).alias("null_pct"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max")) for i, c in enumerate(cols)]
+    about = total.select(F.inline(F.array(*rows)))
+    if not exact:
+        return about
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))).where("value is not null")
+    counts = values.groupBy("column", "value").agg(F.lit(1)).groupBy("column").agg(F.count("*").alias("exact"))
+    return about.join(counts, "column", "left").select("column", F.coalesce("exact", F.lit(0)).alias("distinct_count"), "null_pct", "min", "max")
 
 
 def enumerated(df: DataFrame, columns: Sequence[str], most: int = 50) -> DataFrame:
@@ -34,46 +39,54 @@ def enumerated(df: DataFrame, columns: Sequence[str], most: int = 50) -> DataFra
     return out.withColumn("case_sensitive", F.size(F.array_distinct(F.transform("values", F.lower))) < F.size("values"))
 
 
-def catalog(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, column, type, ordinal) of tables, from their schemas."""
-    return spark.createDataFrame([(t, f.name, f.dataType.simpleString(), i + 1) for t, df in sorted(tables.items()) for i, f in enumerate(df.schema)], "table string, column string, type string, ordinal int")
-
-
 def merged_edges(*sources: DataFrame) -> DataFrame:
-    """Edges (src, dst, source, weight) of several sources: largest weight, sorted source names."""
-    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
-    return every.where("src <> dst").groupBy("src", "dst").agg(F.max("weight").alias("weight"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("source"))
+    """Edges (src, dst, weight, source, join_key) of several sources: largest weight, sorted source names, the join key of the last source that has one."""
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [x.withColumn("__i", F.lit(i)) for i, x in enumerate(sources)])
+    if "join_key" not in every.columns:
+        every = every.withColumn("join_key", F.lit(None).cast("string"))
+    last = F.max(F.when(F.col("join_key").isNotNull(), F.struct("__i", "join_key")))["join_key"]
+    return every.where("src <> dst").groupBy("src", "dst").agg(F.max("weight").alias("weight"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("source"), last.alias("join_key"))
 
 
 def shortest_paths(edges: DataFrame, starts: DataFrame, hops: int | None = 4) -> DataFrame:
-    """(start, node, path, n): the least text among shortest directed paths, breadth first, one join a hop; visited nodes are not visited again. Without hops, until no new node is found."""
+    """(start, node, path, n): the least text among shortest directed paths, breadth first, one join a hop; visited nodes are not visited again. Without hops, until no new node is found.
+
+    Each hop is written to the shared folder, so the plan does not grow with the hops.
+    """
+    spark = edges.sparkSession
+    edges = reread(edges, scratch(spark, "edges"))
     seen = starts.select(F.col("node").alias("start"), "node", F.col("node").cast("string").alias("path"), F.lit(0).alias("n"))
     front = seen
     for hop in count(1) if hops is None else range(1, hops + 1):
         step = front.join(edges, front["node"] == edges["src"]).select("start", F.col("dst").alias("node"), F.concat_ws(">", "path", F.col("dst").cast("string")).alias("path"))
-        front = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").groupBy("start", "node").agg(F.min("path").alias("path")).withColumn("n", F.lit(hop))
-        if edges.sparkSession.sparkContext.getCheckpointDir():
-            front = front.checkpoint()
-        elif hops is None:
-            front = front.localCheckpoint()
-        if hops is None and front.isEmpty():
+        new = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").groupBy("start", "node").agg(F.min("path").alias("path")).withColumn("n", F.lit(hop))
+        front = reread(new, scratch(spark, "front"))
+        if front.isEmpty():
             break
         seen = seen.unionByName(front)
     return seen
 
 
 def similar_values(values: DataFrame, least: float = 0.3) -> DataFrame:
-    """(a, b, similarity) of values whose gram sets' Jaccard reaches `least`, exactly: an inverted index of grams counts intersections."""
-    g = values.select("value", X.grams(F.lower("value")).alias("g")).withColumn("n", F.size("g"))
-    index = g.select("value", "n", F.explode("g").alias("gram"))
-    other = index.select(F.col("value").alias("b"), F.col("n").alias("nb"), "gram")
-    both = index.join(other, "gram").where((F.col("value") < F.col("b")) & (F.least("n", "nb") >= least * F.greatest("n", "nb")))
-    i = both.groupBy(F.col("value").alias("a"), "b", "n", "nb").agg(F.count("*").alias("i"))
-    return i.withColumn("similarity", F.col("i") / (F.col("n") + F.col("nb") - F.col("i"))).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    """(a, b, similarity) of values whose gram sets' Jaccard reaches `least`, exactly.
+
+    Grams are ordered from the rarest on. Of n grams, two such sets have one of the first n - ceil(least * n) + 1 in common,
+    so only these are joined, within the sizes that can reach `least`: frequent grams are rarely among them.
+    """
+    g = values.where("value is not null").distinct().select("value", X.grams(F.lower("value")).alias("g"))
+    often = g.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("often"))
+    ranked = g.select("value", F.explode("g").alias("gram")).join(often, "gram").groupBy("value").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("r"))
+    ranked = ranked.select("value", F.col("r.gram").alias("g"), F.size("r").alias("n"))
+    first = F.slice("g", F.lit(1), F.col("n") - F.ceil(F.lit(least) * F.col("n")).cast("int") + 1)
+    index = ranked.select(F.col("value").alias("a"), F.col("n").alias("na"), F.explode(first).alias("gram"))
+    other = index.select(F.col("a").alias("b"), F.col("na").alias("nb"), "gram")
+    pairs = index.join(other, "gram").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b").distinct()
+    ga, gb = ranked.select(F.col("value").alias("a"), F.col("g").alias("ga")), ranked.select(F.col("value").alias("b"), F.col("g").alias("gb"))
+    return pairs.join(ga, "a").join(gb, "b").withColumn("similarity", X.jaccard(F.col("ga"), F.col("gb"))).where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
-def similar_values_lsh(values: DataFrame, least: float = 0.3, bands: int = 42, rows: int = 3) -> DataFrame:
-    """The same by MinHash bands: candidates share a band, then the true Jaccard decides."""
+def similar_values_lsh(values: DataFrame, least: float = 0.3, bands: int = 63, rows: int = 2) -> DataFrame:
+    """The same by MinHash bands: candidates share a band, then the true Jaccard decides. At 0.3 a pair shares one in 0.997 of cases."""
     g = values.select("value", X.grams(F.lower("value")).alias("g")).withColumn("m", X.minhash(F.col("g"), bands * rows))
     banded = g.select("value", "g", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("m", b * rows + 1, F.lit(rows))))).alias("band", "bucket"))
     pairs = banded.select(F.col("value").alias("a"), "band", "bucket").join(banded.select(F.col("value").alias("b"), "band", "bucket"), ["band", "bucket"]).where("a < b").select("a", "b").distinct()
@@ -81,12 +94,53 @@ def similar_values_lsh(values: DataFrame, least: float = 0.3, bands: int = 42, r
     return pairs.join(ga, "a").join(gb, "b").withColumn("similarity", X.jaccard(F.col("ga"), F.col("gb"))).where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
+#: Vectors of a block of the corpus and of the queries.
+CORPUS_BLOCK, QUERY_BLOCK = 8192, 1024
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, floor: float = -1.0) -> DataFrame:
-    """(query_id, vec_id, similarity): the k nearest by cosine, ties by id; a stated set of queries against all rows."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    both = corpus.join(q, F.col("vec_id") != F.col("query_id")).withColumn("similarity", X.cosine(F.col("embedding"), F.col("q"))).where(F.col("similarity") >= floor)
+    """(query_id, vec_id, similarity, rank): the k nearest by cosine, ties by id; a stated set of queries against all rows.
+
+    Blocks of queries meet blocks of the corpus in tasks of bounded size, which return k rows a query; these are then
+    merged. A row is no neighbour of itself; null and zero vectors, and others of another length, are nobody's.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def blocks(df, size):
+        return max(1, -(-df.count() // size))
+
+    nc, nq = blocks(corpus, CORPUS_BLOCK), blocks(queries, QUERY_BLOCK)
+    task = lambda c, q: F.struct(c.cast("long").alias("c"), q.cast("long").alias("q"))
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("vec_id", "embedding", F.lit(True).alias("asks"), own(nq).alias("q"), every(nc).alias("c"))
+    right = corpus.select("vec_id", "embedding", F.lit(False).alias("asks"), own(nc).alias("c"), every(nq).alias("q"))
+    both = left.unionByName(right).where("vec_id is not null and embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "asks", F.size("embedding").alias("dim"), task(F.col("c"), F.col("q")).alias("task"))
+
+    def top(table: pa.Table) -> pa.Table:
+        d = table["dim"][0].as_py()
+        values = table["embedding"].combine_chunks().flatten()
+        x = np.nan_to_num(values.to_numpy(zero_copy_only=False).reshape(-1, d), nan=0.0) if d else np.zeros((len(table), 0))
+        norm = np.linalg.norm(x, axis=1)
+        good = norm > 0
+        ids, asks = table["vec_id"].to_numpy(), table["asks"].to_numpy()
+        q, c = np.flatnonzero(asks & good), np.flatnonzero(~asks & good)
+        c = c[np.argsort(ids[c])]
+        out = []
+        for at in q.tolist() if len(c) else []:
+            s = (x[c] @ x[at]) / (norm[c] * norm[at])
+            s[ids[c] == ids[at]] = -np.inf
+            cut = np.partition(s, -k)[-k] if len(s) > k else -np.inf
+            some = np.flatnonzero((s >= max(cut, floor)) & (s > -np.inf))
+            some = some[np.argsort(-s[some], kind="stable")][:k]
+            out.append((np.full(len(some), ids[at]), ids[c[some]], s[some]))
+        cols = [np.concatenate(v) if out else np.zeros(0, t) for v, t in zip(zip(*out, strict=True) if out else ((), (), ()), (np.int64, np.int64, np.float64), strict=True)]
+        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "similarity": pa.array(cols[2], pa.float64())})
+
+    found = both.groupBy("task", "dim").applyInArrow(top, "query_id long, vec_id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return both.select("query_id", "vec_id", "similarity", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -95,3 +149,124 @@ def chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     parts = docs.select("doc_id", "text", F.posexplode(starts).alias("part", "at"))
     out = parts.select("doc_id", "part", F.trim(F.substring("text", F.col("at"), F.lit(size))).alias("chunk")).where("chunk <> ''")
     return out.select("doc_id", "part", F.col("chunk").alias("text"), X.short_hash(F.col("chunk")).alias("hash"), F.length("chunk").alias("char_count"))
+
+
+def extremes(df: DataFrame) -> DataFrame:
+    """(column, min, max, format) of numeric, date and timestamp columns as text, in one pass; other columns are left out."""
+    kinds = {c: t for c, t in df.dtypes if t.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "date", "timestamp"))}
+    form = lambda t: "YYYY-MM-DD HH:MM:SS" if t.startswith("timestamp") else "YYYY-MM-DD" if t == "date" else "numeric"
+    text = lambda c, t: F.date_format(c, "yyyy-MM-dd HH:mm:ss") if t.startswith("timestamp") else c.cast("string")
+    one = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), text(F.min(c), t).alias("min"), text(F.max(c), t).alias("max"), F.lit(form(t)).alias("format")) for c, t in kinds.items()]).alias("x"))
+    return one.select(F.inline("x"))
+
+
+#: Formats that all values of a column may have, the first that fits counts.
+FORMATS = {"6-digit zero-padded string": r"^\d{6}$", "4-digit code": r"^\d{4}$", "email": "@", "UUID": r"^[0-9a-fA-F-]{36}$"}
+
+
+def formats(df: DataFrame) -> DataFrame:
+    """(column, format) of text columns by all their values, nulls and empty ones aside; null where none fits or there is no value."""
+    def of(c):
+        v = F.when(F.col(c) != "", F.col(c))
+        found = F.lit(None).cast("string")
+        for name, p in reversed(FORMATS.items()):
+            found = F.when(F.bool_and(v.rlike(p)), name).otherwise(found)
+        return F.struct(F.lit(c).alias("column"), found.alias("format"))
+
+    return df.agg(F.array(*[of(c) for c, t in df.dtypes if t == "string"]).alias("x")).select(F.inline("x"))
+
+
+def bridges(paths: DataFrame) -> DataFrame:
+    """(start, node, bridge): the nodes between the ends of each path."""
+    between = F.split("path", ">")
+    return paths.select("start", "node", F.explode(F.slice(between, F.lit(2), F.greatest(F.size(between) - 2, F.lit(0)))).alias("bridge"))
+
+
+def hop_keys(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(start, node, hop, join_key) of each hop of each path, from 1; an edge without a key joins on '<src>.id'."""
+    nodes = F.split("path", ">")
+    hops = F.transform(F.sequence(F.lit(1), F.size(nodes) - 1), lambda i: F.struct(i.alias("hop"), F.element_at(nodes, i).alias("src"), F.element_at(nodes, i + 1).alias("dst")))
+    flat = paths.select("start", "node", F.inline(hops))
+    return flat.join(edges.select("src", "dst", "join_key"), ["src", "dst"], "left").select("start", "node", "hop", F.coalesce("join_key", F.concat("src", F.lit(".id"))).alias("join_key"))
+
+
+#: Vectors that cells are fitted on, and queries that the number of probed cells is measured on: at most so many.
+FIT_ROWS, CALIBRATION_ROWS = 20_000, 200
+
+
+def nearest_in_cells(queries: DataFrame, corpus: DataFrame, k: int, recall: float = 0.95) -> DataFrame:
+    """(query_id, vec_id, similarity, rank) as `nearest`, from the cells nearest to a query only.
+
+    Cells are k-means centres of a bounded sample; every row is put into its cell. How many cells a query probes is the least
+    number that finds `recall` of the true neighbours of a bounded sample of queries.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark = corpus.sparkSession
+    unit = lambda df: df.where("vec_id is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("e")).withColumn("n", F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))).where("n > 0").select("vec_id", F.transform("e", lambda x: x / F.col("n")).alias("e"))
+    rows = unit(corpus)
+    total = corpus.count()
+    if not total:
+        return nearest(queries, corpus, k)
+    sample = np.array([x["e"] for x in rows.orderBy(F.xxhash64("vec_id")).limit(FIT_ROWS).collect()])  # bounded: FIT_ROWS
+    cells = max(1, min(1024, int(total**0.5) // 4))
+    centres = sample[:: max(1, len(sample) // cells)][:cells].copy()
+    for _ in range(8):
+        near = (sample @ centres.T).argmax(1)
+        for c in range(len(centres)):
+            if (near == c).any():
+                m = sample[near == c].mean(0)
+                centres[c] = m / max(np.linalg.norm(m), 1e-12)
+
+    def ranked(probes):
+        def run(batches):
+            for b in batches:
+                x = b["e"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                top = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
+                yield pa.RecordBatch.from_arrays([b["vec_id"], b["e"], pa.array(list(top.astype(np.int32)), pa.list_(pa.int32()))], names=["vec_id", "e", "cells"])
+
+        return run
+
+    asked = unit(queries)
+    some = np.array([x["e"] for x in asked.orderBy(F.xxhash64("vec_id")).limit(CALIBRATION_ROWS).collect()]).reshape(-1, sample.shape[1])  # bounded
+    true = np.argsort(-(some @ sample.T), axis=1)[:, :k]
+    place = np.argsort(np.argsort(-(some @ centres.T), axis=1), axis=1)
+    deep = np.take_along_axis(place, (sample @ centres.T).argmax(1)[true], 1)
+    probes = int(np.quantile(deep, recall, method="higher")) + 1 if len(some) else 1
+    schema = "vec_id long, e array<double>, cells array<int>"
+    held = rows.mapInArrow(ranked(1), schema).select("vec_id", "e", F.col("cells")[0].alias("cell"))
+    held = reread(held, scratch(spark, "cells"), by=["cell"])
+    probing = asked.mapInArrow(ranked(probes), schema).select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"), F.explode("cells").alias("cell"))
+    dot = F.aggregate(F.zip_with("e", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    both = probing.join(held, "cell").where("query_id <> vec_id").select("query_id", "vec_id", dot.alias("similarity"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def embedded(texts: DataFrame, dim: int = 256, embed=None, batch: int = 2048) -> DataFrame:
+    """texts with an `embedding`: by `embed`, a function of a list of texts that is called in batches, else hashed 3-grams of unit length."""
+    import numpy as np
+    import pyarrow as pa
+
+    def hashed(some: list[str]) -> np.ndarray:
+        out = np.zeros((len(some), dim), np.float32)
+        for i, t in enumerate(some):
+            raw = np.frombuffer(t.lower().encode(), np.uint8).astype(np.uint32)
+            if len(raw) > 2:
+                h = (raw[:-2] * np.uint32(40503) + raw[1:-1] * np.uint32(30011) + raw[2:] * np.uint32(20011)) * np.uint32(2654435761) >> np.uint32(16)
+                out[i] = np.bincount(h % dim, minlength=dim)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+    call = embed or hashed
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                got = np.asarray(call([t or "" for t in part["text"].to_pylist()]), np.float32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(got), pa.list_(pa.float32()))], names=[*part.schema.names, "embedding"])
+
+    from pyspark.sql import types as T
+
+    return texts.mapInArrow(run, T.StructType([*texts.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))

@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from whetstone.functions import sqltext as Q
 from whetstone.functions import text as X
 from whetstone.operators import analytics as A
 from whetstone.operators import metadata as M
 from whetstone.registry import query
 
-_TEMPLATES = ("SELECT c_name FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey", "SELECT * FROM lineitem JOIN orders ON lineitem.l_orderkey = orders.o_orderkey", "WITH x AS (SELECT * FROM part) SELECT * FROM x", "DELETE FROM orders", "", "SELECT n_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey;")
-_SQL_LOG = "(SELECT o_orderkey AS id, o_orderdate AS updated_at, CASE o_orderkey % 6 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TEMPLATES)) + " END AS sql_text FROM orders)"
-
-
-def _sql_log(r):
-    case = F.element_at(F.array(*[F.lit(t) for t in _TEMPLATES]), (F.col("o_orderkey") % 6 + 1).cast("int"))
-    return r("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("updated_at"), case.alias("sql_text"))
+_SQL_LOG, _sql_log = Q.LOG, Q.sql_log
 
 
 _CALLS = "(SELECT event_type AS stage, CASE WHEN event_id % 2 = 0 THEN 'large' ELSE 'small' END AS model, event_id % 1000 AS input_tokens, event_id % 200 AS output_tokens FROM events)"
@@ -119,7 +114,7 @@ def f8(r):
 
 @query("f9_read_only", f"SELECT id, coalesce(upper(regexp_extract(sql_text, '^\\s*(\\w+)', 1)) IN ('SELECT', 'WITH'), FALSE) AS ok FROM {_SQL_LOG}")
 def f9(r):
-    return _sql_log(r).select("id", X.is_read_only(F.col("sql_text")).alias("ok"))
+    return _sql_log(r).select("id", Q.read_only(F.col("sql_text")).alias("ok"))
 
 
 @query("f11_clean_sql", f"SELECT id, CASE WHEN contains(upper(sql_text), 'LIMIT') THEN rtrim(sql_text, ';') ELSE rtrim(sql_text, ';') || ' LIMIT 50' END AS clean FROM {_SQL_LOG} WHERE sql_text <> ''")
@@ -142,7 +137,7 @@ def f23(r):
 def g3(r):
     e = r("lineitem").groupBy(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).agg(F.count("*").alias("n"))
     e = e.select("src", "dst", X.frequency_weight(F.col("n")).alias("weight"), F.lit("lines").alias("source"))
-    return M.merged_edges(e, e.withColumn("weight", F.lit(0.1)))
+    return M.merged_edges(e).drop("join_key")
 
 
 @query("g4_shortest_paths", "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 40 AS src, l_partkey % 40 AS dst FROM lineitem WHERE l_orderkey % 20 = 0 AND l_suppkey % 40 <> l_partkey % 40), w AS (SELECT src AS start, src AS node, CAST(src AS VARCHAR) AS path, 0 AS n FROM (SELECT DISTINCT src FROM e) UNION ALL SELECT start, dst, path || '>' || dst, n + 1 FROM w JOIN e ON node = src WHERE n < 2) SELECT start, node, n, min(path) AS path FROM (SELECT *, min(n) OVER (PARTITION BY start, node) AS least FROM w) WHERE n = least GROUP BY 1, 2, 3")
@@ -202,7 +197,7 @@ def _nested_sql(x, pats):
     return x
 
 
-@query("t12_redaction", f"SELECT doc_id, md5({_nested_sql('text', X.PII.values())}) AS h FROM documents")
+@query("t12_redaction", f"SELECT doc_id, md5({_nested_sql('text', X.POLICY)}) AS h FROM documents")
 def t12(r):
     return r("documents").select("doc_id", F.md5(X.redacted(F.col("text"))).alias("h"))
 

@@ -10,12 +10,26 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
+class Reader:
+    """The tables of a folder, as they are or as streams."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+
+    def stream(self, table: str) -> DataFrame:
+        # a pattern, as a streaming source takes a plain path for a folder
+        return self.spark.readStream.schema(self(table).schema).parquet(f"{self.sf_dir}/[{table[0]}]{table[1:]}.parquet")
+
+
 def query(name: str, sql: str | None = None):
-    """Registers a function (table reader) -> DataFrame under a name."""
+    """Registers a function Reader -> DataFrame under a name."""
 
     def put(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            return f(Reader(spark, sf_dir))
 
         _QUERIES[name] = run
         if sql:

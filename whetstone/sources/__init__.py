@@ -1 +1 @@
-"""Readers, writers and metadata sources."""
+"""Readers and writers of the files a warehouse tool meets: catalogs, manifests, saved questions, documents, exports."""

@@ -1 +1 @@
-"""Structured Streaming jobs over the same transformations as the batch operators."""
+"""Structured Streaming jobs: rates, latency quantiles, limits, cached answers, feedback, timings, ingest."""
