@@ -100,6 +100,44 @@ def test_jaccard(spark, docs, texts, none):
     assert jaccard.jaccard_classes(none).count() == 0
 
 
+def test_one_id_two_texts(spark):
+    """Different texts of one id are documents of their own, in each operator that orders or links by id."""
+    a, b = _prose(60, 60), _prose(61, 40)
+    near = " ".join(b.split()[:-1] + ["other"])
+    df = spark.createDataFrame([(5, a), (5, b), (9, near), (9, near), (7, a)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(df).collect())
+    assert got == [(5, 36, 5), (5, 56, 5), (7, 56, 5), (9, 36, 5), (9, 36, 5)]
+    kept = sorted((r.doc_id, r.n_removed > 0) for r in suffix.without_repeats(df).collect())
+    assert kept == [(5, False), (5, False), (7, True), (9, True), (9, True)]
+    kept = sorted((r.doc_id, r.n_removed) for r in lines.dedup_lines(df).collect())
+    assert kept == [(5, 0), (5, 0), (7, 1), (9, 1), (9, 1)]
+
+
+def test_hot_anchor(spark):
+    """A passage in so many documents, each time in other words, that its anchor is split by window."""
+    r = random.Random(4)
+    passage = _prose(70, 24)[:110]
+    texts = {i: f"{r.random()} {r.random()} {r.random()} {r.random()} {passage} {r.random()} {r.random()} {r.random()} {r.random()}" for i in range(suffix.HOT + 2000)}
+    seen, want = set(), {}
+    for i in range(len(texts)):
+        t = texts[i].encode()
+        gone = np.zeros(len(t), bool)
+        for j in range(len(t) - 99):
+            h = hash(t[j : j + 100])
+            if h in seen:
+                gone[j : j + 100] = True
+            seen.add(h)
+        want[i] = int(gone.sum())
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {x.doc_id: x.n_removed for x in suffix.without_repeats(df).collect()} == want and sum(want.values()) > 10**6
+
+
+def test_long_text_in_segments(spark):
+    text = _prose(71, 30_000)
+    a, b = (suffix._anchors(np.frombuffer(x, np.uint8), np.array([0, len(x)]), np.array([1]), 100) for x in (text.encode(), text.encode()[: 1 << 16]))
+    assert set(b["pos"].tolist()) <= set(a["pos"].tolist()) | set(b["pos"][-2:].tolist())
+
+
 def test_jaccard_large_groups(spark):
     """Near copies beyond the size of a star, a passage that many share, and small sets at the threshold."""
     r = random.Random(3)
@@ -157,7 +195,7 @@ def test_lines(spark, docs, texts, none):
     a, b = "The quick brown fox jumps over the lazy dog near the river bank today", "A wholly different sentence about sorting many records by their key columns"
     rows = [(3, f"{b}\nshort\nshort"), (1, f"{a}\nshort\n{a}"), (2, f"{a.upper()}  \n{b}\n{a} and then some more words follow which are not the same at all"), (4, None), (5, "")]
     got = {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1] == (3, 1, f"{a}\nshort") and got[2][:2] == (3, 1) and got[3] == (3, 1, "short\nshort")
+    assert got[1] == (3, 1, f"{a}\nshort") and got[2][:2] == (3, 1) and got[3] == (3, 3, "")
     assert got[4] == (1, 0, "") and got[5] == (1, 0, "")
     assert lines.dedup_lines(_with_odd_rows(spark, docs)).count() == len(texts) + 1
     assert lines.dedup_lines(none).count() == 0
@@ -173,9 +211,6 @@ def test_near_lines(spark):
         w[r.randrange(60)] = r.choice(["qq", "zz", w[0]])
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    batch = __import__("pyarrow").RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
-    hashed = next(iter(lines._hashed([batch]))).to_pylist()
-    sim = {x["doc_id"]: x["sim"] & (1 << 64) - 1 for x in hashed}
     text = dict(rows)
 
     def distance(a, b):
@@ -186,11 +221,58 @@ def test_near_lines(spark):
             row = np.minimum.accumulate(row - steps) + steps
         return row[-1]
 
-    links = [(a, b) for a in text for b in text if a < b and (sim[a] ^ sim[b]).bit_count() <= lines.BITS and distance(text[a], text[b]) <= len(max(text[a], text[b], key=len)) // 10]
+    links = [(a, b) for a in text for b in text if a < b and distance(text[a], text[b]) <= len(max(text[a], text[b], key=len)) // 10]
     want = _classes(text, links)
     assert {x.doc_id for x in lines.dedup_lines(df).where("n_removed = 0").collect()} == {i for i in text if want[i] == i}
 
 
+def test_near_lines_recall(spark, sf_dir):
+    """Of the near pairs among all lines of the documents, found by edit distance alone, at least nine in ten are in one group."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where(F.length("text") < 20_000)
+    norm = lambda x: re.sub("[0-9]", "0", re.sub("[A-Z]", lambda m: m[0].lower(), re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ")))
+    first = {}
+    for r in docs.orderBy("doc_id").collect():
+        for i, x in enumerate((r.text or "").split("\n")):
+            if norm(x):
+                first.setdefault(norm(x), (r.doc_id, i))
+    texts = [x for x in first if len(x) <= 1500]
+    chars = [np.array(list(x)) for x in texts]
+    bags = np.array([np.bincount([ord(c) % 64 for c in x], minlength=64) for x in texts], np.int16)
+    n = np.array([len(x) for x in texts])
+    pairs = []
+    for i in range(len(texts)):
+        most = np.maximum(n, n[i]) // 10
+        near = np.flatnonzero((np.abs(n - n[i]) <= most) & (np.abs(bags - bags[i]).sum(1) <= 2 * most))
+        pairs += [(i, j) for j in near.tolist() if j > i and most[j] and lines.within(chars[i], chars[j], int(most[j]))]
+    of = {(r.doc_id, r.line): (r.keep_doc, r.keep_line) for r in lines.line_verdicts(docs).collect()}
+    at = [first[x] for x in texts]
+    found = sum(of.get(at[i], at[i]) == of.get(at[j], at[j]) for i, j in pairs)
+    assert len(pairs) > 10 and found >= 0.9 * len(pairs), (found, len(pairs))
+
+
+def test_near_pairs():
+    """Edit similarity of many pairs at once, against the full table."""
+    r = random.Random(8)
+    texts = []
+    for _ in range(60):
+        a = "".join(r.choice("abcde ") for _ in range(r.choice([0, 1, 9, 10, 11, 40, 130])))
+        b = list(a)
+        for _ in range(r.randint(0, 14)):
+            at = r.randint(0, len(b))
+            b[at : at + r.randint(0, 2)] = r.choice(["", "a", "xé"])
+        texts += [a, "".join(b)]
+    x, y = np.divmod(np.arange(len(texts) ** 2), len(texts))
+    got = lines.near_pairs(*lines._codes(texts), x, y)
+    for i, j, ok in zip(x.tolist(), y.tolist(), got.tolist(), strict=True):
+        a, b = texts[i], texts[j]
+        row = list(range(len(b) + 1))
+        for k, c in enumerate(a, 1):
+            row, prev = [k], row
+            for m, d in enumerate(b, 1):
+                row.append(min(prev[m] + 1, row[-1] + 1, prev[m - 1] + (c != d)))
+        assert ok == (row[-1] <= max(len(a), len(b)) // 10), (a, b)
+
+
 def test_near_lines_without_bits(spark):
     """Every line within the edit similarity of another goes with it, whatever bits their SimHashes differ in."""
     r = random.Random(12)
@@ -400,6 +482,15 @@ def test_embeddings(spark):
     if found == 1:
         assert got == {i: (n[i], want[i], want[i] == i) for i in ids}
     assert embeddings.near_vectors(df.where("false")).count() == 0
+    two = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.0, 1.0, 0.01]), (4, [0.01, 1.0, 0.0])], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, embeddings.near_vectors(two).collect())) == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False)]
+
+
+def test_embedding_growth():
+    """Chance meetings stay few a vector as vectors grow, and the least count grows with them."""
+    for n in (10_000, 200_000, 10**9):
+        outer, least = embeddings.calibrated(n, 64, 0.95)
+        assert n * math.comb(outer, least) ** 2 <= embeddings.CHANCE * math.comb(embeddings.LINES, least) * 2**least
 
 
 def test_pipeline(spark, sf_dir):
@@ -424,3 +515,76 @@ def test_pipeline(spark, sf_dir):
     out = p.run(spark, sf_dir).collect()
     by = {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in mixed.collect()}
     assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in mixed.collect()) and all(r.decoded_sha256 == by[r.doc_id] for r in out)
+
+
+ODD = "doc_id long, text string, lang string, source string, n_removed int, kept string, row int, h string, __kept string, again int, copies int, held string, n int, id string"
+
+
+def test_stages_on_odd_tables(spark, sf_dir, texts):
+    """Nulls, repeated rows, clashing column names, no n_chars and no rows, in every stage but the last."""
+    import corpus_pipeline as p
+
+    rows = [(i, t, "en", f"s{i % 3}", i, "k", i, "h", "x", 1, 2, "held", 3, "id") for i, t in texts.items() if i not in (8, 9)]
+    rows += [(None, "no id", None, None, *rows[0][4:]), (20, None, None, None, *rows[0][4:])] + rows[3:8]
+    df = spark.createDataFrame(rows, ODD)
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, df, sf_dir)
+        assert out.columns == df.columns and stage(spark, df.where("false"), sf_dir).count() == 0
+        got = [tuple(r) for r in out.collect()]
+        if name == "near_duplicates":
+            assert len(set(got)) == len(got)
+        if name != "line_dedup":
+            assert set(got) <= set(rows)
+    lined = p.line_dedup(spark, spark.createDataFrame([(1, "one line", *rows[0][2:])] * 3 + [(2, "another one", *rows[0][2:])], ODD), sf_dir).collect()
+    assert sorted((r.doc_id, r.text) for r in lined) == [(1, "one line")] * 3 + [(2, "another one")]
+    assert p.tokens(spark, df, sf_dir).count() == len(rows) and p.tokens(spark, df.where("false"), sf_dir).count() == 0
+
+
+def test_kept_by_brute_force(spark):
+    """The verdicts of the rules on all documents, with exact binomial bounds and fixed-sequence tests worked out in Python."""
+    d = "/root/testdata/sf0.1"
+    docs, marks = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    got = {r.doc_id: r for r in rules.judged(docs, marks).collect()}
+    clean = {r.doc_id for r in marks.where("quality = 1").collect()}
+    measured = {}
+    for r in docs.collect():
+        t = r.text or ""
+        w, g = WORD.findall(t), got[r.doc_id]
+        chars, ls = sum(map(len, w)), [x for x in t.split("\n") if WORD.search(x)]
+        m = {"symbols": g.n_symbols / chars if chars else 0, "dup_lines": g.n_dup_lines / len(ls) if ls else 0, "repeats": g.n_repeat_words / len(w) if w else 0, "upper": len(re.findall("[A-Z]", t)) / chars if chars else 0, "word_length": chars / len(w) if w else 0}
+        measured[r.doc_id] = (r.lang or "", m)
+
+    def tail(k, n, p):
+        return math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+    hold = {i: x for i, x in measured.items() if i in clean and not got[i].base_failed}
+    strata = {s for s, _ in measured.values()}
+    n = {s: sum(x == s for x, _ in hold.values()) for s in strata}
+    small = {s for s in strata if (1 - rules.LIMIT) ** n[s] > rules.DELTA / ((len(strata) + 1) * len(rules.CUTOFFS))}
+    assert small == strata  # so all are one pool
+    cut = {}
+    for rule, cs in rules.CUTOFFS.items():
+        cut[rule] = math.inf
+        for c in cs:
+            if tail(sum(m[rule] > c for _, m in hold.values()), len(hold), rules.LIMIT) > rules.DELTA / len(rules.CUTOFFS):
+                break
+            cut[rule] = c
+    assert any(math.isfinite(c) for c in cut.values())
+    want = {i: not got[i].base_failed and all(m[r] <= c for r, c in cut.items()) for i, (_, m) in measured.items()}
+    assert {i: r.kept for i, r in got.items()} == want
+    assert sum(not got[i].base_failed and not want[i] for i in want) > 100
+
+
+def test_scores_by_brute_force():
+    """A text's score as plain sums over filters, places and chunks, and long texts piece by piece as whole ones."""
+    r = random.Random(3)
+    texts = [_prose(i, r.randint(1, 300)).encode() for i in range(40)]
+    model = quality_cnn.train(texts, [i % 2 for i in range(40)])
+    for t in [b"", b"ab", texts[0], texts[1] * 3]:
+        data = list(t) + [0] * max(0, quality_cnn.GRAM - len(t))
+        acts = [[sum(float(model["filters"][k][data[i + k]][f]) for k in range(quality_cnn.GRAM)) + float(model["shift"][f]) for f in range(quality_cnn.FILTERS)] for i in range(max(1, len(t) - quality_cnn.GRAM + 1))]
+        halves = [[max(a[f] for a in acts[i : i + quality_cnn.HALF]) for f in range(quality_cnn.FILTERS)] for i in range(0, len(acts), quality_cnn.HALF)]
+        chunks = [[max(0.0, x, y) for x, y in zip(p, q, strict=True)] for p, q in zip(halves, halves[1:], strict=False)] or [[max(0.0, x) for x in halves[0]]]
+        f = [sum(c[i] for c in chunks) / len(chunks) for i in range(quality_cnn.FILTERS)] + [max(c[i] for c in chunks) for i in range(quality_cnn.FILTERS)]
+        z = sum(a * float(b) for a, b in zip(f, model["weights"], strict=True)) + float(model["bias"][0])
+        assert math.isclose(quality_cnn.score(model, t), 1 / (1 + math.exp(-z)), rel_tol=1e-3)

@@ -36,10 +36,21 @@ def durable(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/whetstone-{uuid.uuid4().hex}"
+    _HELD.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: list[str] = []
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes what `durable` wrote so far: only once no DataFrame that came of it is read any more."""
+    while _HELD:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_HELD.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_hot(rows: DataFrame, per: DataFrame, keys: list[str], n: str = "n", total: int | None = None, hot: int = 200) -> DataFrame:
     """rows joined with the one row that `per` has for each key and that counts in `n` how many rows have the key.
 

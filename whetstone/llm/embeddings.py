@@ -201,7 +201,7 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.95, id_col: str = "ve
     scale = {}
     for r in reps.mapInArrow(_moments, "dim int, line int, n long, s double, ss double").groupBy("dim", "line").agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss"))).orderBy("dim", "line").collect():
         mean = r["s"] / r["n"]
-        of = scale.setdefault(r["dim"], ([], [], *calibrated(1 << max(10, (r["n"] - 1).bit_length()), r["dim"], similarity)))
+        of = scale.setdefault(r["dim"], ([], [], *calibrated(1 << max(20, (r["n"] - 1).bit_length()), r["dim"], similarity)))
         of[0].append(mean)
         of[1].append(max(sqrt(max(0.0, r["ss"] / r["n"] - mean * mean)), 0.2 / sqrt(r["dim"])))
     scale = {d: (np.array(x[0]), np.array(x[1]), x[2], x[3]) for d, x in scale.items()}
