@@ -7,31 +7,38 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from whetstone.llm import bpe, jaccard, lines, mixing, rules
-from whetstone.llm.common import shared_dir
+from whetstone.llm.common import shared_dir, sweep
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the risk-controlled cutoffs reject go."""
+    """Documents that the base rules or the risk-controlled cutoffs reject go.
+
+    Null, empty and wordless texts fail the base rules. Repeated rows are judged alike and stay as many as pass; rows without
+    an id go. No rows give none, and further columns of any names stay as they are: both hold for every stage but the last.
+    """
     return rules.kept_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that another document or an earlier line has nearly word for word go."""
+    """Lines that another document or an earlier line has nearly word for word go, and documents of which nothing is left.
+
+    Null and empty texts lose nothing. Repeated rows share their verdicts: k rows stay k rows.
+    """
     return lines.apply_line_dedup(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays."""
+    """One document of each class of near copies stays, and one of repeated rows. Texts without a word are in no class and stay."""
     return jaccard.one_per_class(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix takes them: not at all, once or twice."""
+    """Documents come as often as the mix takes them: not at all, once or twice. Repeated rows are taken each by itself; texts without a word are not."""
     return mixing.apply_mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the decoded bytes, for every row of the mix."""
+    """doc_id, n_tokens and digests of the ids and of the decoded bytes, for every row of the mix; null texts count as empty."""
     return bpe.tokenised(docs, digests=True)
 
 
@@ -47,4 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{shared_dir(spark)}/whetstone-stage-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        sweep(spark)  # the stage is written, what led to it can go
     return docs

@@ -17,9 +17,17 @@ _SQL_LOG, _sql_log = Q.LOG, Q.sql_log
 _CALLS = "(SELECT event_type AS stage, CASE WHEN event_id % 2 = 0 THEN 'large' ELSE 'small' END AS model, event_id % 1000 AS input_tokens, event_id % 200 AS output_tokens FROM events)"
 
 
-@query("a1_column_profile", "SELECT 'o_orderstatus' AS \"column\", count(DISTINCT o_orderstatus) AS distinct_count, round(100.0 * count(*) FILTER (WHERE o_orderstatus IS NULL) / count(*), 2) AS null_pct, min(o_orderstatus) AS min, max(o_orderstatus) AS max FROM orders UNION ALL SELECT 'o_orderkey', count(DISTINCT o_orderkey), 0, CAST(min(o_orderkey) AS VARCHAR), CAST(max(o_orderkey) AS VARCHAR) FROM orders UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey), 0, CAST(min(o_custkey) AS VARCHAR), CAST(max(o_custkey) AS VARCHAR) FROM orders UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority), 0, min(o_orderpriority), max(o_orderpriority) FROM orders")
+_PROFILED = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+
+
+@query("a1_column_profile", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS distinct_count, round(100.0 * count(*) FILTER (WHERE {c} IS NULL) / count(*), 2) AS null_pct, CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max FROM orders" for c in _PROFILED) + " UNION ALL SELECT 'o_totalprice', count(DISTINCT o_totalprice), round(100.0 * count(*) FILTER (WHERE o_totalprice IS NULL) / count(*), 2), CAST(CAST(round(min(o_totalprice)) AS BIGINT) AS VARCHAR), CAST(CAST(round(max(o_totalprice)) AS BIGINT) AS VARCHAR) FROM orders UNION ALL SELECT 'o_orderdate', count(DISTINCT o_orderdate), round(100.0 * count(*) FILTER (WHERE o_orderdate IS NULL) / count(*), 2), strftime(min(o_orderdate), '%Y-%m-%d'), strftime(max(o_orderdate), '%Y-%m-%d') FROM orders")
 def a1(r):
-    return M.profile(r("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    """Every column; prices are shown to the whole number and times to the day, as engines print them differently."""
+    p = M.profile(r("orders"))
+    for c in ("min", "max"):
+        shown = F.when(F.col("column") == "o_totalprice", F.round(F.col(c).try_cast("double")).cast("bigint").cast("string")).when(F.col("column") == "o_orderdate", F.substring(c, 1, 10)).otherwise(F.col(c))
+        p = p.withColumn(c, shown)
+    return p
 
 
 @query("a1_approx_profile")
@@ -140,11 +148,11 @@ def g3(r):
     return M.merged_edges(e).drop("join_key")
 
 
-@query("g4_shortest_paths", "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 40 AS src, l_partkey % 40 AS dst FROM lineitem WHERE l_orderkey % 20 = 0 AND l_suppkey % 40 <> l_partkey % 40), w AS (SELECT src AS start, src AS node, CAST(src AS VARCHAR) AS path, 0 AS n FROM (SELECT DISTINCT src FROM e) UNION ALL SELECT start, dst, path || '>' || dst, n + 1 FROM w JOIN e ON node = src WHERE n < 2) SELECT start, node, n, min(path) AS path FROM (SELECT *, min(n) OVER (PARTITION BY start, node) AS least FROM w) WHERE n = least GROUP BY 1, 2, 3")
+@query("g4_shortest_paths", "WITH RECURSIVE t AS (SELECT o_orderkey AS id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS up FROM orders), w AS (SELECT id AS start, id AS node, CAST(id AS VARCHAR) AS path, 0 AS n FROM t WHERE up IS NULL UNION ALL SELECT start, id, path || '>' || id, n + 1 FROM w JOIN t ON node = up WHERE n < 4) SELECT start, node, path, n FROM w")
 def g4(r):
-    l = r("lineitem").where("l_orderkey % 20 = 0")  # noqa: E741
-    e = l.select((F.col("l_suppkey") % 40).alias("src"), (F.col("l_partkey") % 40).alias("dst")).where("src <> dst").distinct()
-    return M.shortest_paths(e, e.select(F.col("src").alias("node")).distinct(), hops=2)
+    """From each customer's first order along the later ones, four hops at most."""
+    t = r("orders").select(F.col("o_orderkey").alias("dst"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("src"))
+    return M.shortest_paths(t.where("src is not null").select("src", "dst"), t.where("src is null").select(F.col("dst").alias("node")), hops=4)
 
 
 @query("g4_shortest_paths_all")
