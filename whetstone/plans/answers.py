@@ -558,3 +558,31 @@ def l1(r):
 def l3(r):
     t = F.col("event_type")
     return r("events").agg(F.count("*").alias("total"), F.count_distinct("user_id").alias("users"), F.round(F.avg("value"), 4).alias("latency"), F.round(F.avg(F.col("event_id") % 200 * 0.001), 6).alias("cost"), F.round(100.0 * F.count_if(t == "purchase") / F.nullif(F.count_if(t.isin("purchase", "error")), F.lit(0)), 1).alias("liked_pct"), F.round(100.0 * F.count_if(t != "error") / F.count("*"), 1).alias("passed_pct"))
+
+
+@query("t1_minhash_signatures")
+def t1(r):
+    """A signature of 128 least hashes for every distinct word of the documents; tests bound the error of its estimates."""
+    words = r("documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("value")).distinct()
+    return words.select("value", X.minhash(X.grams(F.col("value")), 128).alias("signature"))
+
+
+@query("t3_entity_values", "SELECT DISTINCT * FROM (SELECT 'part' AS tab, 'p_name' AS col, p_name AS value FROM part UNION ALL SELECT 'part', 'p_brand', p_brand FROM part UNION ALL SELECT 'part', 'p_type', p_type FROM part UNION ALL SELECT 'customer', 'c_mktsegment', c_mktsegment FROM customer UNION ALL SELECT 'orders', 'o_orderpriority', o_orderpriority FROM orders) WHERE length(trim(value)) >= 2")
+def t3(r):
+    """Distinct values of string columns, all columns of a table in one pass."""
+    out = None
+    for table, columns in {"part": ("p_name", "p_brand", "p_type"), "customer": ("c_mktsegment",), "orders": ("o_orderpriority",)}.items():
+        one = r(table).select(F.lit(table).alias("tab"), F.inline(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("value")) for c in columns])))
+        out = one if out is None else out.unionByName(one)
+    return out.where(F.length(F.trim("value")) >= 2).distinct()
+
+
+@query("a10_counts", "SELECT lang, source, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")
+def a10(r):
+    return r("documents").groupingSets([["lang"], ["source"], []], "lang", "source").agg(F.count("*").alias("n"))
+
+
+@query("j3_lookup", "SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, 0) AS toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def j3(r):
+    """Every document with its label, or defaults where it has none."""
+    return r("documents").select("doc_id").join(r("labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
