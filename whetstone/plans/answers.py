@@ -254,7 +254,7 @@ def f22(r):
     return liked.unionByName(p.where("feedback = 'corrected' and trim(sql) <> ''").select("conv_id", "turn", F.lit("corrected").alias("how")))
 
 
-_PAIRS = f"(SELECT question, sql, confidence, created_at, 'query_log' AS source, 0 AS priority FROM {_LOG} WHERE feedback = 'thumbs_up' UNION ALL SELECT question, upper(sql), confidence, created_at, 'corrections', 1 FROM {_LOG} WHERE feedback = 'corrected' UNION ALL SELECT text, 'SELECT ' || item_id, 'HIGH', item_id, 'verified', 2 FROM benchmark UNION ALL SELECT 'order ' || id, sql_text, NULL, id, 'saved', 3 FROM {Q.LOG})"
+_PAIRS = f"(SELECT question, sql, confidence, created_at, 'query_log' AS source, 0 AS priority FROM {_LOG} WHERE feedback = 'thumbs_up' UNION ALL SELECT question, sql || '!', confidence, created_at, 'corrections', 1 FROM {_LOG} WHERE feedback = 'corrected' UNION ALL SELECT text, 'SELECT ' || item_id, 'HIGH', item_id, 'verified', 2 FROM benchmark UNION ALL SELECT 'order ' || id, sql_text, NULL, id, 'saved', 3 FROM {Q.LOG})"
 _GOOD = f"(SELECT * FROM {_PAIRS} WHERE trim(question) <> '' AND trim(sql) <> '')"
 
 
@@ -262,7 +262,7 @@ def _pairs(r):
     p = _log(r)
     verified = r("benchmark").select(F.col("text").alias("question"), F.concat(F.lit("SELECT "), "item_id").alias("sql"), F.lit("HIGH").alias("confidence"), F.col("item_id").alias("created_at"))
     saved = Q.sql_log(r).select(F.concat(F.lit("order "), "id").alias("question"), F.col("sql_text").alias("sql"), F.lit(None).cast("string").alias("confidence"), F.col("id").alias("created_at"))
-    fixed = p.where("feedback = 'corrected'").withColumn("sql", F.upper("sql"))
+    fixed = p.where("feedback = 'corrected'").withColumn("sql", F.concat("sql", F.lit("!")))
     return B.training_pairs(("query_log", p.where("feedback = 'thumbs_up'")), ("corrections", fixed), ("verified", verified), ("saved", saved))
 
 
@@ -453,9 +453,9 @@ def e1(r):
 
 @query("t2_similar_words")
 def t2_words(r):
-    """Similar pairs among the distinct words of all documents, by bands: from 0.6 on, as all pairs from 0.3 on would be most of them."""
+    """Similar pairs among the distinct words of all documents, exactly: from 0.75 on, as words of few letters have very many pairs from 0.3 on."""
     words = r("documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("value")).distinct()
-    return M.similar_values(words, 0.6)
+    return M.similar_values(words, 0.75)
 
 
 # --- graphs ----------------------------------------------------------------------------------------------------------

@@ -181,7 +181,7 @@ def s14(r):
     return e.sparkSession.read.schema(e.schema).parquet(path).groupBy("label").agg(F.count("*").alias("n"), F.max("vec_id").alias("newest"))
 
 
-@query("s15_delete_source", "SELECT source, count(*) AS n, max(length(text)) AS longest FROM (SELECT source, CASE WHEN source = 'src1' THEN upper(substr(text, 1, 2000)) ELSE substr(text, 1, 2000) END AS text FROM documents WHERE source IS NULL OR source <> 'src0') GROUP BY 1")
+@query("s15_delete_source", "SELECT source, count(*) AS n, max(length(text)) AS longest FROM (SELECT source, CASE WHEN source = 'src1' THEN substr(text, 1, 2000) || '!' ELSE substr(text, 1, 2000) END AS text FROM documents WHERE source IS NULL OR source <> 'src0') GROUP BY 1")
 def s15(r):
     """One source deleted, another replaced in place by its new rows."""
     d = _embedding_rows(r)
@@ -189,7 +189,7 @@ def s15(r):
     first, second = files.scratch(spark, "sources"), files.scratch(spark, "sources")
     d.write.partitionBy("source").parquet(first)
     files.delete_source(spark, first, second, "source", "src0")
-    files.replace_source(d.where("source = 'src1'").withColumn("text", F.upper("text")), second, "source")
+    files.replace_source(d.where("source = 'src1'").withColumn("text", F.concat("text", F.lit("!"))), second, "source")
     return spark.read.schema(d.schema).parquet(second).groupBy("source").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest"))
 
 
