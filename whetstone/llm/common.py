@@ -71,6 +71,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, rows: bool = False) -> tu
     """
     held = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if rows else []
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), text_column(docs, text_col).alias("text"), *held).where("doc_id is not null")
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # reads no text
+        return docs, None
     hashed = docs.select("doc_id", F.xxhash64("text").alias("h"))
     if hashed.groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").isEmpty():
         return docs, None

@@ -35,6 +35,7 @@ def still_apart(lists: DataFrame, classes: DataFrame) -> tuple[DataFrame, int]:
 
 
 def join_lists(found: DataFrame, *more: str) -> DataFrame:
-    """(g, doc, ...) from rows of g, members and further lists beside the members."""
+    """(g, doc, choice, ...) from rows of g, members and further lists beside the members; choice is the least bucket of equal lists."""
     zipped = F.explode(F.arrays_zip("members", *more)).alias("x")
-    return found.where("kind = 1").select("g", "members", *more).distinct().select("g", zipped).select("g", F.col("x.members").alias("doc"), *(F.col(f"x.{c}").alias(c) for c in more))
+    lists = found.where("kind = 1").groupBy("g", "members", *more).agg(F.min("bucket").alias("choice"))
+    return lists.select("g", "choice", zipped).select("g", "choice", F.col("x.members").alias("doc"), *(F.col(f"x.{c}").alias(c) for c in more))

@@ -241,7 +241,7 @@ def _groups(nb):
         for e, s in zip(edge[size > 3], size[size > 3], strict=True):
             d = doc[e : e + s]
             order = np.argsort(d, kind="stable")
-            lists[d[order].tobytes() + np.packbits(flag[e : e + s][order]).tobytes()] = (d[order], flag[e : e + s][order])
+            lists[d[order].tobytes() + np.packbits(flag[e : e + s][order]).tobytes()] = (d[order], flag[e : e + s][order], None)
         return _found(pairs, list(lists.values()), nb)
 
     return run
@@ -251,23 +251,23 @@ _FOUND = "kind int, bucket int, pairs binary, g long, members array<long>, own a
 
 
 def _found(pairs, lists, nb):
-    """Pairs as blobs by bucket; lists as rows of PIECE members at most, under a number of the whole list."""
+    """Pairs as blobs by bucket; lists as rows of PIECE members at most, under a number of the whole list, with their choice as bucket."""
     nb = max(8, nb // 16)  # pairs are few: so many buckets keep the blobs of all tasks few, too
     b = (C.mixed(pairs[:, 0].astype(np.uint64) * np.uint64(31) + pairs[:, 1].astype(np.uint64)) % np.uint64(nb)).astype(np.int64)
     out = list(C.packed(b, np.ascontiguousarray(pairs).view("<i8,<i8").ravel())) if len(pairs) else []
     pieces = []
-    for members, own in lists:
+    for members, own, choice in lists:
         raw = members.tobytes() + (b"" if own is None else np.packbits(own).tobytes())
         g = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
-        pieces += [(g, members[i : i + PIECE], None if own is None else own[i : i + PIECE]) for i in range(0, len(members), PIECE)]
+        pieces += [(g, members[i : i + PIECE], None if own is None else own[i : i + PIECE], choice) for i in range(0, len(members), PIECE)]
     none = [None] * len(out)
     return pa.table({
         "kind": pa.array([0] * len(out) + [1] * len(pieces), pa.int32()),
-        "bucket": pa.array([x for x, _ in out] + [None] * len(pieces), pa.int32()),
+        "bucket": pa.array([x for x, _ in out] + [c for _, _, _, c in pieces], pa.int32()),
         "pairs": pa.array([x for _, x in out] + [None] * len(pieces), pa.binary()),
-        "g": pa.array(none + [g for g, _, _ in pieces], pa.int64()),
-        "members": pa.array(none + [x for _, x, _ in pieces], pa.list_(pa.int64())),
-        "own": pa.array(none + [x for _, _, x in pieces], pa.list_(pa.bool_())),
+        "g": pa.array(none + [g for g, _, _, _ in pieces], pa.int64()),
+        "members": pa.array(none + [x for _, x, _, _ in pieces], pa.list_(pa.int64())),
+        "own": pa.array(none + [x for _, _, x, _ in pieces], pa.list_(pa.bool_())),
     })
 
 
