@@ -253,11 +253,13 @@ def test_near_lines_recall(spark, sf_dir):
                 first.setdefault(norm(x), (r.doc_id, i))
     texts = [x for x in first if len(x) <= 1500]
     bags = np.array([np.bincount([ord(c) % 64 for c in x], minlength=64) for x in texts], np.int16)
+    grams = np.array([np.bincount([(31 * ord(a) + 7 * ord(b)) % 256 for a, b in zip(x, x[1:], strict=False)], minlength=256) for x in texts], np.int16)
     n = np.array([len(x) for x in texts])
     pairs = []
     for i in range(len(texts)):
         most = np.maximum(n, n[i]) // 10
         near = np.flatnonzero((np.abs(n - n[i]) <= most) & (np.abs(bags - bags[i]).sum(1) <= 2 * most))
+        near = near[np.abs(grams[near] - grams[i]).sum(1) <= 4 * most[near]]  # an edit changes two pairs of neighbours on either side at most
         pairs += [(i, j) for j in near.tolist() if j > i and most[j] and _near(texts[i], texts[j])]
     of = {(r.doc_id, r.line): (r.keep_doc, r.keep_line) for r in lines.line_verdicts(docs).collect()}
     at = [first[x] for x in texts]
