@@ -87,12 +87,6 @@ def top_k(df: DataFrame, by: str, tie: str, k: int) -> DataFrame:
     return df.orderBy(F.desc(by), tie).limit(k)
 
 
-def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in an order that decides ties."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
-
-
 def page_after(df: DataFrame, key: str, last: int, size: int) -> DataFrame:
     """Keyset paging: the next rows by key; the filter is pushed to the scan."""
     return df.where(F.col(key) > last).orderBy(key).limit(size)
