@@ -488,8 +488,8 @@ def test_embeddings(spark):
 def test_embedding_growth():
     """Chance meetings stay few a vector as vectors grow, and the least count grows with them."""
     for n in (10_000, 200_000, 10**9):
-        outer, least = embeddings.calibrated(n, 64, 0.95)
-        assert n * math.comb(outer, least) ** 2 <= embeddings.CHANCE * math.comb(embeddings.LINES, least) * 2**least
+        drawn, outer, least = embeddings.calibrated(n, 64, 0.95)
+        assert drawn == embeddings.LINES and n * math.comb(outer, least) ** 2 <= embeddings.CHANCE * math.comb(embeddings.LINES, least) * 2**least
 
 
 def test_pipeline(spark, sf_dir):

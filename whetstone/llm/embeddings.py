@@ -1,12 +1,12 @@
 """Embedding near-dedup by collision-counting projections.
 
-Vectors are projected on LINES fixed random lines, each line sorted and scaled to its own mean and deviation. A window
-around a query is selective where the line is thin, so each vector queries the lines on which it lies farthest out only,
+Vectors are projected on LINES fixed random lines. A window around a query is selective where the sorted line is thin, so each vector queries the lines on which it lies farthest out only,
 `outer` of them: there its window, REACH deviations of two vectors at the least similarity, holds few others. A pair's
 count is the number of lines on which both lie in each other's window. Pairs that count `least` lines or more meet in a
 key made of `least` of their lines, so counting is an equi-join on such keys and nothing is compared by itself.
 `outer` and `least` are calibrated by simulated pairs at the least similarity for the wanted recall, and `least` grows
-with the number of vectors so that pairs which meet by chance stay few for each vector.
+with the number of vectors so that pairs which meet by chance stay few for each vector. The lines do not follow the data,
+so the recall holds for any; vectors that crowd in few directions only make larger groups.
 
 A pair that shares more lines than `least` is taken under its first ones only, hence once. Members of a key are compared
 in blocks of bounded size, in double precision; tasks return counts and spanning links, never all pairs.
@@ -52,8 +52,9 @@ def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 @cache
-def calibrated(n: int, dim: int, similarity: float) -> tuple[int, int]:
-    """(outer, least) for n vectors: the least count whose chance meetings are few, with the fewest lines that give the recall."""
+def calibrated(n: int, dim: int, similarity: float) -> tuple[int, int, int]:
+    """(lines, outer, least) for n vectors: the least count whose chance meetings are few, with the fewest outer lines that
+    give the recall. Short vectors have few directions, so where no such count exists fewer lines are drawn."""
     r = np.random.default_rng(13)
     a = r.standard_normal((4000, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
@@ -62,15 +63,22 @@ def calibrated(n: int, dim: int, similarity: float) -> tuple[int, int]:
     e /= np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-300)
     p, q = a @ _lines(dim), (similarity * a + sqrt(max(0.0, 1 - similarity**2)) * e) @ _lines(dim)
     near = np.abs(p - q) <= _reach(similarity)
-    for least in range(2, 7):
-        for outer in range(least, 17):
-            x = _outermost(p, outer)
-            hit = _shared(x, _outermost(q, outer)) & np.take_along_axis(near, (x // 2).astype(np.int64), 1)
-            if (hit.sum(1) >= least).mean() >= RECALL:
+    for lines in (LINES, 256, 64, 16, 4, 1):
+        found = None
+        for least in range(2 if lines > 16 else 1, 7):
+            for outer in range(least, min(16, lines) + 1):
+                x = _outermost(p[:, :lines], outer)
+                hit = _shared(x, _outermost(q[:, :lines], outer)) & np.take_along_axis(near, (x // 2).astype(np.int64), 1)
+                if (hit.sum(1) >= least).mean() >= RECALL:
+                    break
+            else:
                 break
-        if n * comb(outer, least) ** 2 <= CHANCE * comb(LINES, least) * 2**least:
-            break
-    return outer, least
+            found = lines, outer, least
+            if n * comb(outer, least) ** 2 <= CHANCE * comb(lines, least) * 2**least:
+                break
+        if found:
+            return found
+    return 1, 1, 1
 
 
 def _reach(similarity: float) -> float:
@@ -110,20 +118,12 @@ def _of_dim(batch: pa.RecordBatch):
         yield d, at, _unit(np.frombuffer(b"".join(batch["vector"][i].as_py() for i in at.tolist()), np.float64).reshape(-1, d))
 
 
-def _moments(batches):
-    """Per length of vectors their number, the sums and the squared sums of their projections."""
-    for batch in batches:
-        for d, at, x in _of_dim(batch):
-            p = x @ _lines(d)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(LINES, d), pa.int32()), pa.array(np.arange(LINES), pa.int32()), pa.array(np.full(LINES, len(at)), pa.int64()), pa.array(p.sum(0)), pa.array((p * p).sum(0))], names=["dim", "line", "n", "s", "ss"])
-
-
 def _keys(scale):
     def run(batches):
         for batch in batches:
             for d, at, x in _of_dim(batch):
-                mean, deviation, outer, least = scale[d]
-                top = _outermost((x @ _lines(d) - mean) / deviation, outer)
+                lines, outer, least = scale[d]
+                top = _outermost(x @ _lines(d)[:, :lines], outer)
                 chosen = list(combinations(range(outer), least))
                 key = np.stack([_key(top[:, list(c)]) for c in chosen], 1).ravel()
                 tops = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * outer), len(at), [None, pa.py_buffer(np.ascontiguousarray(top).tobytes())]).cast(pa.binary())
@@ -149,7 +149,7 @@ def _stars(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
 
 def _compare(similarity, scale):
     def one(table: pa.Table, d: int) -> pa.Table:
-        _, _, outer, least = scale[d]
+        _, outer, least = scale[d]
         key, rid, copies, side, inside = (table[c].to_numpy() for c in ("key", "rid", "copies", "side", "inside"))
         task = table["task"].to_numpy()
         order = np.argsort(task, kind="stable")
@@ -197,14 +197,8 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.95, id_col: str = "ve
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("embedding")).where("vec_id is not null")
     rows = C.durable(rows.mapInArrow(_valid, "vec_id long, dim int, vector binary").distinct())
     reps = C.durable(rows.where("dim > 0").groupBy("dim", "vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")).withColumn("rid", F.monotonically_increasing_id()))
-    # LINES rows for each length of vectors
-    scale = {}
-    for r in reps.mapInArrow(_moments, "dim int, line int, n long, s double, ss double").groupBy("dim", "line").agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss"))).orderBy("dim", "line").collect():
-        mean = r["s"] / r["n"]
-        of = scale.setdefault(r["dim"], ([], [], *calibrated(1 << max(20, (r["n"] - 1).bit_length()), r["dim"], similarity)))
-        of[0].append(mean)
-        of[1].append(max(sqrt(max(0.0, r["ss"] / r["n"] - mean * mean)), 0.2 / sqrt(r["dim"])))
-    scale = {d: (np.array(x[0]), np.array(x[1]), x[2], x[3]) for d, x in scale.items()}
+    # a row for each length of vectors
+    scale = {r["dim"]: calibrated(1 << max(20, (r["n"] - 1).bit_length()), r["dim"], similarity) for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()}
 
     keys = C.durable(reps.mapInArrow(_keys(scale), "dim int, key long, rid long, top binary"))
     # members of a key come in blocks, and two blocks at a time to a task
