@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: One word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
@@ -36,19 +38,32 @@ def durable(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/whetstone-{uuid.uuid4().hex}"
-    _HELD.append(path)
+    held = _SCOPE.get()
+    if held is not None:
+        held.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_HELD: list[str] = []
+#: The paths written inside the innermost `intermediates` of this thread or task.
+_SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("intermediates", default=None)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes what `durable` wrote so far: only once no DataFrame that came of it is read any more."""
-    while _HELD:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_HELD.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextlib.contextmanager
+def intermediates(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end what `durable` wrote inside it, and nothing that was written outside or by other threads.
+
+    Results that are still lazy must be written before the end.
+    """
+    held: list[str] = []
+    outer = _SCOPE.set(held)
+    try:
+        yield held
+    finally:
+        _SCOPE.reset(outer)
+        for name in held:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def join_hot(rows: DataFrame, per: DataFrame, keys: list[str], n: str = "n", total: int | None = None, hot: int = 200) -> DataFrame:
@@ -89,6 +104,24 @@ def renamed(rows: DataFrame, names: DataFrame | None, *columns: str) -> DataFram
     return rows
 
 
+def numbered(rows: DataFrame, order: list, within: str | None = None, name: str = "i") -> DataFrame:
+    """rows with their place from 0 in `order`, within equal values of `within` (nulls are one value) if given.
+
+    A global sort by ranges; each partition's count then precedes the places of the next, so no task ranks more rows than it
+    sorts. Rows equal in `order` are told apart by where they were read.
+    """
+    first = [F.col(within).asc_nulls_first()] if within else []
+    held = rows.withColumn("__tie", F.monotonically_increasing_id()).orderBy(*first, *order, "__tie").drop("__tie")
+    held = durable(held.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
+    key = [F.col(within).alias("__of")] if within else [F.lit(None).cast("string").alias("__of")]
+    per = held.groupBy("__part", *key).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))  # a row for each partition and value
+    before = Window.partitionBy("__of").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = per.withColumn("__ahead", F.coalesce(F.sum("__n").over(before), F.lit(0))).withColumnRenamed("__part", "__in")
+    same = (F.col("__part") == F.col("__in")) & (F.col(within).eqNullSafe(F.col("__of")) if within else F.lit(True))
+    place = (F.col("__ahead") + F.col("__at") - F.col("__first")).cast("long")
+    return held.join(ahead, same).withColumn(name, place).drop("__part", "__at", "__of", "__in", "__first", "__n", "__ahead")
+
+
 def buckets(spark: SparkSession, each: int = 4) -> int:
     """How many key ranges a packed shuffle deals to: a multiple of the shuffle partitions, so that it follows the cluster."""
     return max(16, each * int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -141,12 +174,12 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Runs of rows whose texts hold about SLICE_BYTES: rows, bytes, offsets."""
+def slices(batch: pa.RecordBatch, text: str, each: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Runs of rows whose texts hold about `each` bytes: rows, bytes, offsets."""
     data, at = raw(batch.column(text))
     first = 0
     while first < len(at) - 1:
-        last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(at, at[first] + each, "right")) - 1)
         yield batch.slice(first, last - first), data[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
 

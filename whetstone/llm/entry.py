@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from whetstone.llm import bpe, chat, embeddings, jaccard, lines, mixing, quality_cnn, rules, sharding, suffix
+from whetstone.llm import bpe, chat, embeddings, jaccard, lines, merkle, mixing, packing, quality_cnn, resampling, rules, sharding, suffix
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,10 +53,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenised(_read(spark, sf_dir, "documents"), digests=True)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), digests=True)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    hit = F.crc32(F.encode(docs["doc_id"].cast("string"), "UTF-8")) % 3 == 0
+    return merkle.audited(docs, {"text": F.when(hit, merkle.lower_ascii(docs["text"])).otherwise(docs["text"])})
+
+
 def queries() -> dict:
-    named = (op1_mixing, op2_quality_classifier, op3_line_dedup, op4_sharding, op5_chat_formatting, op6_embedding_dedup, op7_suffix_dedup, op8_quality_rules, op9_jaccard_join, op10_bpe)
+    named = (op1_mixing, op2_quality_classifier, op3_line_dedup, op4_sharding, op5_chat_formatting, op6_embedding_dedup, op7_suffix_dedup, op8_quality_rules, op9_jaccard_join, op10_bpe, op11_packing, op12_resampling, op13_merkle)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": chat.ORACLE}
+    return {"op5_chat_formatting": chat.ORACLE, "op12_resampling": resampling.ORACLE, "op13_merkle": merkle.ORACLE}
