@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from whetstone.llm import bpe, jaccard, lines, mixing, rules
-from whetstone.llm.common import shared_dir, sweep
+from whetstone.llm.common import intermediates, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         path = f"{shared_dir(spark)}/whetstone-stage-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with intermediates(spark):  # once the stage is written, what led to it can go
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-        sweep(spark)  # the stage is written, what led to it can go
     return docs
