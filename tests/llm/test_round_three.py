@@ -146,6 +146,23 @@ def test_resampled(spark, odd_docs, no_docs, sf_dir, least, most):
     assert resampling.resampled(odd_docs, no_docs, least=least, most=most).count() == odd_docs.count()
 
 
+def test_features_and_tokens_of_slices():
+    """Slices of a batch give what the same texts give alone."""
+    import pyarrow as pa
+
+    texts = [None if i % 7 == 3 else f"Wörd{i}! ÉCOLE it's {i} " * (i % 5) for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(43)), pa.array(["é" * 9, None, "x", *texts])], names=["doc_id", "text"]).slice(3)
+    ids, at, counts, tokens = [], [], [], packing.WordTokens(packing.default_vocabulary())
+    for rows, data, edges in common.slices(batch, "text", 100):
+        assert rows.num_rows < 40
+        h, n, words = resampling.features(common.whole(data, edges), 1, 1, 1 << 32)
+        counts += list(zip(np.split(h, np.cumsum(n)[:-1]), words.tolist(), strict=True))
+        i, a = tokens(common.whole(data, edges), 1)
+        ids += [i[x:y].tolist() for x, y in zip(a[:-1], a[1:], strict=True)]
+    assert [(h.tolist(), n) for h, n in counts] == [([zlib.crc32(f.encode()) for f in _features(t, 1, 1)[1]], len(_features(t, 1, 1)[0])) for t in texts]
+    assert ids == [_library_ids(t) for t in texts]
+
+
 def test_sample_prefers_target(spark, sf_dir):
     """Documents that hold passages of the target are drawn far more often than others."""
     docs, target = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")

@@ -31,7 +31,7 @@ _SLICE = 4_000_000
 
 def features(texts: pa.Array, least: int, most: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(buckets of all features, their number in each text, words of each text); features are runs of least to most words."""
-    lists = pc.split_pattern_regex(pc.ascii_lower(texts.cast(pa.large_string())), BREAK)
+    lists = pc.split_pattern_regex(pc.ascii_lower(texts), BREAK)
     coded = pc.list_flatten(lists).dictionary_encode()
     words = [w.encode() for w in coded.dictionary.to_pylist()]
     index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -66,8 +66,8 @@ def bucket_counts(texts: DataFrame, text_col: str = "text", least: int = 1, most
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for rows, _, _ in C.slices(batch, "text", _SLICE):
-                total += np.bincount(features(rows.column("text"), least, most, buckets)[0], minlength=buckets)
+            for _, data, at in C.slices(batch, "text", _SLICE):
+                total += np.bincount(features(C.whole(data, at), least, most, buckets)[0], minlength=buckets)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["bucket", "n"])
 
@@ -88,8 +88,8 @@ def weighted(docs: DataFrame, gain: list[int], id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.array(gain, np.int64)
         for batch in batches:
-            for rows, _, _ in C.slices(batch, "text", _SLICE):
-                hashed, n, n_words = features(rows.column("text"), least, most, len(gain))
+            for rows, data, at in C.slices(batch, "text", _SLICE):
+                hashed, n, n_words = features(C.whole(data, at), least, most, len(gain))
                 upto = np.concatenate(([0], np.cumsum(table[hashed])))
                 edge = np.concatenate(([0], np.cumsum(n)))
                 weight = upto[edge[1:]] - upto[edge[:-1]]
