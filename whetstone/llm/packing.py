@@ -103,7 +103,7 @@ class WordTokens:
         """The ids of all texts, each ended by eos, and their offsets by text."""
         if len(self.number) > MEMO_WORDS or self.used > MEMO_IDS:
             self.forget()
-        lists = pc.split_pattern_regex(texts.cast(pa.large_string()), r"[\x20\x09-\x0D]+")
+        lists = pc.split_pattern_regex(texts, r"[\x20\x09-\x0D]+")
         of_text = np.diff(np.asarray(lists.offsets))
         coded = lists.flatten().dictionary_encode()
         both = [self._numbers(x) for x in self._halves(coded.dictionary)]
@@ -284,8 +284,8 @@ def pack(docs: DataFrame, length: int = LENGTH, eos: int = EOS, vocabulary: str
 
         packer = Packer(length, full)
         for batch in batches:
-            for rows, _, _ in C.slices(batch, "text", _SLICE):
-                ids, at = tokens(rows.column("text"), eos)
+            for rows, data, edges in C.slices(batch, "text", _SLICE):
+                ids, at = tokens(C.whole(data, edges), eos)
                 for doc, a, b in zip(rows.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     # a copy, so that an open window does not hold the ids of a whole slice
                     packer.add(Piece(doc, 0, ids[a:b].copy() if b - a < length else ids[a:b], b - a))
