@@ -43,7 +43,8 @@ def runs(nodes: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
     out = keyed.where("slot = 0").drop("slot").withColumnRenamed("x", "x0")
     for k in range(1, fan_out):
         # place = run * fan_out + k, from slot zero's place + k
-        out = out.join(keyed.where(F.col("slot") == k).drop("slot").withColumnRenamed("x", f"x{k}"), ["none", "of", "run"], "left")
+        # all joins have one key, so the rows are dealt once; merged, as a broadcast for each slot of each level would fill the driver
+        out = out.join(keyed.where(F.col("slot") == k).drop("slot").withColumnRenamed("x", f"x{k}").hint("merge"), ["none", "of", "run"], "left")
     hs = F.array_compact(F.array(*[F.col(f"x{k}") for k in range(fan_out)]))
     named = out.select(F.when(~F.col("none"), F.col("of")).alias("part"), "run", hs.alias("hs"))
     return named.withColumn("h", _parent(F.array_join(F.transform("hs", lambda x: _text(x["h"])), "")))
@@ -95,7 +96,8 @@ def manifest(docs: DataFrame, part_col: str = "lang", id_col: str = "doc_id", co
     """
     own = digest(*(docs[c] for c in columns))
     other = digest(*((checked or {}).get(c, docs[c]) for c in columns))
-    rows = docs.select(docs[part_col].cast("string").alias("part"), docs[id_col].cast("long").alias("doc_id"), own.alias("h"), other.alias("other"))
+    # written first, as a sort by ranges reads its input twice and the texts should be hashed once
+    rows = C.durable(docs.select(docs[part_col].cast("string").alias("part"), docs[id_col].cast("long").alias("doc_id"), own.alias("h"), other.alias("other")))
     placed = C.numbered(rows, [F.col("doc_id").asc_nulls_first(), F.col("h")], "part")
     counts = placed.groupBy("part").agg(F.count("*").alias("n"))
     leaves = C.durable(placed.join(F.broadcast(counts.withColumnRenamed("part", "of")) if counts.count() <= 10_000 else counts.withColumnRenamed("part", "of"), F.col("part").eqNullSafe(F.col("of"))).drop("of"))
@@ -110,7 +112,8 @@ def manifest(docs: DataFrame, part_col: str = "lang", id_col: str = "doc_id", co
         paths = _paths(made, paths, fan_out)
     if top is not None:
         paths = paths.join(top.drop("i"), "part")
-    by_part = C.durable(paths.select(F.col("name").alias("part"), "path", F.col("h").alias("subroot")).crossJoin(roots.select(F.col("h").alias("root"))))  # one row on the right
+    root = roots.select(_text(F.col("h")).alias("h")).first()  # one row
+    by_part = C.durable(paths.select(F.col("name").alias("part"), "path", F.col("h").alias("subroot"), F.unhex(F.lit(root["h"] if root else None).cast("string")).alias("root")))
     paths = by_part.select("part", F.lit(0).cast("long").alias("i"), "path")
     alone = leaves.where("n = 1").select("part", "i", "doc_id", "h", "other")
     out = alone.join(paths.withColumnRenamed("part", "of").drop("i"), F.col("part").eqNullSafe(F.col("of"))).select("part", "doc_id", "h", "other", "path")
