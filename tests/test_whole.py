@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from whetstone.functions import text as X
 from whetstone.plans import corpus, warehouse
 
@@ -50,14 +52,21 @@ def test_g4_all(spark):
 
 
 def test_t11_all(spark):
-    texts = {1: "mail ann@x.org, SSN 123-45-6789; 123-45-6789", 2: "card 1234 5678 9012 3456 or 123.456.7890", 3: "é🙂 10.0.0.1 and 10.0.0.1x 10.0.0.1", 4: "x TIMESTAMP '2024-01-01' 1.2.3.4", 5: "Web@Site.org", 6: None, 7: "a" * 60 + "@b.org", 8: "none"}
+    texts = {1: "mail ann@x.org, 123-456-7890; 123.456.7890", 2: "card 1234567890123456 or 1234567890", 3: "é🙂 10.0.0.1 and 10.0.0.1x 10.0.0.1", 4: "x TIMESTAMP '2024-01-01' 1.2.3.4", 5: "Web@Site.org", 6: None, 7: "a" * 60 + "@b.org", 8: "none", 9: "id deadbeef-cafe-babe-face-abcdefabcdef and ABCDEF01-2345-6789-abcd-0123456789ab", 10: ""}
     want = set()
     for i, t in texts.items():
-        for k, p in X.PII.items():
+        for k, p in zip(X.POLICY_KINDS, X.POLICY, strict=True):
             for m in re.finditer(p, t or "", re.ASCII):
                 around = t[max(0, m.start() - 20) : m.end() + 20]
                 if m.group().lower() != "web@site.org" and not any(re.search(s, around) for s in X.SAFE):
                     want.add((i, k, m.start(), m.group()[:50]))
-    docs = spark.createDataFrame([(i, t, "en", "web@site.org") for i, t in texts.items()], "doc_id long, text string, lang string, source string")
-    got = [tuple(x) for x in warehouse.t11_all(lambda _: docs).collect()]
-    assert len(got) == len(want) and set(got) == want and {k for _, k, _, _ in got} == set(X.PII)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = [tuple(x) for x in X.pii_matches(docs, spark.createDataFrame([("WEB@site.org",)], "name string")).collect()]
+    assert len(got) == len(want) and set(got) == want and {k for _, k, _, _ in got} == set(X.POLICY_KINDS)
+
+
+def test_redacted_letters(spark):
+    """A UUID of letters alone goes too, whatever else the text holds."""
+    texts = ["a deadbeef-cafe-babe-face-abcdefabcdef b", "a DEADBEEF-cafe-babe-face-abcdefabcdef b 7", "no data", None, "x@y.zz"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    assert [r.x for r in df.select("i", X.redacted(F.col("text")).alias("x")).orderBy("i").collect()] == ["a [REDACTED] b", "a [REDACTED] b 7", "no data", None, "[REDACTED]"]
