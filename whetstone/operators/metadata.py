@@ -94,53 +94,106 @@ def similar_values_lsh(values: DataFrame, least: float = 0.3, bands: int = 63, r
     return pairs.join(ga, "a").join(gb, "b").withColumn("similarity", X.jaccard(F.col("ga"), F.col("gb"))).where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
-#: Vectors of a block of the corpus and of the queries.
-CORPUS_BLOCK, QUERY_BLOCK = 8192, 1024
+#: Vectors of a block of the corpus and of the queries, and bytes of queries that are sent to every task at most.
+CORPUS_BLOCK, QUERY_BLOCK, SENT_BYTES = 8192, 1024, 16 << 20
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, floor: float = -1.0) -> DataFrame:
-    """(query_id, vec_id, similarity, rank): the k nearest by cosine, ties by id; a stated set of queries against all rows.
+def _best(ids, x, labels, asked, q, k: int | None, floor: float):
+    """(query ids, corpus ids, cosines) of one block: for each query the k best from `floor` on, of each label; ties by id; all if k is None. Vectors as rows."""
+    import numpy as np
 
-    Blocks of queries meet blocks of the corpus in tasks of bounded size, which return k rows a query; these are then
-    merged. A row is no neighbour of itself; null and zero vectors, and others of another length, are nobody's.
+    def norms(v):
+        return np.linalg.norm(np.nan_to_num(v, nan=0.0), axis=1)
+
+    good = norms(x) > 0
+    order = np.flatnonzero(good)[np.argsort(ids[good], kind="stable")]
+    ids, labels, x = ids[order], labels[order], np.nan_to_num(x[order], nan=0.0)
+    fine = norms(q) > 0
+    asked, q = asked[fine], np.nan_to_num(q[fine], nan=0.0)
+    if not len(ids) or not len(asked):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    length, groups, out = norms(x), [np.flatnonzero(labels == one) for one in np.unique(labels)], []
+    for at, v in zip(asked.tolist(), q, strict=True):
+        s = (x @ v) / (length * np.linalg.norm(v))
+        s[ids == at] = -np.inf
+        for g in groups:
+            mine = s[g]
+            cut = np.partition(mine, -k)[-k] if k is not None and len(mine) > k else -np.inf
+            some = np.flatnonzero((mine >= max(cut, floor)) & (mine > -np.inf))
+            some = g[some[np.argsort(-mine[some], kind="stable")][:k]]
+            out.append((np.full(len(some), at), ids[some], s[some]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int | None, floor: float = -1.0, by: str | None = None) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): the k nearest by cosine, ties by id; a stated set of queries against all rows. All from `floor` on if k is None.
+
+    With `by`, a column of the corpus, the k nearest of each of its values (nulls are one), which is then a column of the result.
+    Queries whose size, checked first, is bounded go to every task, and the corpus stays where it is: each batch of it gives k rows a
+    query, which are merged. More queries are dealt in blocks that meet blocks of the corpus. A row is no neighbour of
+    itself; null and zero vectors, and others of another length, are nobody's.
     """
     import numpy as np
     import pyarrow as pa
 
-    def blocks(df, size):
-        return max(1, -(-df.count() // size))
-
-    nc, nq = blocks(corpus, CORPUS_BLOCK), blocks(queries, QUERY_BLOCK)
-    task = lambda c, q: F.struct(c.cast("long").alias("c"), q.cast("long").alias("q"))
-    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("vec_id", "embedding", F.lit(True).alias("asks"), own(nq).alias("q"), every(nc).alias("c"))
-    right = corpus.select("vec_id", "embedding", F.lit(False).alias("asks"), own(nc).alias("c"), every(nq).alias("q"))
-    both = left.unionByName(right).where("vec_id is not null and embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "asks", F.size("embedding").alias("dim"), task(F.col("c"), F.col("q")).alias("task"))
-
-    def top(table: pa.Table) -> pa.Table:
-        d = table["dim"][0].as_py()
-        values = table["embedding"].combine_chunks().flatten()
-        x = np.nan_to_num(values.to_numpy(zero_copy_only=False).reshape(-1, d), nan=0.0) if d else np.zeros((len(table), 0))
-        norm = np.linalg.norm(x, axis=1)
-        good = norm > 0
-        ids, asks = table["vec_id"].to_numpy(), table["asks"].to_numpy()
-        q, c = np.flatnonzero(asks & good), np.flatnonzero(~asks & good)
-        c = c[np.argsort(ids[c])]
-        out = []
-        for at in q.tolist() if len(c) else []:
-            s = (x[c] @ x[at]) / (norm[c] * norm[at])
-            s[ids[c] == ids[at]] = -np.inf
-            cut = np.partition(s, -k)[-k] if len(s) > k else -np.inf
-            some = np.flatnonzero((s >= max(cut, floor)) & (s > -np.inf))
-            some = some[np.argsort(-s[some], kind="stable")][:k]
-            out.append((np.full(len(some), ids[at]), ids[c[some]], s[some]))
-        cols = [np.concatenate(v) if out else np.zeros(0, t) for v, t in zip(zip(*out, strict=True) if out else ((), (), ()), (np.int64, np.int64, np.float64), strict=True)]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "similarity": pa.array(cols[2], pa.float64())})
-
-    found = both.groupBy("task", "dim").applyInArrow(top, "query_id long, vec_id long, similarity double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    spark = corpus.sparkSession
+    vectors = lambda df, *more: df.where("vec_id is not null and embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), *more)
+    label = F.dense_rank().over(Window.orderBy(F.col(by).asc_nulls_first())) if by else None
+    if by:  # labels as numbers: a row for each value
+        values = corpus.select(by).distinct()
+        values = values.select(F.col(by).alias("__value"), label.cast("long").alias("__label"))
+        corpus = corpus.join(F.broadcast(values) if values.limit(10_001).count() <= 10_000 else values, F.col(by).eqNullSafe(F.col("__value")))
+    held = vectors(corpus, F.col("__label") if by else F.lit(0).cast("long").alias("__label"))
+    schema = "query_id long, vec_id long, similarity double, __label long"
+
+    def rows(got, labels_of):
+        cols = [pa.array(c, t) for c, t in zip(got, (pa.int64(), pa.int64(), pa.float64()), strict=True)]
+        return [*cols, pa.array(labels_of, pa.int64())]
+
+    size = queries.where("vec_id is not null and embedding is not null").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("numbers")).first()
+    if 8 * size["numbers"] <= SENT_BYTES:
+        by_length: dict[int, list] = {}
+        for r in vectors(queries).collect():  # bounded: SENT_BYTES
+            by_length.setdefault(len(r["embedding"]), []).append((r["vec_id"], [np.nan if v is None else v for v in r["embedding"]]))
+        sent = spark.sparkContext.broadcast({d: (np.array([i for i, _ in some], np.int64), np.array([v for _, v in some]).reshape(len(some), d)) for d, some in by_length.items()})
+
+        def run(batches):
+            for b in batches:
+                lists, ids, labels = b["embedding"], b["vec_id"].to_numpy(), b["__label"].to_numpy()
+                lengths = np.diff(np.asarray(lists.offsets))
+                for d in np.unique(lengths).tolist():
+                    if d and d in sent.value:
+                        at = np.flatnonzero(lengths == d)
+                        x = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                        q, c, s = _best(ids[at], x, labels[at], *sent.value[d], k, floor)
+                        of = dict(zip(ids[at].tolist(), labels[at].tolist(), strict=True)) if by else {}
+                        yield pa.RecordBatch.from_arrays(rows((q, c, s), [of.get(i, 0) for i in c.tolist()]), names=["query_id", "vec_id", "similarity", "__label"])
+
+        found = held.mapInArrow(run, schema)
+    else:
+        nc, nq = (max(1, -(-n // each)) for n, each in ((corpus.count(), CORPUS_BLOCK), (size["n"], QUERY_BLOCK)))
+        own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = vectors(queries, F.lit(0).cast("long").alias("__label"), F.lit(True).alias("asks"), own(nq).alias("q"), every(nc).alias("c"))
+        right = held.withColumns({"asks": F.lit(False), "c": own(nc)}).withColumn("q", every(nq))
+        task = F.struct(F.col("c").cast("long").alias("c"), F.col("q").cast("long").alias("q"))
+        both = left.unionByName(right).select("vec_id", "embedding", "__label", "asks", F.size("embedding").alias("dim"), task.alias("task"))
+
+        def top(table: pa.Table) -> pa.Table:
+            d = table["dim"][0].as_py()
+            x = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d) if d else np.zeros((len(table), 0))
+            ids, asks, labels = table["vec_id"].to_numpy(), table["asks"].to_numpy(), table["__label"].to_numpy()
+            q, c, s = _best(ids[~asks], x[~asks], labels[~asks], ids[asks], x[asks], k, floor)
+            of = dict(zip(ids[~asks].tolist(), labels[~asks].tolist(), strict=True)) if by else {}
+            return pa.Table.from_arrays(rows((q, c, s), [of.get(i, 0) for i in c.tolist()]), names=["query_id", "vec_id", "similarity", "__label"])
+
+        found = both.groupBy("task", "dim").applyInArrow(top, schema)
+    w = Window.partitionBy("query_id", *(["__label"] if by else [])).orderBy(F.desc("similarity"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(w))
+    ranked = ranked if k is None else ranked.where(F.col("rank") <= k)
+    if by:
+        ranked = ranked.join(F.broadcast(values) if values.limit(10_001).count() <= 10_000 else values, "__label").withColumnRenamed("__value", by)
+    return ranked.select("query_id", "vec_id", "similarity", "rank", *([by] if by else []))
 
 
 def chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:

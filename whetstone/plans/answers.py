@@ -391,8 +391,8 @@ def _near(r, k, floor=-1.0, where="true"):
 
 @query("f14_floor", f"SELECT q.vec_id AS query_id, c.vec_id FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 AND {_COS} >= 0.4")
 def f14(r):
-    """All neighbours of the queries from the floor of 0.4 on: k is the number of rows."""
-    return _near(r, r("embeddings").count(), 0.4).select("query_id", "vec_id")
+    """All neighbours of the queries from the floor of 0.4 on."""
+    return _near(r, None, 0.4).select("query_id", "vec_id")
 
 
 @query("k7_shortlist", f"SELECT q.vec_id AS query_id, c.vec_id FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) <= 200")
@@ -403,17 +403,12 @@ def k7(r):
 
 @query("x23_metric_boost", f"SELECT query_id, vec_id, round(s, 6) AS similarity FROM (SELECT q.vec_id AS query_id, c.vec_id, least(1.0, {_COS} + CASE WHEN c.label = q.label THEN 0.1 ELSE 0 END) AS s FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 5")
 def x23(r):
-    """The five nearest after those of the query's own label gain 0.1, up to 1: five of either kind suffice."""
+    """The five nearest after those of the query's own label gain 0.1, up to 1: five of each label suffice, in one pass."""
     e = r("embeddings")
-    near = None
-    for label in [x["label"] for x in e.select("label").distinct().orderBy("label").collect()]:  # ten labels
-        mine = M.nearest(e.where("vec_id % 50 = 0").where(F.col("label") == label), e.where(F.col("label") == label), 5).withColumn("similarity", F.least(F.col("similarity") + 0.1, F.lit(1.0)))
-        near = mine if near is None else near.unionByName(mine)
-    other = _near(r, 10)
-    labels = e.select("vec_id", "label")
-    other = other.join(labels, "vec_id").join(labels.withColumnsRenamed({"vec_id": "query_id", "label": "of"}), "query_id").where("label <> of").select("query_id", "vec_id", "similarity", "rank")
+    near = M.nearest(e.where("vec_id % 50 = 0"), e, 5, by="label").join(e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("of")), "query_id")
+    near = near.withColumn("similarity", F.least(F.col("similarity") + F.when(F.col("label") == F.col("of"), 0.1).otherwise(0.0), F.lit(1.0)))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return near.unionByName(other).withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+    return near.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 _BUNDLE = f"(SELECT q.vec_id AS query_id, CASE WHEN c.label < 4 THEN 'examples' WHEN c.label < 7 THEN 'glossary' ELSE 'docs' END AS kind, c.vec_id, {_COS} AS s FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)"
@@ -421,19 +416,19 @@ _BUNDLE = f"(SELECT q.vec_id AS query_id, CASE WHEN c.label < 4 THEN 'examples'
 
 @query("t18_retrieval_bundle", f"SELECT query_id, max(ids) FILTER (WHERE kind = 'examples') AS examples, max(ids) FILTER (WHERE kind = 'glossary') AS glossary, max(ids) FILTER (WHERE kind = 'docs') AS docs FROM (SELECT query_id, kind, string_agg(vec_id, ',' ORDER BY i) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY s DESC, vec_id) AS i FROM {_BUNDLE}) WHERE i <= CASE kind WHEN 'glossary' THEN 5 ELSE 3 END GROUP BY 1, 2) GROUP BY 1")
 def t18(r):
-    """For each question its three examples, five glossary entries and three documents."""
-    out = r("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
-    for kind, k, where in (("examples", 3, "label < 4"), ("glossary", 5, "label between 4 and 6"), ("docs", 3, "label > 6")):
-        ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"].cast("string")), ",")
-        out = out.join(_near(r, k, where=where).groupBy("query_id").agg(ids.alias(kind)), "query_id", "left")
-    return out
+    """For each question its three examples, five glossary entries and three documents, in one pass over all of them."""
+    e = r("embeddings").withColumn("kind", F.when(F.col("label") < 4, "examples").when(F.col("label") < 7, "glossary").otherwise("docs"))
+    near = M.nearest(e.where("vec_id % 50 = 0"), e, 5, by="kind").where("kind = 'glossary' or rank <= 3")
+    ids = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", "vec_id")))), lambda x: x["vec_id"].cast("string")), ",")
+    some = near.groupBy("query_id").agg(*[F.when(F.count_if(F.col("kind") == kind) > 0, ids(kind)).alias(kind) for kind in ("examples", "glossary", "docs")])
+    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id")).join(some, "query_id", "left")
 
 
 @query("t17_did_you_mean", f"WITH n AS (SELECT q.vec_id AS query_id, c.vec_id, c.label, {_COS} AS s FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0), a AS (SELECT query_id, 0 AS p, vec_id, s FROM n WHERE label < 5 AND s >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 3 UNION ALL SELECT query_id, 1, vec_id, s FROM n WHERE label >= 5 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 5) SELECT query_id, vec_id, p AS priority FROM a QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p, s DESC, vec_id) <= 5")
 def t17(r):
-    """Up to three similar questions, then glossary terms, five in all."""
-    a = _near(r, 3, 0.2, "label < 5").withColumn("priority", F.lit(0))
-    both = a.unionByName(_near(r, 5, where="label >= 5").withColumn("priority", F.lit(1)))
+    """Up to three similar questions, then glossary terms, five in all, in one pass."""
+    e = r("embeddings").withColumn("priority", (F.col("label") >= 5).cast("int"))
+    both = M.nearest(e.where("vec_id % 50 = 0"), e, 5, by="priority").where("priority = 1 or (rank <= 3 and similarity >= 0.2)")
     w = Window.partitionBy("query_id").orderBy("priority", F.desc("similarity"), "vec_id")
     return both.withColumn("i", F.row_number().over(w)).where("i <= 5").select("query_id", "vec_id", "priority")
 
