@@ -247,3 +247,44 @@ def test_intermediates_are_scoped(spark):
     assert held.count() == 10  # written outside, so it stays
     with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|not exist"):
         mine.count()
+
+
+# quality rules: copies and strata
+
+
+def _measured(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, stratum string, h long, base_failed boolean, symbols double, dup_lines double, repeats double, upper double, word_length double")
+
+
+def test_copies_buy_no_confidence(spark):
+    from whetstone.llm import rules
+
+    once = [(i, "en", i, False, 0.01, 0.0, 0.0, 0.0, 5.0) for i in range(500)]
+    labels = spark.range(500).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    few, many = (rules.cutoffs(_measured(spark, once * k), labels).first() for k in (1, 10))
+    assert few == many and many["n"] == 500 and many["cut_symbols"] == math.inf
+
+
+def test_stratum_bounds(spark):
+    """The bound is the exact binomial one of the stratum's own rows."""
+    from whetstone.llm import rules
+
+    sizes = {"en": (4000, 3), "fr": (300, 0), "de": (200, 2), "xx": (0, 0)}
+    rows, i = [(10**6, "xx", 0, False, 0.5, 0.0, 0.0, 0.0, 5.0)], 0
+    for k, (n, bad) in sizes.items():
+        for j in range(n):
+            rows.append((i, k, i, False, 0.25 if j < bad else 0.01, 0.0, 0.0, 0.0, 5.0))
+            i += 1
+    labels = spark.range(i).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    df = _measured(spark, rows)
+    cuts = df.select("stratum").distinct().withColumns({"tested_as": F.lit("all"), "n": F.lit(4500)} | {f"cut_{r}": F.lit(0.2 if r == "symbols" else math.inf) for r in rules.CUTOFFS} | {f"rejected_{r}": F.lit(0) for r in rules.CUTOFFS})
+    got = {(r.stratum, r.rule): r for r in rules.stratum_bounds(df, labels, cuts).collect()}
+    level = 0.05 / (4 * len(rules.CUTOFFS))
+    for k, (n, bad) in sizes.items():
+        x = got[k, "symbols"]
+        assert (x.n, x.rejected) == (n, bad) and got[k, "upper"].bound == 0
+        if not n:
+            assert x.bound == 1
+            continue
+        tail = math.fsum(math.comb(n, j) * x.bound**j * (1 - x.bound) ** (n - j) for j in range(bad + 1))
+        assert math.isclose(tail, level, rel_tol=1e-5)

@@ -9,7 +9,10 @@ no stratum's rule rejects more than `limit` of the clean documents.
 A stratum whose clean labels are too few to certify even a cutoff that rejects none of them is small. Small strata are tested
 as one pooled stratum; where they are too few together, all strata are. Which strata are pooled follows from their counts
 alone, never from what a cutoff rejects, so the correction by the number of tested strata still holds; the bound is then on the
-pool's clean documents as a whole. With too few labels in the pool, too, a rule rejects nothing.
+pool's clean documents as a whole. With too few labels in the pool, too, a rule rejects nothing. What a stratum's own labels
+say of its share in a pool's rejections is told by `stratum_bounds`.
+
+A labelled document counts once, however often its row is repeated: copies are no further evidence.
 """
 
 from __future__ import annotations
@@ -103,7 +106,7 @@ def cutoffs(rows: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: flo
     out; of several labels the largest counts. A stratum of rows without a label has none of its own and is small.
     """
     clean = labels.where("quality = 1").select("doc_id").distinct()
-    hold = rows.where("not base_failed").join(clean, "doc_id", "left_semi")
+    hold = rows.where("not base_failed").join(clean, "doc_id", "left_semi").distinct()
     tries = [f"{r}_{i}" for r, cs in CUTOFFS.items() for i in range(len(cs))]
     own = hold.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r, cs in CUTOFFS.items() for i, c in enumerate(cs)])
     own = durable(rows.select("stratum").distinct().join(own, "stratum", "left").na.fill(0))  # a row for each stratum
@@ -131,6 +134,43 @@ def cutoffs(rows: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: flo
     return tested.join(wide.withColumnRenamed("stratum", "tested_as"), ["pooled", "tested_as"]).select("stratum", "tested_as", "n", *[f"{c}_{r}" for c in ("cut", "rejected") for r in CUTOFFS])
 
 
+def upper_bound(k: Column, n: Column, level: Column) -> Column:
+    """The largest rate at which k or fewer of n are still seen with probability `level`: exact, by halving; 1 without rows."""
+    tail = lambda p: F.when(k >= n, F.lit(1.0)).otherwise(_tail_at(k, n, p))
+
+    def halve(ab, _):
+        mid = (ab["a"] + ab["b"]) / 2
+        above = tail(mid) > level
+        return F.struct(F.when(above, mid).otherwise(ab["a"]).alias("a"), F.when(above, ab["b"]).otherwise(mid).alias("b"))
+
+    steps = F.sequence(F.lit(1), F.lit(40))
+    return F.when(n > k, F.aggregate(steps, F.struct(F.lit(0.0).alias("a"), F.lit(1.0).alias("b")), halve, lambda ab: ab["b"])).otherwise(F.lit(1.0))
+
+
+def _tail_at(k: Column, n: Column, p: Column) -> Column:
+    """P(X <= k) for X ~ Bin(n, p) with p a column: the sum of its terms, each from its logarithm."""
+    term = lambda i: F.exp(_ln_factorial(n) - _ln_factorial(i) - _ln_factorial(n - i) + i * F.log(p) + (n - i) * F.log(1 - p))
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), k.cast("long")), F.lit(0.0), lambda a, i: a + term(i))
+
+
+def stratum_bounds(rows: DataFrame, labels: DataFrame, cuts: DataFrame, delta: float = DELTA) -> DataFrame:
+    """(stratum, tested_as, rule, cut, n, rejected, bound): what each stratum's own labels say of each cutoff in use, pooled or not.
+
+    n and rejected count the stratum's own clean labelled documents; bound is the rate that its false rejections stay below with confidence
+    1 - delta for all strata and rules together. Large where a stratum has few labels: that much the pooled test leaves
+    open for it. A cutoff that rejects nothing has bound 0. rows: from `measured`; cuts: from `cutoffs`.
+    """
+    clean = labels.where("quality = 1").select("doc_id").distinct()
+    hold = rows.where("not base_failed").join(clean, "doc_id", "left_semi").distinct()
+    each = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"cut_{r}").alias("cut"), F.col(r).alias("value")) for r in CUTOFFS])
+    cut_of = cuts.select("stratum", "tested_as", F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"cut_{r}").alias("cut")) for r in CUTOFFS])))
+    seen = hold.join(cuts.drop("n"), "stratum").select("stratum", F.inline(each)).groupBy("stratum", "rule").agg(F.count("*").alias("n"), F.count_if(F.col("value") > F.col("cut")).alias("rejected"))
+    both = cut_of.join(seen, ["stratum", "rule"], "left").na.fill(0, ["n", "rejected"])
+    tests = cuts.count() * len(CUTOFFS)  # a row for each stratum
+    bound = F.when(F.col("cut") == float("inf"), F.lit(0.0)).otherwise(upper_bound(F.col("rejected"), F.col("n"), F.lit(delta / max(tests, 1))))
+    return both.select("stratum", "tested_as", "rule", "cut", "n", "rejected", bound.alias("bound"))
+
+
 def rejections(judged: DataFrame, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum_col: str = "lang") -> DataFrame:
     """(stratum, rows, base_failed, rejected, clean, clean_rejected) of judged rows: how many the base rules and the cutoffs reject. Needs distinct ids."""
     of = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[stratum_col].cast("string"), F.lit("")).alias("stratum"))
