@@ -17,6 +17,8 @@ from whetstone.llm import common as C
 
 #: Nodes that make one parent.
 FAN_OUT = 8
+#: Nodes of a level that one task joins: the top levels of a tree are small.
+SMALL = 10_000
 #: One step of a proof: the digests before and after the node's own, as bytes.
 STEP = "struct<before:binary,after:binary>"
 
@@ -65,6 +67,8 @@ def _climb(leaves: DataFrame, fan_out: int) -> tuple[list[DataFrame], DataFrame]
     most = leaves.agg(F.max("n")).first()[0] or 0
     level, tops, grown = leaves, [leaves.where("n = 1").select("part", "h")], []
     while most > 1:
+        if level.count() <= SMALL:
+            level = level.coalesce(1)
         made = C.durable(runs(level.where("n > 1"), fan_out).join(level.where("i = 0 and n > 1").select(F.col("part").alias("of"), "n"), F.col("part").eqNullSafe(F.col("of"))).drop("of"))
         grown.append(made)
         level = made.select("part", F.col("run").alias("i"), F.ceil(F.col("n") / fan_out).alias("n"), "h")
