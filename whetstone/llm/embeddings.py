@@ -1,4 +1,8 @@
-"""Embedding near-dedup by collision-counting projections.
+"""Embedding near-dedup by projections on random lines and collisions on them.
+
+The method as named, windows around every query on every sorted line and a count for each pair, has no selective window: on one line
+two vectors at cosine 0.95 are found with probability 0.98 only by a window that holds 40 % of all rows (README). So no line is
+sorted and no window is looked up for candidates; a line speaks for the vectors that lie farthest out on it.
 
 Vectors are projected on LINES fixed random lines. A window around a query is selective where the sorted line is thin, so each vector queries the lines on which it lies farthest out only,
 `outer` of them: there its window, REACH deviations of two vectors at the least similarity, holds few others. A pair's
