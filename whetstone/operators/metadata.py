@@ -262,8 +262,9 @@ def nearest_in_cells(queries: DataFrame, corpus: DataFrame, k: int, recall: floa
     total = corpus.count()
     if not total:
         return nearest(queries, corpus, k)
-    sample = np.array([x["e"] for x in rows.orderBy(F.xxhash64("vec_id")).limit(FIT_ROWS).collect()])  # bounded: FIT_ROWS
-    cells = max(1, min(1024, int(total**0.5) // 4))
+    drawn = rows.orderBy(F.xxhash64("vec_id")).limit(FIT_ROWS).collect()  # bounded: FIT_ROWS
+    sample, names = np.array([x["e"] for x in drawn]), np.array([x["vec_id"] for x in drawn])
+    cells = max(1, min(len(sample) // 16 or 1, int(total**0.5) // 4))  # as many as the sample can fit
     centres = sample[:: max(1, len(sample) // cells)][:cells].copy()
     for _ in range(8):
         near = (sample @ centres.T).argmax(1)
@@ -282,8 +283,11 @@ def nearest_in_cells(queries: DataFrame, corpus: DataFrame, k: int, recall: floa
         return run
 
     asked = unit(queries)
-    some = np.array([x["e"] for x in asked.orderBy(F.xxhash64("vec_id")).limit(CALIBRATION_ROWS).collect()]).reshape(-1, sample.shape[1])  # bounded
-    true = np.argsort(-(some @ sample.T), axis=1)[:, :k]
+    tried = asked.orderBy(F.xxhash64("vec_id")).limit(CALIBRATION_ROWS).collect()  # bounded
+    some = np.array([x["e"] for x in tried]).reshape(-1, sample.shape[1])
+    likeness = some @ sample.T
+    likeness[np.array([x["vec_id"] for x in tried], np.int64)[:, None] == names[None]] = -np.inf  # a query is not its own neighbour
+    true = np.argsort(-likeness, axis=1)[:, :k]
     place = np.argsort(np.argsort(-(some @ centres.T), axis=1), axis=1)
     deep = np.take_along_axis(place, (sample @ centres.T).argmax(1)[true], 1)
     probes = int(np.quantile(deep, recall, method="higher")) + 1 if len(some) else 1

@@ -15,34 +15,36 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def prefix_table(aliases: DataFrame) -> DataFrame:
-    """(first, options): by first word the aliases that start with it, the longest first; aliases: (alias, canonical).
+def prefix_table(aliases: DataFrame, most: int = 4) -> DataFrame:
+    """(first, options): by first word a map from the aliases of up to `most` words that start with it to their terms; aliases: (alias, canonical).
 
     Case and what stands between words do not count. An alias of several terms names the least of them; aliases without a word
     and null ones are left out.
     """
-    w = aliases.select(words(F.col("alias")).alias("words"), "canonical").where(F.size("words") > 0).dropna(subset=["canonical"])
-    one = w.groupBy("words").agg(F.min("canonical").alias("canonical"))
-    option = F.struct((-F.size("words")).alias("shorter"), "words", "canonical")
-    return one.groupBy(F.col("words")[0].alias("first")).agg(F.array_sort(F.collect_list(option)).alias("options"))
+    w = aliases.select(words(F.col("alias")).alias("w"), "canonical").where(F.size("w").between(1, most)).dropna(subset=["canonical"])
+    one = w.select(F.col("w")[0].alias("first"), F.array_join("w", " ").alias("alias"), "canonical").groupBy("first", "alias").agg(F.min("canonical").alias("canonical"))
+    return one.groupBy("first").agg(F.map_from_entries(F.collect_list(F.struct("alias", "canonical"))).alias("options"))
 
 
 def found_terms(texts: DataFrame, aliases: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4) -> DataFrame:
     """(id, place, n, alias, canonical): the aliases of up to `most` words in each text, from the left, the longest at each place, none overlapping.
 
-    place counts words from 0. Only places whose word starts an alias leave the join, so a text's group holds its
-    candidates and not its words. Rows with equal ids are told apart. Null and empty texts have no terms; an alias of more
-    than `most` words is never found.
+    place counts words from 0. A place meets the prefix table by its word, and the runs that start there are looked up, longest first; only
+    those found leave the join, so a text's group holds its candidates and not its words. Rows with equal ids are
+    told apart. Null and empty texts have no terms; an alias of more than `most` words is never found.
     """
-    table = prefix_table(aliases).withColumn("options", F.filter("options", lambda o: o["shorter"] >= -most)).where(F.size("options") > 0)
+    table = prefix_table(aliases, most)
     if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         table = F.broadcast(table)
     rows = texts.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
-    at = rows.select("__row", "id", F.posexplode(F.transform("w", lambda x, i: F.slice("w", i + 1, F.lit(most)))).alias("place", "ahead"))
-    near = at.withColumn("first", F.col("ahead")[0]).join(table, "first")
-    fits = F.get(F.filter("options", lambda o: F.slice("ahead", F.lit(1), F.size(o["words"])) == o["words"]), F.lit(0))
-    hit = near.select("__row", "id", "place", fits.alias("o")).where("o is not null")
-    hit = hit.select("__row", "id", F.struct("place", F.size("o.words").alias("n"), F.array_join("o.words", " ").alias("alias"), F.col("o.canonical").alias("canonical")).alias("hit"))
+    # a place with its word and those after it: each is taken by its number, so no part of a text is copied
+    place = lambda x, i: F.struct(i.alias("place"), x.alias("first"), *(F.get(F.col("w"), i + k).alias(f"w{k}") for k in range(1, most)))
+    near = rows.select("__row", "id", F.inline(F.transform("w", place))).join(table, "first")
+    runs = [F.concat(F.col("first"), *(x for k in range(1, n) for x in (F.lit(" "), F.col(f"w{k}")))) for n in range(1, most + 1)]
+    found = [F.struct(F.lit(n).alias("n"), run.alias("alias"), F.try_element_at("options", run).alias("canonical")) for n, run in enumerate(runs, 1)]
+    best = F.coalesce(*[F.when(f["canonical"].isNotNull(), f) for f in reversed(found)])
+    hit = near.select("__row", "id", "place", best.alias("o")).where("o is not null")
+    hit = hit.select("__row", "id", F.struct("place", "o.n", "o.alias", "o.canonical").alias("hit"))
     kept = hit.groupBy("__row", "id").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
     kind = "array<struct<place:int,n:int,alias:string,canonical:{}>>".format(dict(aliases.dtypes)["canonical"])
     start = F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("kept"))

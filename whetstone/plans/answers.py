@@ -337,14 +337,14 @@ def f16(r):
     return r("conversations").where(X.has_data_words(F.col("text"))).select("conv_id", "turn")
 
 
-_SHORT = "(SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN 'What about ' || substr(text, 1, 40) WHEN 1 THEN 'Show me more' WHEN 2 THEN 'only two' ELSE substr(text, 1, 60) END AS q FROM conversations WHERE role = 'user')"
+_SHORT = "(SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN 'What about ' || text WHEN 1 THEN 'Show me more' WHEN 2 THEN 'only two' ELSE text END AS q FROM conversations WHERE role = 'user')"
 _SIGNS = " OR ".join(f"contains(q, '{s}')" for s in X.FOLLOW_UPS)
 
 
 @query("f17_follow_ups", f"SELECT conv_id, turn FROM (SELECT conv_id, turn, trim(lower(q)) AS q FROM {_SHORT}) WHERE {_SIGNS} OR (len(regexp_extract_all(q, '\\S+')) <= 4 AND NOT regexp_matches(q, '^(how many|what is|show me|list)'))")
 def f17(r):
     k = (F.col("conv_id") + F.col("turn")) % 5
-    q = F.when(k == 0, F.concat(F.lit("What about "), F.substring("text", 1, 40))).when(k == 1, "Show me more").when(k == 2, "only two").otherwise(F.substring("text", 1, 60))
+    q = F.when(k == 0, F.concat(F.lit("What about "), "text")).when(k == 1, "Show me more").when(k == 2, "only two").otherwise(F.col("text"))
     return r("conversations").where("role = 'user'").select("conv_id", "turn", q.alias("q")).where(X.is_follow_up(F.col("q"))).select("conv_id", "turn")
 
 

@@ -44,9 +44,12 @@ def st4(r):
 
 @query("st5_in_flight_now", "SELECT user_id AS service, CAST(sum(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN -1 ELSE 0 END) AS BIGINT) AS in_flight FROM events GROUP BY 1")
 def st5(r):
-    """Each batch gives the gauges that changed; the last of each counts."""
-    out = J.drained(J.in_flight(r.stream("events"), "user_id", "view", "click").withColumn("at", F.current_timestamp()), "gauge", mode="update")
-    return out.groupBy("service").agg(F.max_by("in_flight", "at").alias("in_flight"))
+    """Each batch gives the gauges that changed, with its number; the last of each counts, also where a batch comes again."""
+    path = scratch(r.spark, "gauge")
+    gauges = J.in_flight(r.stream("events"), "user_id", "view", "click").withColumn("batch", F.lit(0).cast("long"))
+    put = lambda df, i: df.withColumn("batch", F.lit(i).cast("long")).write.mode("overwrite").parquet(f"{path}/batch-{i}")
+    out = J.drained(gauges, "gauge", each=put, mode="update", path=path)
+    return out.groupBy("service").agg(F.max_by("in_flight", "batch").alias("in_flight"))
 
 
 @query("st6_feedback_applied", "SELECT o_orderkey, f.feedback FROM orders LEFT JOIN (SELECT event_id % 1000 AS k, arg_max(event_type, (ts, event_id)) AS feedback FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1) f ON k = o_orderkey WHERE o_orderkey < 1000 OR f.feedback IS NOT NULL")
