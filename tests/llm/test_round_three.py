@@ -288,3 +288,24 @@ def test_stratum_bounds(spark):
             continue
         tail = math.fsum(math.comb(n, j) * x.bound**j * (1 - x.bound) ** (n - j) for j in range(bad + 1))
         assert math.isclose(tail, level, rel_tol=1e-5)
+
+
+def test_long_pieces(monkeypatch):
+    """Pieces in flat arrays give the ids of the lists, and of the library."""
+    import base64
+    from random import Random
+
+    import tiktoken
+
+    from whetstone.llm import bpe
+
+    path, pattern = bpe.default_vocabulary()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    c, r = bpe.codec(path, pattern), Random(2)
+    for text in ["".join(r.choice("abcdefgh") for _ in range(300)), "z" * 777, "é🙂ab" * 90, "".join(r.choice("aé東x") for _ in range(500)), " " * 300]:
+        want = c.piece(text.encode())
+        monkeypatch.setattr(bpe, "LONG", 10)
+        assert list(c.piece(text.encode())) == list(want)
+        assert np.frombuffer(c.encode(text), "<u4").tolist() == known.encode_ordinary(text)
+        monkeypatch.undo()

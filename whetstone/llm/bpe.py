@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from whetstone.llm import common as C
 
 #: Pieces that a worker remembers, and the longest such piece in bytes.
 MEMO, MEMO_BYTES = 400_000, 64
+#: Bytes of a piece from which it is encoded in flat arrays.
+LONG = 4096
 _LOADED: dict[tuple[str, str], Codec] = {}
 
 
@@ -96,6 +99,8 @@ class Codec:
     def piece(self, raw: bytes) -> list[int]:
         if raw in self.rank:
             return [self.rank[raw]]
+        if len(raw) > LONG:
+            return self._long_piece(raw)
         at: list[list[tuple[int, int]]] = [[] for _ in raw]  # tokens from each place, shortest first
         for end, (n, i) in self.found.iter(raw.decode("latin-1")):
             at[end - n + 1].append((n, i))
@@ -123,6 +128,36 @@ class Codec:
                 choice[pos] -= 1
         return [i for _, i in out]
 
+    def _long_piece(self, raw: bytes) -> array:
+        """The same in flat arrays, some 25 bytes for each token that the automaton finds."""
+        size, seen = len(raw), array("i")
+        for end, (n, i) in self.found.iter(raw.decode("latin-1")):
+            seen.extend((end - n + 1, n, i))
+        m = np.frombuffer(seen, np.int32).reshape(-1, 3)
+        m = m[np.lexsort((m[:, 1], m[:, 0]))]  # by place, shortest first
+        first = array("i", np.searchsorted(m[:, 0], np.arange(size + 1)).astype(np.int32).tobytes())
+        length, token = array("i", m[:, 1].tobytes()), array("i", m[:, 2].tobytes())
+        del seen, m
+        open_, choice, taken = bytearray(b"\x01") * (size + 1), array("i", bytes(4 * size)), array("i")
+        pos, choice[0] = 0, first[1] - 1
+        while pos < size:
+            k = choice[pos]
+            while k >= first[pos]:
+                if open_[pos + length[k]] and (not taken or self._compatible(token[taken[-1]], token[k])):
+                    break
+                k -= 1
+            if k >= first[pos]:
+                choice[pos] = k
+                taken.append(k)
+                pos += length[k]
+                if pos < size:
+                    choice[pos] = first[pos + 1] - 1
+            else:
+                open_[pos] = 0
+                pos -= length[taken.pop()]
+                choice[pos] -= 1
+        return array("i", [token[k] for k in taken])
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         memo, out = self.memo, []
