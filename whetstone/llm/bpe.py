@@ -194,7 +194,8 @@ def default_vocabulary() -> tuple[str, str]:
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: tuple[str, str] | None = None, digests: bool = False) -> DataFrame:
     """Of each row: doc_id, n_tokens, ids (little-endian 32-bit) and the decoded bytes; or the SHA-256 of both (digests).
 
-    Null texts count as empty and have no tokens. Null ids and repeated rows are rows like others. The vocabulary is
+    Null texts count as empty and have no tokens. Null ids and repeated rows are rows like others; ties do not arise. Texts of any
+    length are encoded whole, each in one task. No rows give none; other columns are ignored and may have any names. The vocabulary is
     (path of a rank file, pattern of pieces); the path must exist on every worker.
     """
     path, pattern = vocabulary or default_vocabulary()

@@ -52,7 +52,8 @@ def formatted(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
     """(conv_id, part, n_turns, text): maximal conversations, each turn as `<|role|>`, its text and a line feed.
 
     Turns go by turn, then role and text, nulls first; null roles and texts render as empty. Rows without a conversation
-    are left out. A part holds PART turns.
+    are left out, repeated rows are turns of their own. A part holds PART turns, so a text of any length is rendered whole in its
+    part. No rows give none; other columns are ignored and may have any names.
     """
     turns = conversations.select(conversations[conv_col].alias("conv_id"), conversations[turn_col].cast("long").alias("turn"), conversations[role_col].cast("string").alias("role"), conversations[text_col].cast("string").alias("text")).where("conv_id is not null")
     turns = durable(numbered(turns))

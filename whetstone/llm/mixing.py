@@ -110,7 +110,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """(doc_id, size, source_size, target, copies, taken, row): how often the mix takes each row of documents.
 
     Null and empty texts have size 0 and take nothing; null is a source like others. Repeated rows are rows of their
-    own: `row`, a hash of the row's columns and of its rank among equal ones, tells them apart. No rows, no result.
+    own: `row`, a hash of the row's columns and of its rank among equal ones, tells them apart. No rows, no result. Texts of any
+    length are counted whole; other columns are ignored and may have any names.
     """
     sizes = durable(_numbered(docs, id_col, text_col, source_col).select("doc_id", "source", "size", "row"))
     targets = durable(source_targets(sizes, weights, share, most))

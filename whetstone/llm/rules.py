@@ -193,7 +193,8 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_rules) of each row.
 
     Null and empty texts have no words and fail the base rules. Null strata are one stratum. Repeated rows are judged alike,
-    different texts of one id each by itself. No rows give none; other columns are ignored.
+    different texts of one id each by itself. Texts of any length are measured whole. No rows give none; other columns are ignored and
+    may have any names.
     """
     return _judged(docs, labels, id_col, text_col, stratum_col).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 

@@ -33,7 +33,8 @@ def longest_first(items: list[tuple[int, int]], shards: int) -> dict[int, int]:
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of each row; law is `bytes`, so grown_shard is null.
 
-    A null text counts as empty and stays with empty texts. Null ids and repeated rows are rows like others. Slots run
+    A null text counts as empty and stays with empty texts. Null ids and repeated rows are rows like others; ties in size go by
+    number. Texts of any length count whole. No rows give none; other columns are ignored and may have any names. Slots run
     from 0 without gaps in each shard: counts of hashed parts, summed, precede ranks within a part.
     """
     spark = docs.sparkSession
