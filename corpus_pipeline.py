@@ -38,7 +38,11 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the decoded bytes, for every row of the mix; null texts count as empty."""
+    """doc_id, n_tokens and digests of the ids and of the decoded bytes, for every row of the mix.
+
+    Null and empty texts have no tokens. Repeated rows and rows without an id are rows like others; texts of any length are encoded whole.
+    No rows give none; further columns of any names are left behind.
+    """
     return bpe.tokenised(docs, digests=True)
 
 
