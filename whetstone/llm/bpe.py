@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 
 from whetstone.llm import common as C
 
-#: Pieces that a worker remembers, and the longest such piece in bytes.
-MEMO, MEMO_BYTES = 400_000, 64
+#: Pieces that a worker remembers, twice as many pairs of tokens, and the longest such piece in bytes. Idle workers keep them beside later stages.
+MEMO, MEMO_BYTES = 150_000, 64
 #: Bytes of a piece from which it is encoded in flat arrays.
 LONG = 4096
 _LOADED: dict[tuple[str, str], Codec] = {}
@@ -91,7 +91,7 @@ class Codec:
                     x = half
                 else:
                     y = half
-        if len(self.joins) > 4 * MEMO:
+        if len(self.joins) > 2 * MEMO:
             self.joins.clear()
         self.joins[a, b] = good
         return good
