@@ -70,3 +70,13 @@ def test_redacted_letters(spark):
     texts = ["a deadbeef-cafe-babe-face-abcdefabcdef b", "a DEADBEEF-cafe-babe-face-abcdefabcdef b 7", "no data", None, "x@y.zz"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     assert [r.x for r in df.select("i", X.redacted(F.col("text")).alias("x")).orderBy("i").collect()] == ["a [REDACTED] b", "a [REDACTED] b 7", "no data", None, "[REDACTED]"]
+
+
+def test_whole_words(spark):
+    """Words end at letters that are not ASCII, as they do in the SQL."""
+    from whetstone.plans import answers
+
+    texts = ["ärank", "rankä", "total über", "xrank", "rank_", "rank7", "Top", "orderſ", "nothing", None, "日count日", "e\u0301sum\u0301"]
+    df = spark.createDataFrame(list(enumerate(texts)), "turn int, text string").withColumn("conv_id", F.lit(1))
+    got = {r.turn for r in answers.f16(lambda _: df).collect()}
+    assert got == {i for i, t in enumerate(texts) if t and re.search(rf"(?<![0-9A-Za-z_])(?i:{X.DATA_WORDS})(?![0-9A-Za-z_])", t)} >= {0, 1, 2, 7, 10, 11}

@@ -48,7 +48,8 @@ def odd_log(r) -> DataFrame:
 
 #: How a text may start, what may not occur within WITH, and patterns of suspicious texts.
 READERS = ("SELECT", "WITH", "EXPLAIN", "DESCRIBE", "SHOW", "VALUES")
-CHANGES = r"(?i)\b(INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|TRUNCATE|MERGE)\b"
+CHANGE_WORDS = "INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|TRUNCATE|MERGE"
+CHANGES = rf"(?i)\b({CHANGE_WORDS})\b"
 SUSPICIOUS = {"stacked": r"(?i);\s*(DROP|DELETE|INSERT|UPDATE|ALTER|CREATE)", "line_comment": "--", "block_comment": r"(?s)/\*.*?\*/", "shell": r"(?i)xp_cmdshell", "union_null": r"(?i)UNION\s+ALL\s+SELECT\s+NULL"}
 
 
@@ -57,7 +58,7 @@ def read_only(sql: Column) -> Column:
     bare = F.trim(F.regexp_replace(F.regexp_replace(sql, r"(?s)/\*.*?\*/", " "), r"--[^\n]*", " "))
     body = F.regexp_replace(bare, r"[;\s]+$", "")
     first = F.upper(F.regexp_extract(body, r"^\s*(\w+)", 1))
-    return F.coalesce(first.isin(*READERS) & ~F.contains(body, F.lit(";")) & ~((first == "WITH") & body.rlike(CHANGES)), F.lit(False))
+    return F.coalesce(first.isin(*READERS) & ~F.contains(body, F.lit(";")) & ~((first == "WITH") & body.rlike(X.whole_words(CHANGE_WORDS))), F.lit(False))
 
 
 def suspicious(sql: Column) -> Column:

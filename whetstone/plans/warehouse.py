@@ -133,7 +133,7 @@ def f11(r):
 
 @query("f16_keyword_flag", "SELECT conv_id, turn FROM conversations WHERE regexp_matches(lower(text), '\\b(the|count|total)\\b')")
 def f16(r):
-    return r("conversations").where(F.lower("text").rlike(r"\b(the|count|total)\b")).select("conv_id", "turn")
+    return r("conversations").where(F.lower("text").rlike(X.whole_words("the|count|total"))).select("conv_id", "turn")
 
 
 @query("f23_urls", "SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '([0-9]+)', 1) AS first_number FROM pages")
