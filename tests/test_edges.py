@@ -212,3 +212,27 @@ def test_minhash_error(spark):
     for i, est in rows(df.select("i", same)):
         j = len(set(data[i][1]) & set(data[i][2])) / len(set(data[i][1]) | set(data[i][2]))
         assert abs(est - j) <= 3 * math.sqrt(max(j * (1 - j), 0.01) / 128) + 0.01
+
+
+@pytest.mark.parametrize("sent", [16 << 20, 0])
+def test_nearest_with_bonus(spark, monkeypatch, sent):
+    """A row of the query's label gains 0.1 up to 1: rows that reach 1 tie and go by id, as do copies; a null label gains nothing."""
+    from whetstone.plans import answers
+
+    monkeypatch.setattr(M, "SENT_BYTES", sent)
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal((6, 8))
+    x = (centre[rng.integers(0, 6, 400)] + 0.1 * rng.standard_normal((400, 8))).astype(np.float32)
+    x[200:300] = x[100:200]  # copies
+    labels = [None if i % 7 == 6 else i % 7 // 3 for i in range(400)]
+    e = spark.createDataFrame([(i, v.tolist(), labels[i]) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    u = x.astype(float)
+    u = u / np.sqrt((u * u).sum(1, keepdims=True))
+    want = set()
+    for q in range(0, 400, 50):
+        s = [(-min(1.0, round(float(u[i] @ u[q]), 12) + 0.1 * (labels[i] is not None and labels[i] == labels[q])), i) for i in range(400) if i != q]
+        want |= {(q, i, round(-v, 6)) for v, i in sorted(s)[:5]}
+    got = rows(answers.x23(lambda _: e))
+    assert len(got) == len(want) and set(got) == want
+    at_one = [i for _, i, v in got if v == 1.0]
+    assert len(at_one) > 10

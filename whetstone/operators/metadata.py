@@ -98,23 +98,29 @@ def similar_values_lsh(values: DataFrame, least: float = 0.3, bands: int = 63, r
 CORPUS_BLOCK, QUERY_BLOCK, SENT_BYTES = 8192, 1024, 16 << 20
 
 
-def _best(ids, x, labels, asked, q, k: int | None, floor: float):
-    """(query ids, corpus ids, cosines) of one block: for each query the k best from `floor` on, of each label; ties by id; all if k is None. Vectors as rows."""
+def _best(ids, x, labels, asked, q, own, k: int | None, floor: float, bonus: float):
+    """(query ids, corpus ids, similarities) of one block: for each query the k best from `floor` on, of each label; ties by id; all if k is None. Vectors as rows.
+
+    Rows with the query's own label gain `bonus`, up to 1 in all. Equal vectors have equal cosines wherever they stand, so each row is summed by itself.
+    """
     import numpy as np
 
     def norms(v):
-        return np.linalg.norm(np.nan_to_num(v, nan=0.0), axis=1)
+        return np.sqrt(np.einsum("ij,ij->i", v, v))
 
+    x, q = np.nan_to_num(x, nan=0.0), np.nan_to_num(q, nan=0.0)
     good = norms(x) > 0
     order = np.flatnonzero(good)[np.argsort(ids[good], kind="stable")]
-    ids, labels, x = ids[order], labels[order], np.nan_to_num(x[order], nan=0.0)
+    ids, labels, x = ids[order], labels[order], x[order]
     fine = norms(q) > 0
-    asked, q = asked[fine], np.nan_to_num(q[fine], nan=0.0)
+    asked, q, own = asked[fine], q[fine], own[fine]
     if not len(ids) or not len(asked):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    length, groups, out = norms(x), [np.flatnonzero(labels == one) for one in np.unique(labels)], []
-    for at, v in zip(asked.tolist(), q, strict=True):
-        s = (x @ v) / (length * np.linalg.norm(v))
+    length, lengths, groups, out = norms(x), norms(q), [np.flatnonzero(labels == one) for one in np.unique(labels)], []
+    for at, v, mark, n in zip(asked.tolist(), q, own.tolist(), lengths.tolist(), strict=True):
+        s = np.einsum("ij,j->i", x, v) / (length * n)
+        if bonus:
+            s = np.minimum(s + np.where(labels == mark, bonus, 0.0), 1.0)
         s[ids == at] = -np.inf
         for g in groups:
             mine = s[g]
@@ -125,10 +131,11 @@ def _best(ids, x, labels, asked, q, k: int | None, floor: float):
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int | None, floor: float = -1.0, by: str | None = None) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int | None, floor: float = -1.0, by: str | None = None, bonus: float = 0.0) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the k nearest by cosine, ties by id; a stated set of queries against all rows. All from `floor` on if k is None.
 
-    With `by`, a column of the corpus, the k nearest of each of its values (nulls are one), which is then a column of the result.
+    With `by`, a column of the corpus, the k nearest of each of its values (nulls are one), which is then a column of the result. With
+    `bonus` too, rows whose value is that of the query (which then has the column; null equals none) gain it, up to 1 in all, before they are ranked: similarity is the sum.
     Queries whose size, checked first, is bounded go to every task, and the corpus stays where it is: each batch of it gives k rows a
     query, which are merged. More queries are dealt in blocks that meet blocks of the corpus. A row is no neighbour of
     itself; null and zero vectors, and others of another length, are nobody's.
@@ -142,8 +149,12 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int | None, floor: float =
     if by:  # labels as numbers: a row for each value
         values = corpus.select(by).distinct()
         values = values.select(F.col(by).alias("__value"), label.cast("long").alias("__label"))
-        corpus = corpus.join(F.broadcast(values) if values.limit(10_001).count() <= 10_000 else values, F.col(by).eqNullSafe(F.col("__value")))
+        values = F.broadcast(values) if values.limit(10_001).count() <= 10_000 else values
+        corpus = corpus.join(values, F.col(by).eqNullSafe(F.col("__value")))
+    if bonus:  # -1: no row's label
+        queries = queries.join(values, F.col(by) == F.col("__value"), "left")
     held = vectors(corpus, F.col("__label") if by else F.lit(0).cast("long").alias("__label"))
+    asking = vectors(queries, F.coalesce("__label", F.lit(-1)).cast("long").alias("__label") if bonus else F.lit(-1).cast("long").alias("__label"))
     schema = "query_id long, vec_id long, similarity double, __label long"
 
     def rows(got, labels_of):
@@ -153,9 +164,9 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int | None, floor: float =
     size = queries.where("vec_id is not null and embedding is not null").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("numbers")).first()
     if 8 * size["numbers"] <= SENT_BYTES:
         by_length: dict[int, list] = {}
-        for r in vectors(queries).collect():  # bounded: SENT_BYTES
-            by_length.setdefault(len(r["embedding"]), []).append((r["vec_id"], [np.nan if v is None else v for v in r["embedding"]]))
-        sent = spark.sparkContext.broadcast({d: (np.array([i for i, _ in some], np.int64), np.array([v for _, v in some]).reshape(len(some), d)) for d, some in by_length.items()})
+        for r in asking.collect():  # bounded: SENT_BYTES
+            by_length.setdefault(len(r["embedding"]), []).append((r["vec_id"], [np.nan if v is None else v for v in r["embedding"]], r["__label"]))
+        sent = spark.sparkContext.broadcast({d: (np.array([i for i, _, _ in some], np.int64), np.array([v for _, v, _ in some]).reshape(len(some), d), np.array([o for _, _, o in some], np.int64)) for d, some in by_length.items()})
 
         def run(batches):
             for b in batches:
@@ -165,7 +176,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int | None, floor: float =
                     if d and d in sent.value:
                         at = np.flatnonzero(lengths == d)
                         x = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                        q, c, s = _best(ids[at], x, labels[at], *sent.value[d], k, floor)
+                        q, c, s = _best(ids[at], x, labels[at], *sent.value[d], k, floor, bonus)
                         of = dict(zip(ids[at].tolist(), labels[at].tolist(), strict=True)) if by else {}
                         yield pa.RecordBatch.from_arrays(rows((q, c, s), [of.get(i, 0) for i in c.tolist()]), names=["query_id", "vec_id", "similarity", "__label"])
 
@@ -174,7 +185,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int | None, floor: float =
         nc, nq = (max(1, -(-n // each)) for n, each in ((corpus.count(), CORPUS_BLOCK), (size["n"], QUERY_BLOCK)))
         own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = vectors(queries, F.lit(0).cast("long").alias("__label"), F.lit(True).alias("asks"), own(nq).alias("q"), every(nc).alias("c"))
+        left = asking.withColumns({"asks": F.lit(True), "q": own(nq)}).withColumn("c", every(nc))
         right = held.withColumns({"asks": F.lit(False), "c": own(nc)}).withColumn("q", every(nq))
         task = F.struct(F.col("c").cast("long").alias("c"), F.col("q").cast("long").alias("q"))
         both = left.unionByName(right).select("vec_id", "embedding", "__label", "asks", F.size("embedding").alias("dim"), task.alias("task"))
@@ -183,7 +194,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int | None, floor: float =
             d = table["dim"][0].as_py()
             x = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d) if d else np.zeros((len(table), 0))
             ids, asks, labels = table["vec_id"].to_numpy(), table["asks"].to_numpy(), table["__label"].to_numpy()
-            q, c, s = _best(ids[~asks], x[~asks], labels[~asks], ids[asks], x[asks], k, floor)
+            q, c, s = _best(ids[~asks], x[~asks], labels[~asks], ids[asks], x[asks], labels[asks], k, floor, bonus)
             of = dict(zip(ids[~asks].tolist(), labels[~asks].tolist(), strict=True)) if by else {}
             return pa.Table.from_arrays(rows((q, c, s), [of.get(i, 0) for i in c.tolist()]), names=["query_id", "vec_id", "similarity", "__label"])
 
@@ -192,7 +203,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int | None, floor: float =
     ranked = found.withColumn("rank", F.row_number().over(w))
     ranked = ranked if k is None else ranked.where(F.col("rank") <= k)
     if by:
-        ranked = ranked.join(F.broadcast(values) if values.limit(10_001).count() <= 10_000 else values, "__label").withColumnRenamed("__value", by)
+        ranked = ranked.join(values, "__label").withColumnRenamed("__value", by)
     return ranked.select("query_id", "vec_id", "similarity", "rank", *([by] if by else []))
 
 
