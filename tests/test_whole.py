@@ -80,3 +80,13 @@ def test_whole_words(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "turn int, text string").withColumn("conv_id", F.lit(1))
     got = {r.turn for r in answers.f16(lambda _: df).collect()}
     assert got == {i for i, t in enumerate(texts) if t and re.search(rf"(?<![0-9A-Za-z_])(?i:{X.DATA_WORDS})(?![0-9A-Za-z_])", t)} >= {0, 1, 2, 7, 10, 11}
+
+
+def test_limits_of_shares(spark):
+    """A running sum a cent above 0.8 or 0.95 of a large total is beyond it, though the rounded share is not."""
+    orders = spark.createDataFrame([(c, float(v)) for c, v in enumerate(["800000000.00", "150000000.00", "49999999.99", "0.01"])], "o_custkey long, o_totalprice double")
+    assert [tuple(x) for x in corpus.w7(lambda _: orders).collect()] == [(4, 1, 25.0)]
+    assert {x[0]: (x[1], x[2]) for x in corpus.w8(lambda _: orders).collect()} == {"A": (1, 8e8), "B": (1, 1.5e8), "C": (2, 5e7)}
+    over = spark.createDataFrame([(c, float(v)) for c, v in enumerate(["800000000.01", "150000000.00", "49999999.99"])], "o_custkey long, o_totalprice double")
+    assert [tuple(x) for x in corpus.w7(lambda _: over).collect()] == [(3, 0, 0.0)]
+    assert {x[0]: x[1] for x in corpus.w8(lambda _: over).collect()} == {"B": 1, "C": 2}

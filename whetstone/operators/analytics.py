@@ -40,7 +40,7 @@ def funnel(events: DataFrame, user: str, ts: str, kind: str, stages: Sequence[st
 
 
 def cumulative_share(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Rows with `running` and `share`: values summed from the largest on, over the total, ties by key.
+    """Rows with `running`, `total` and `share`: values summed from the largest on, over the total, ties by key. Limits go by `within`, as a share of decimals is rounded.
 
     Rows are dealt by range of (value, key), so equal values part by key; sums of ranges precede sums within a range, and no
     task holds all rows.
@@ -51,10 +51,15 @@ def cumulative_share(df: DataFrame, key: str, value: str) -> DataFrame:
     dealt = reread(dealt, scratch(spark, "ranges"))
     sums = dealt.groupBy("__p").agg(F.sum(value).alias("s"))
     every = Window.orderBy("__p")  # a row for each range
-    ahead = sums.select("__p", (F.sum("s").over(every) - F.col("s")).alias("__ahead"), F.sum("s").over(Window.partitionBy(F.lit(0))).alias("__total"))
+    ahead = sums.select("__p", (F.sum("s").over(every) - F.col("s")).alias("__ahead"), F.sum("s").over(Window.partitionBy(F.lit(0))).alias("total"))
     w = Window.partitionBy("__p").orderBy(F.desc(value), key).rowsBetween(Window.unboundedPreceding, 0)
     out = dealt.join(F.broadcast(ahead), "__p").withColumn("running", F.col("__ahead") + F.sum(value).over(w))  # `parts` rows at most
-    return out.withColumn("share", F.col("running") / F.col("__total")).drop("__p", "__ahead", "__total")
+    return out.withColumn("share", F.col("running") / F.col("total")).drop("__p", "__ahead")
+
+
+def within(percent: int) -> Column:
+    """Of `cumulative_share`: whether the running sum is at most so much of the total, by multiplication, which is exact for decimals."""
+    return F.col("running") * 100 <= F.col("total") * percent
 
 
 def bucket_counts(df: DataFrame, value: str, bounds: Sequence[float], labels: Sequence[str] = ()) -> DataFrame:

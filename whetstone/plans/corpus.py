@@ -306,13 +306,13 @@ def _spend(r):
 @query("w7_pareto", _PARETO + "SELECT count(*) AS customers, count(*) FILTER (WHERE run <= 0.8 * tot) AS within80, round(100.0 * count(*) FILTER (WHERE run <= 0.8 * tot) / count(*), 4) AS pct FROM c")
 def w7(r):
     c = A.cumulative_share(_spend(r), "o_custkey", "v")
-    return c.agg(F.count("*").alias("customers"), F.count_if(F.col("share") <= 0.8).alias("within80"), F.round(100.0 * F.count_if(F.col("share") <= 0.8) / F.count("*"), 4).alias("pct"))
+    return c.agg(F.count("*").alias("customers"), F.count_if(A.within(80)).alias("within80"), F.round(100.0 * F.count_if(A.within(80)) / F.count("*"), 4).alias("pct"))
 
 
 @query("w8_abc_classes", _PARETO + "SELECT CASE WHEN run <= 0.8 * tot THEN 'A' WHEN run <= 0.95 * tot THEN 'B' ELSE 'C' END AS class, count(*) AS n, CAST(round(sum(v), 2) AS DOUBLE) AS total FROM c GROUP BY 1")
 def w8(r):
     c = A.cumulative_share(_spend(r), "o_custkey", "v")
-    return c.groupBy(F.when(F.col("share") <= 0.8, "A").when(F.col("share") <= 0.95, "B").otherwise("C").alias("class")).agg(F.count("*").alias("n"), F.sum("v").cast("double").alias("total"))
+    return c.groupBy(F.when(A.within(80), "A").when(A.within(95), "B").otherwise("C").alias("class")).agg(F.count("*").alias("n"), F.sum("v").cast("double").alias("total"))
 
 
 @query("w9_z_scores", "WITH d AS (SELECT l_partkey, date_trunc('month', l_shipdate) AS m, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2) SELECT l_partkey, strftime(m, '%Y-%m') AS mon, round((q - avg(q) OVER w) / nullif(stddev_samp(q) OVER w, 0), 4) AS z FROM d WINDOW w AS (PARTITION BY l_partkey)")
