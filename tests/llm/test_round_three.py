@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -309,3 +310,20 @@ def test_long_pieces(monkeypatch):
         assert list(c.piece(text.encode())) == list(want)
         assert np.frombuffer(c.encode(text), "<u4").tolist() == known.encode_ordinary(text)
         monkeypatch.undo()
+
+
+def test_line_verdicts_do_not_follow_size(spark):
+    """What becomes of two lines does not depend on how many others there are."""
+    from whetstone.llm import lines
+
+    r = random.Random(21)
+    rows = []
+    for i in range(150):  # few long words, one of them with another letter: near by edits, but with a third of the words apart
+        w = ["".join(r.choice("bcdfghjklm") for _ in range(12)) for _ in range(5)]
+        rows.append((2 * i, " ".join(w)))
+        w[r.randrange(5)] += "x"
+        rows.append((2 * i + 1, " ".join(w)))
+    many = [(1000 + i, "\n".join(" ".join("".join(r.choice("npqrstvwz") for _ in range(6)) for _ in range(6)) for _ in range(200))) for i in range(200)]
+    of = lambda some: {(x.doc_id, x.keep_doc) for x in lines.line_verdicts(spark.createDataFrame(some, "doc_id long, text string").repartition(4)).where("doc_id < 1000").collect()}
+    alone = of(rows)
+    assert len(alone) > 100 and alone == of(rows + many)

@@ -4,8 +4,8 @@ Lines are normalised (ASCII letters in lower case, digits as 0, white space as o
 hash. A line's signature is BLOCKS bytes, each from the word whose hash is least in an order of the block's own: a minimum
 hash cut to a byte. It stands where the method asks for a SimHash and a pigeonhole join, which cannot find these lines
 at a bearable cost (README): with equal weights near lines differ in 6 of 64 bits in the median and in 9 at the ninth decile, so blocks that a pair is
-certain to share would be 6 bits long. Near lines have most bytes in common: they are joined on choices of bytes, more bytes
-a choice the more lines there are, so that keys stay selective, and so many choices that the wanted share of pairs
+certain to share would be 6 bits long. Near lines have most bytes in common: they are joined on choices of bytes, the same
+choices whatever the number of lines, so that two lines meet or not by themselves, and so many that the wanted share of pairs
 meets. That share is a probability and no certainty. Pairs with enough equal bytes
 are verified by edit similarity. Groups are linked as stars first; members that are still apart are then compared
 in blocks of bounded size.
@@ -30,10 +30,10 @@ from whetstone.llm.jaccard import _FOUND, _distinct, _found
 PERCENT = 90
 #: Blocks of a signature, and how many of them near lines have in common at least. On sf0.01 no near pair has fewer than 17.
 BLOCKS, EQUAL = 24, 12
+#: Blocks of a key. Unlike lines agree in one block of 80, so keys stay selective up to some 80^5 = 3 * 10^9 lines.
+EACH = 6
 #: Share of pairs that are to meet in some key among those with the share ALIKE of equal blocks.
-MEET, ALIKE = 0.98, 0.8
-#: How unlike lines a block parts: they agree in one of so many.
-APART = 80
+MEET, ALIKE = 0.99, 0.8
 #: Counters of pairs of neighbours that a line has.
 GRAMS = 512
 _TIMES = C.mixed(np.arange(1, BLOCKS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -104,13 +104,12 @@ def _hashed(batches):
             yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(owner[good])), pa.array(number[good], pa.int64()), *(pa.array(x.view(np.int64), pa.int64()) for x in (line, second)), *(pa.array(np.ascontiguousarray(sig[:, i])) for i in range(BLOCKS // 8))], names=["doc_id", "line", "h1", "h2", *SIGS])
 
 
-def choices(n: int) -> list[np.ndarray]:
-    """Which blocks make up each key: more of them the more lines there are, and so many keys that MEET holds."""
-    each = math.ceil(math.log(max(n, 2)) / math.log(APART)) + 1
-    many = math.ceil(math.log(1 - MEET) / math.log1p(-(ALIKE**each)))
+def choices() -> list[np.ndarray]:
+    """Which blocks make up each key: so many keys that MEET holds, the same for every input."""
+    many = math.ceil(math.log(1 - MEET) / math.log1p(-(ALIKE**EACH)))
     r = np.random.default_rng(7)
-    rounds = np.concatenate([r.permutation(BLOCKS)[: BLOCKS // each * each] for _ in range(many)])  # within a round no block serves twice
-    return list(np.sort(rounds.reshape(-1, each)[:many], axis=1))
+    rounds = np.concatenate([r.permutation(BLOCKS)[: BLOCKS // EACH * EACH] for _ in range(many)])  # within a round no block serves twice
+    return list(np.sort(rounds.reshape(-1, EACH)[:many], axis=1))
 
 
 _ROW = np.dtype([("key", "<u4"), ("choice", "u1"), ("line", "<i8")])
@@ -353,7 +352,7 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").alias("keep_doc"), F.col("line").alias("keep_line"))
     distinct = C.durable(lines.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in SIGS)))
     nb = C.buckets(spark)
-    keys = choices(distinct.count())
+    keys = choices()
     found = C.durable(distinct.select("h1", *SIGS).mapInArrow(_pack(keys, nb), "bucket int, rows binary").groupBy("bucket").applyInArrow(_groups(nb), _FOUND))
     ids = distinct.select(F.col("h1").alias("id"), "at", *SIGS)
     side = lambda c, what: ids.select(F.col("id").alias(c), *(F.col(s).alias(f"{c}{s}") for s in what))
