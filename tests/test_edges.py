@@ -35,6 +35,30 @@ def test_similar_values(spark):
     assert M.similar_values(values.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("least", [0.6, 0.75, 0.9])
+def test_similar_words(spark, least):
+    """Words that meet by three grams together, by fewer, and long ones that meet by one; against brute force."""
+    r = random.Random(3)
+    syllables = ["er", "chen", "on", "tion", "é🙂", "ab", "a", "th"]
+    words = {"".join(r.choice(syllables) for _ in range(r.randint(1, 16))) for _ in range(250)} | {"a" * n for n in range(1, 9)} | {"ab" * n for n in range(1, 6)}
+    for w in sorted(words)[::2]:
+        at = r.randrange(len(w))
+        words.add(w[:at] + r.choice("xyß") + w[at + r.randint(0, 1) :])
+    words = sorted(w for w in words if w)
+    grams = {w: {w.lower()[i : i + 3] for i in range(len(w) - 2)} or {w.lower()} for w in words}
+    want = {(a, b) for a in words for b in words if a < b and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= least}
+    assert {len(grams[a]) > M.SHORT for a, _ in want} == {True, False}
+    got = rows(M.similar_values(spark.createDataFrame([(w,) for w in words], "value string"), least))
+    assert len(got) == len(want) and {x[:2] for x in got} == want
+
+
+def test_candidates_are_compared_where_they_meet(spark):
+    """By three grams together, far fewer short words meet than by one, and none of those pairs is shuffled before it is compared."""
+    plan = M.similar_values(spark.createDataFrame([("common",), ("commune",)], "value string"), 0.75)._jdf.queryExecution().optimizedPlan().toString()
+    last = plan[plan.index("Aggregate") :].split("\n")
+    assert "xxhash64" in plan and any("array_intersect" in x and "Join" in x for x in last)
+
+
 def test_profile(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, None, "y"), (2, None, None)], "a int, b string, c string")
     assert sorted(rows(M.profile(df))) == [("a", 2, 0.0, "1", "2"), ("b", 0, 100.0, None, None), ("c", 2, 33.33, "x", "y")]
