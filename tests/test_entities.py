@@ -55,6 +55,22 @@ def test_match_keywords(spark, tmp_path, values, monkeypatch):
     assert len(want) > 100
 
 
+def test_keywords_among_like_values(spark, tmp_path, monkeypatch):
+    """Where nearly all values share most grams, a keyword meets those that can be among its best, not all of them."""
+    values = [("t", "c", f"Customer#{i:09d}") for i in range(4000)]
+    path = str(tmp_path / "index")
+    E.add_values(spark.createDataFrame(values, VALUES), path)
+    asked = [f"customer {i:09d}" for i in range(1200, 4000, 400)]
+    seen = []
+    compare = E.X.jaccard
+    met = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: met.add(1) or x, "double")
+    monkeypatch.setattr(E.X, "jaccard", lambda a, b: seen.append(1) or count(compare(a, b)))
+    got = E.match_keywords(spark.createDataFrame([(k,) for k in asked], "keyword string"), path).collect()
+    assert {(x.keyword, x.tab, x.col, x.value, x["rank"]) for x in got} == {(k, *x[:3], i + 1) for k in asked for i, x in enumerate(_best(k, values))}
+    assert seen and met.value < len(asked) * len(values) / 2
+
+
 def test_half_written_values_do_not_count(spark, tmp_path, values):
     path = str(tmp_path / "index")
     E.add_values(spark.createDataFrame(values[:100], VALUES), path)

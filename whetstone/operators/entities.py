@@ -2,8 +2,8 @@
 
 The index is an inverted list of character 3-grams in folders by bucket of the gram. Beside each gram a posting holds the
 number of grams its value has and the class of that number, so the list of a frequent gram is split by length and a keyword
-reads only the classes that can reach the wanted similarity. What two values share is counted from the postings
-themselves, so similarities are exact and no value meets another. Values are added by appending; known ones are skipped.
+reads only the classes that can reach the wanted similarity. Postings give candidates, whose similarity is taken from all of their
+grams, so it is exact. Values are added by appending; known ones are skipped.
 """
 
 from __future__ import annotations
@@ -16,9 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from whetstone.functions import text as X
+from whetstone.sources.files import reread, scratch
 
 #: Folders of postings; growth of the length classes; rows of a probe that are broadcast at most.
 BUCKETS, GROWTH, BROADCAST_ROWS = 32, 1.5, 200_000
+#: Grams of a keyword, the rarest that the index has, whose values give the first bound.
+PROBED = 2
 
 
 def column_values(tables: dict[str, DataFrame], columns: dict[str, Sequence[str]]) -> DataFrame:
@@ -72,26 +75,42 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def match_keywords(keywords: DataFrame, path: str, k: int = 5, least: float = 0.3) -> DataFrame:
     """(keyword, tab, col, value, similarity, rank): of each distinct keyword the k values of greatest Jaccard similarity from `least` on.
 
-    Ties go by table, column and value. Null and empty keywords match nothing. A batch of few grams is broadcast to the
-    postings (after a count), a larger one is joined by shuffle; only folders of its grams are read where these are few.
+    Ties go by table, column and value. Null and empty keywords match nothing. Values that have one of a keyword's PROBED rarest grams
+    come first: the k-th best of them is a bound that the answer reaches. A value that reaches it has one of the keyword's first
+    n - bound * n + 1 grams, the rarest first, and a length near the keyword's, so only those postings are read then, and frequent grams are rarely among
+    them. A batch of few grams is broadcast to the postings (after a count), a larger one is joined by shuffle; only folders of its grams are read where these are few.
     """
     spark = keywords.sparkSession
-    asked = keywords.select(F.col("keyword")).where("keyword is not null and keyword <> ''").distinct()
-    g = asked.select("keyword", X.grams(F.lower(F.trim("keyword"))).alias("g")).select("keyword", F.size("g").alias("asked"), F.explode("g").alias("gram"))
-    # lengths within which a similarity of `least` is possible, and their classes
-    low, high = F.ceil(least * F.col("asked") - 1e-9), F.floor(F.col("asked") / least + 1e-9)
-    probe = g.select("keyword", "asked", "gram", low.alias("low"), high.alias("high"), F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int").alias("bucket"), F.explode(F.sequence(_length_class(F.greatest(low, F.lit(1))), _length_class(high))).alias("class"))
     values = spark.read.parquet(f"{path}/values")
     whole = [r["run"] for r in values.select("run").distinct().collect()]  # one a call of add_values
-    postings = spark.read.parquet(f"{path}/postings").where(F.col("run").isin(whole))
-    if probe.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        folders = [r["bucket"] for r in probe.select("bucket").distinct().collect()]  # BUCKETS rows at most
-        postings, probe = postings.where(F.col("bucket").isin(folders)), F.broadcast(probe)
-    hits = postings.join(probe, ["bucket", "gram", "class"]).where("n between low and high").select("keyword", "asked", "key", "n")
-    shared = hits.groupBy("keyword", "asked", "key", "n").agg(F.count("*").alias("both"))
-    near = shared.where(F.col("both") >= least * (F.col("asked") + F.col("n") - F.col("both")) - 1e-9).select("keyword", "key")
-    named = near.join(values.drop("run"), "key")
-    similarity = X.jaccard(X.grams(F.lower(F.trim("keyword"))), X.grams(F.lower("value")))
+    postings = spark.read.parquet(f"{path}/postings").where(F.col("run").isin(whole)).select("bucket", "gram", "class", "n", "key")
+    asked = keywords.select(F.col("keyword")).where("keyword is not null and keyword <> ''").distinct()
+    asked = asked.select("keyword", X.grams(F.lower(F.trim("keyword"))).alias("g")).select("keyword", F.size("g").alias("asked"), "g", F.transform("g", X.gram_code).alias("codes"))
+    bucket = F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int")
+    each = asked.select("keyword", "asked", F.explode("g").alias("gram")).withColumn("bucket", bucket)
+    few = each.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sent = F.broadcast if few else lambda df: df
+    if few:
+        folders = [r["bucket"] for r in each.select("bucket").distinct().collect()]  # BUCKETS rows at most
+        postings = postings.where(F.col("bucket").isin(folders))
+    often = postings.join(sent(each.select("bucket", "gram").distinct()), ["bucket", "gram"], "left_semi").groupBy("gram").agg(F.count("*").alias("often"))
+    rare = Window.partitionBy("keyword").orderBy(F.coalesce("often", F.lit(0)), "gram")
+    grams = each.join(often, "gram", "left").withColumn("place", F.row_number().over(rare))
+    grams = reread(grams.where("often is not null").withColumn("found", F.row_number().over(rare)), scratch(spark, "asked"))  # grams that no value has keep their places
+    sets = values.groupBy("key").agg(F.min("value").alias("value")).select("key", F.transform(X.grams(F.lower("value")), X.gram_code).alias("codes_of"))
+
+    def near(probe: DataFrame) -> DataFrame:
+        """(keyword, key, similarity) of the values that have one of the grams (keyword, asked, bound, bucket, gram) and reach the bound."""
+        low, high = F.ceil(F.col("bound") * F.col("asked") - 1e-9), F.floor(F.col("asked") / F.col("bound") + 1e-9)  # lengths that can reach it, and their classes
+        probe = probe.select("keyword", "bucket", "gram", low.alias("low"), high.alias("high"), "bound", F.explode(F.sequence(_length_class(F.greatest(low, F.lit(1))), _length_class(high))).alias("class"))
+        met = postings.join(sent(probe), ["bucket", "gram", "class"]).where("n between low and high").select("keyword", "bound", "key").distinct()
+        both = met.join(sets, "key").join(sent(asked.select("keyword", "codes")), "keyword")
+        return both.select("keyword", "key", "bound", X.jaccard(F.col("codes"), F.col("codes_of")).alias("similarity")).where(F.col("similarity") >= F.col("bound") - 1e-9)
+
+    first = near(grams.where(F.col("found") <= PROBED).withColumn("bound", F.lit(float(least))))
+    best = Window.partitionBy("keyword").orderBy(F.desc("similarity"))
+    bounds = first.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("keyword", F.col("similarity").alias("bound"))
+    bounded = grams.join(reread(bounds, scratch(spark, "bounds")), "keyword", "left").withColumn("bound", F.greatest(F.coalesce("bound", F.lit(0.0)), F.lit(float(least))))
+    named = near(bounded.where(F.col("place") <= F.col("asked") - F.ceil(F.col("bound") * F.col("asked") - 1e-9) + 1)).where(F.col("similarity") >= least).join(values.drop("run"), "key")
     w = Window.partitionBy("keyword").orderBy(F.desc("similarity"), "tab", "col", "value")
-    ranked = named.withColumn("similarity", similarity).where(F.col("similarity") >= least).withColumn("rank", F.row_number().over(w))
-    return ranked.where(F.col("rank") <= k).select("keyword", "tab", "col", "value", "similarity", "rank")
+    return named.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("keyword", "tab", "col", "value", "similarity", "rank")
