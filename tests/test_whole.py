@@ -21,6 +21,25 @@ def test_x14_all(spark):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_baskets_of_all_sizes(spark):
+    """Baskets that meet by one item, by two, and those too wide for two; and few candidates where many baskets share their items."""
+    from whetstone.operators import analytics as A
+
+    r = random.Random(4)
+    sets = {o: set(r.sample(range(40), r.choice([1, 1, 2, 3, 5, 7, 20, 23, 26, 30]))) for o in range(250)}
+    for o in range(0, 250, 3):
+        sets[o + 1000] = set(list(sets[o])[1:]) | {r.randrange(40)}
+    df = spark.createDataFrame([(o, i) for o, s in sets.items() for i in s], "o long, i long")
+    for percent in (50, 80):
+        want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        got = [(x.a, x.b) for x in A.similar_baskets(df, "o", "i", percent).collect()]
+        assert len(got) == len(want) and set(got) == want
+    # baskets of four items have to share two, and meet by two together: one item in common makes no candidate
+    four = spark.createDataFrame([(o, i) for o in range(60) for i in (0, 3 * o + 1, 3 * o + 2, 3 * o + 3)], "o long, i long")
+    plan = A.similar_baskets(four, "o", "i")
+    assert plan.count() == 0 and "xxhash64" in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_k3_all(spark):
     df = spark.createDataFrame([(i, i % 50) for i in range(300)], "p_partkey long, p_size int")
     got = [tuple(x) for x in corpus.k3_all(lambda _: df).collect()]

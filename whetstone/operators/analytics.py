@@ -112,17 +112,34 @@ def scan_partitioned(df: DataFrame, column: str, low, high) -> DataFrame:
     return df.where((F.col(column) >= F.lit(low)) & (F.col(column) < F.lit(high)))
 
 
+#: Items up to which a basket is found by two of its items together.
+WIDE = 24
+
+
 def similar_baskets(df: DataFrame, basket: str, item: str, percent: int = 50) -> DataFrame:
     """(a, b, jaccard): all pairs a < b of baskets whose item sets have a Jaccard similarity of percent / 100 or more.
 
-    Prefix filter: sets that share enough share one of their n - ceil(n * percent / 100) + 1 rarest items. A pair counts at its first such item only.
+    Prefix filter: two sets that must share `need` items share k of them within the n - need + k rarest items of each. Where two items or more must be
+    shared, baskets of up to WIDE items meet by two together, others by one. A pair counts at its first such items only.
     """
     items = df.select(F.col(basket).alias("o"), F.col(item).alias("i")).dropna().distinct()
     ranked = items.join(items.groupBy("i").agg(F.count("*").alias("f")), "i")
     sets = ranked.groupBy("o").agg(F.array_sort(F.collect_list(F.struct("f", "i"))).alias("s")).select("o", F.transform("s", lambda x: x["i"]).alias("s"), F.size("s").alias("n"))
-    sets = sets.withColumn("p", F.slice("s", F.lit(1), (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).cast("int")))
-    x, y = (sets.select(F.col("o").alias(c), F.col("s").alias(f"s{c}"), F.col("n").alias(f"n{c}"), F.col("p").alias(f"p{c}"), F.explode("p").alias("i")) for c in "ab")
-    met = x.join(y, "i").where((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("i")))
+    sets = sets.withColumn("need", F.floor((F.col("n") * percent + 99) / 100).cast("int"))
+    sets = reread(sets, scratch(df.sparkSession, "baskets"))
+    single, double = "transform(p, x -> xxhash64(x))", "flatten(transform(p, (x, j) -> transform(slice(p, j + 2, size(p)), y -> xxhash64(x, y))))"
+    # a pair meets by two items if the larger set must share two; a set that must share one is there for its larger partners
+    some = {1: (single, (F.col("need") <= 1) | (100 * F.col("n") > percent * WIDE)), 2: (double, F.col("n").between(2, WIDE))}
+    parts = []
+    for k, (keys, where) in some.items():
+        p = sets.where(where).withColumn("p", F.slice("s", F.lit(1), F.col("n") - F.greatest("need", F.lit(k)) + k))
+        parts.append(p.select("o", "s", "n", "need", "p", F.lit(k).alias("k"), F.explode(F.expr(keys)).alias("key")))
+    index = parts[0].unionByName(parts[1])
+    x, y = (index.select("k", "key", F.col("o").alias(c), *(F.col(v).alias(f"{v}{c}") for v in ("s", "n", "need", "p"))) for c in "ab")
+    level = F.when(F.greatest("na", "nb") > WIDE, 1).otherwise(F.least(F.lit(2), F.greatest("needa", "needb")))
+    common = F.array_intersect("pa", "pb")
+    first = F.when(F.col("k") == 1, F.xxhash64(F.get(common, F.lit(0)))).otherwise(F.xxhash64(F.get(common, F.lit(0)), F.get(common, F.lit(1))))
+    met = x.join(y, ["k", "key"]).where((F.col("a") < F.col("b")) & (level == F.col("k")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (first == F.col("key")))
     both = met.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"))
     union = F.col("na") + F.col("nb") - F.col("both")
     return both.where(100 * F.col("both") >= percent * union).select("a", "b", (F.col("both") / union).alias("jaccard"))
