@@ -210,3 +210,37 @@ def test_quantised_odd(spark, tmp_path):
     vectors.build(one, str(tmp_path / "few"))
     got = {(r.query_id, r.vec_id): round(r.similarity, 6) for r in vectors.search(one, str(tmp_path / "few"), 3, probes=9).collect()}
     assert got == {(1, 2): 1.0, (2, 1): 1.0, (1, 3): 0.0, (3, 1): 0.0, (2, 3): 0.0, (3, 2): 0.0}
+
+
+def test_unbounded_paths_carry_numbers(spark):
+    """As brute force, and no step shuffles the texts of its paths."""
+    import random
+
+    from whetstone.operators import metadata as M
+
+    r = random.Random(3)
+    names = [f"{r.choice('ab')}{i}" for i in range(40)] + ["a", "a1 ", "a1!", "a1~", "é"]
+    edges = sorted({(r.choice(names), r.choice(names)) for _ in range(130)})
+    want = {}
+    for start in names[:3] + ["a"]:
+        front = {start: start}
+        seen = dict(front)
+        while front:
+            new = {}
+            for u, path in front.items():
+                for a, b in edges:
+                    if a == u and b not in seen:
+                        new[b] = min(new.get(b, f"{path}>{b}"), f"{path}>{b}", key=str.encode)
+            seen |= new
+            front = new
+        want |= {(start, k): v for k, v in seen.items()}
+    starts = spark.createDataFrame([(x,) for x in [*names[:3], "a"]], "node string")
+    e = spark.createDataFrame(edges, "src string, dst string")
+    texts = []
+    kept, M.reread = M.reread, lambda df, path, *a: (texts.append(df._jdf.queryExecution().optimizedPlan().toString()), kept(df, path, *a))[1]
+    try:
+        got = M.shortest_paths(e, starts, hops=None).collect()
+    finally:
+        M.reread = kept
+    assert {(x.start, x.node): x.path for x in got} == want and len(got) == len(want)
+    assert not any("min(path" in t for t in texts)

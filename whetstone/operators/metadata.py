@@ -51,15 +51,25 @@ def merged_edges(*sources: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, starts: DataFrame, hops: int | None = 4) -> DataFrame:
     """(start, node, path, n): the least text among shortest directed paths, breadth first, one join a hop; visited nodes are not visited again. Without hops, until no new node is found.
 
-    Each hop is written to the shared folder, so the plan does not grow with the hops.
+    Each hop is written to the shared folder, so the plan does not grow with the hops. Without hops, most edges lead back to visited nodes. There
+    they carry a number instead of the path they go on from: its place in the order of all paths of the last hop, from a sort of these alone.
+    The least number into a node is then its least text, and texts are made for new nodes only; names hold no '>' there.
     """
     spark = edges.sparkSession
     edges = reread(edges, scratch(spark, "edges"))
     seen = starts.select(F.col("node").alias("start"), "node", F.col("node").cast("string").alias("path"), F.lit(0).alias("n"))
     front = seen
     for hop in count(1) if hops is None else range(1, hops + 1):
-        step = front.join(edges, front["node"] == edges["src"]).select("start", F.col("dst").alias("node"), F.concat_ws(">", "path", F.col("dst").cast("string")).alias("path"))
-        new = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").groupBy("start", "node").agg(F.min("path").alias("path")).withColumn("n", F.lit(hop))
+        longer = F.concat_ws(">", "path", F.col("dst").cast("string")).alias("path")
+        if hops is None:
+            # partitions of a sorted table are in order, and so are these numbers; '>' as that is what follows each path
+            held = front.orderBy(F.concat("path", F.lit(">"))).select("start", F.col("node").alias("src"), "path", F.monotonically_increasing_id().alias("place"))
+            held = reread(held, scratch(spark, "places"))
+            step = held.join(edges, "src").groupBy("start", "dst").agg(F.min("place").alias("place"))
+            new = step.join(seen.select("start", F.col("node").alias("dst")), ["start", "dst"], "left_anti").join(held.select("place", "path"), "place").select("start", F.col("dst").alias("node"), longer, F.lit(hop).alias("n"))
+        else:
+            step = front.join(edges, front["node"] == edges["src"]).select("start", F.col("dst").alias("node"), longer)
+            new = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").groupBy("start", "node").agg(F.min("path").alias("path")).withColumn("n", F.lit(hop))
         front = reread(new, scratch(spark, "front"))
         if front.isEmpty():
             break
