@@ -105,6 +105,19 @@ def test_cumulative_share(spark):
         assert k == i and math.isclose(running, run)
 
 
+def test_chunks_by_places(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choice(["\n", "\n", ". ", ".", " ", "é🙂", "w" * 40]) for _ in range(r.randint(300, 3000))) for _ in range(20)] + [". " * 6000, "\n" * 9000, "a" * 2001 + "\n\n\n" + "b" * 4000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {}
+    for x in D.split_long(df, ["doc_id"]).orderBy("doc_id", "part").collect():
+        got.setdefault(x.doc_id, []).append((x.start, x.text))
+    for i, t in enumerate(texts):
+        assert got.get(i, []) == [(a, t[a:b].strip(D.SPACE)) for a, b in D.cuts(t) if t[a:b].strip(D.SPACE)]
+    plan = D.split_long(df, ["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "spans_of(text" not in plan  # no text goes to Python
+
+
 def test_chunks(spark):
     r = random.Random(4)
     texts = ["", "  ", None, "short", "x" * 9000, *("".join(r.choice(["word ", "end. ", "\n\n", "é🙂 "]) for _ in range(r.randint(500, 4000))) for _ in range(6))]

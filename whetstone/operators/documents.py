@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,37 +14,61 @@ from whetstone.functions import text as X
 #: Characters of a chunk at most, and of its overlap with the one before.
 CHUNK, OVERLAP = 4000, 400
 SPACE = " \t\n\r"
+#: Where a text may be cut, the better place first.
+MARKS = ("\n\n", ". ")
 
 
 def cuts(text: str, most: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """(start, end) of the chunks of a text: at a blank line, else after a sentence, if that lies beyond the middle."""
-    if len(text) <= most:
-        return [(0, len(text))]
+    return _spans(len(text), lambda mark, start, end: text.rfind(mark, start, end), most, overlap)
+
+
+def _spans(length: int, last: Callable[[str, int, int], int], most: int, overlap: int) -> list[tuple[int, int]]:
+    """The rule of `cuts`; last(mark, start, end) is the last place of a mark that lies whole within these, below start if there is none."""
+    if length <= most:
+        return [(0, length)]
     out, start = [], 0
-    while start < len(text):
+    while start < length:
         end = start + most
-        if end < len(text):
-            for mark in ("\n\n", ". "):
-                at = text.rfind(mark, start, end)
+        if end < length:
+            for mark in MARKS:
+                at = last(mark, start, end)
                 if at > start + most // 2:
                     end = at + len(mark)
                     break
-        out.append((start, min(end, len(text))))
+        out.append((start, min(end, length)))
         start = end - overlap
     return out
 
 
+def _cuts_at(pieces: np.ndarray, most: int, overlap: int) -> list[tuple[int, int]]:
+    """`cuts` of a text of which only the lengths of its pieces are known, each but the first from a mark on: negative from a sentence's end."""
+    places, sentence = np.cumsum(np.abs(pieces)), pieces[1:] < 0
+    of = {MARKS[0]: places[:-1][~sentence], MARKS[1]: places[:-1][sentence]}
+
+    def last(mark, start, end):
+        i = np.searchsorted(of[mark], end - len(mark), "right")
+        return int(of[mark][i - 1]) if i else -1
+
+    return _spans(int(places[-1]), last, most, overlap)
+
+
 def split_long(docs: DataFrame, keys: list[str], most: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(keys, part, parts, start, text, hash, char_count): trimmed chunks without empty ones; parts counts those of a text."""
+    """(keys, part, parts, start, text, hash, char_count): trimmed chunks without empty ones; parts counts those of a text.
+
+    Python sees the places where a text may be cut and never the text, so its memory does not follow the texts.
+    """
     spans = "array<struct<start:int,end:int>>"
 
     @F.pandas_udf(spans)
     def spans_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([[{"start": a, "end": b} for a, b in cuts(t or "", most, overlap)] for t in texts])
+        for pieces in batches:
+            yield pd.Series([[{"start": a, "end": b} for a, b in _cuts_at(np.asarray(p, np.int64), most, overlap)] for p in pieces])
 
+    # cut before every mark, also where they overlap
+    pieces_of = F.transform(F.split("text", r"(?=\n\n)|(?=\. )", -1), lambda x: F.when(x.startswith(". "), -F.length(x)).otherwise(F.length(x)))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.coalesce(F.length("text"), F.lit(0)).alias("end")))
-    long = docs.where(F.length("text") > most).withColumn("c", spans_of("text"))  # only these need the sequential rule
+    long = docs.where(F.length("text") > most).withColumn("c", spans_of(pieces_of))  # only these need the sequential rule
     both = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= most).withColumn("c", whole.cast(spans)).unionByName(long)
     pieces = F.transform("c", lambda c: F.struct(c["start"].alias("start"), F.btrim(F.substring("text", c["start"] + 1, c["end"] - c["start"]), F.lit(SPACE)).alias("text")))
     held = both.select(*keys, F.filter(pieces, lambda p: p["text"] != "").alias("p"))
