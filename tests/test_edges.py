@@ -273,3 +273,14 @@ def test_nearest_with_bonus(spark, monkeypatch, sent):
     assert len(got) == len(want) and set(got) == want
     at_one = [i for _, i, v in got if v == 1.0]
     assert len(at_one) > 10
+
+
+def test_first_of_batches():
+    """Cells give k rows of each query a batch, in the order of the window after them: NaN first, nulls last, ties by id."""
+    import pyarrow as pa
+
+    nan = float("nan")
+    b = pa.RecordBatch.from_pydict({"query_id": [2, 1, 1, 1, 2, 1, 3], "vec_id": [5, 9, 4, 7, 6, 8, 1], "similarity": pa.array([0.1, 0.5, 0.5, nan, None, 0.9, None], pa.float64())})
+    got = [next(M._first_of(k)(iter([b]))) for k in (1, 2, 3)]
+    assert [x["vec_id"].to_pylist() for x in got] == [[7, 5, 1], [7, 8, 5, 6, 1], [7, 8, 4, 5, 6, 1]]
+    assert got[1]["similarity"].to_pylist()[3:] == [None, None]

@@ -296,6 +296,22 @@ def hop_keys(paths: DataFrame, edges: DataFrame) -> DataFrame:
 FIT_ROWS, CALIBRATION_ROWS = 20_000, 200
 
 
+def _first_of(k: int):
+    """Of each batch of (query_id, vec_id, similarity) the k rows of each query that Spark's descending order puts first, ties by id."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            q, v, s = b["query_id"].to_numpy(), b["vec_id"].to_numpy(), b["similarity"].to_numpy(zero_copy_only=False)
+            odd = np.where(b["similarity"].is_null().to_numpy(zero_copy_only=False), 1, np.where(np.isnan(s), -1, 0))  # NaN is largest, null least
+            order = np.lexsort((v, -np.nan_to_num(s), odd, q))
+            place = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+            yield b.take(pa.array(order[place < k]))
+
+    return run
+
+
 def nearest_in_cells(queries: DataFrame, corpus: DataFrame, k: int, recall: float = 0.95) -> DataFrame:
     """(query_id, vec_id, similarity, rank) as `nearest`, from the cells nearest to a query only.
 
@@ -346,6 +362,7 @@ def nearest_in_cells(queries: DataFrame, corpus: DataFrame, k: int, recall: floa
     probing = asked.mapInArrow(ranked(probes), schema).select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"), F.explode("cells").alias("cell"))
     dot = F.aggregate(F.zip_with("e", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     both = probing.join(held, "cell").where("query_id <> vec_id").select("query_id", "vec_id", dot.alias("similarity"))
+    both = both.mapInArrow(_first_of(k), both.schema)  # a sort of all of a task's pairs would hold them
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
