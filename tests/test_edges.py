@@ -221,6 +221,44 @@ def test_cache(spark, sf_dir, events):
     assert got == want and True in want.values()
 
 
+def test_states_by_bucket(spark):
+    """Keys share the states of a few buckets, over several batches: each key still has its own times, also the null one, and what the watermark is past is forgotten."""
+    r = random.Random(3)
+    path = files.scratch(spark, "shared")
+    data, stored, passed = [], {}, {}
+    hits, allowed = {}, {}
+    for batch in range(3):
+        some = sorted((36000 * batch + r.randint(0, 35000), 1000 * batch + i, r.choice([None, *range(40)])) for i in range(400))
+        for at, e, u in some:
+            hits[e] = u in stored and at - stored[u] <= 900
+            if e % 5 and not hits[e]:
+                stored[u] = at
+            kept = [t for t in passed.get(u, []) if t > at - 1800]
+            allowed[e] = len(kept) < 2
+            passed[u] = kept + [at] * allowed[e]
+        data.append(some)
+
+    def run(how):
+        most = 0
+        out = files.scratch(spark, "shared-out")
+        for some in data:
+            held = f"{path}-{how}"
+            spark.createDataFrame(some, "at long, event_id long, user_id long").select("event_id", "user_id", F.timestamp_seconds("at").alias("ts")).coalesce(1).write.mode("append").parquet(held)
+            e = spark.readStream.schema("event_id long, user_id long, ts timestamp").parquet(held)
+            made = J.cached(e, "user_id", "event_id % 5 <> 0", 900, buckets=4) if how == "cached" else J.limited(e, "user_id", 2, 1800, buckets=4)
+            q = made.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start()
+            q.awaitTermination()
+            most = max([most, *[o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]]])
+        return spark.read.parquet(out).collect(), most
+
+    got, states = run("cached")
+    assert {x.event_id: x.hit for x in got} == hits and True in hits.values() and 0 < states <= 4
+    assert {x.event_id: x.key for x in got} == {e: None if u is None else str(u) for some in data for _, e, u in some}
+    got, states = run("limited")
+    assert {x.event_id: x.allowed for x in got} == allowed and False in allowed.values() and 0 < states <= 4
+    assert {x.event_id: x.client for x in got} == {e: u for some in data for _, e, u in some}
+
+
 def test_late_rows(spark):
     """A row older than the watermark is dropped; the windows before it come out once."""
     path = files.scratch(spark, "late")

@@ -32,10 +32,20 @@ def drained(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None]
     return spark.read.schema(stream.schema).option("recursiveFileLookup", mode != "append" or bool(each)).parquet(path)
 
 
+#: Groups that share one state, so that a call of Python serves many keys. A stream keeps the number it was started with.
+BUCKETS = 1024
+
+
 def timed(events: DataFrame, late: str, ts: str = "ts") -> DataFrame:
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
 
 
+def _bucketed(events: DataFrame, key: str, buckets: int, *more: str) -> DataFrame:
+    """(bucket, key, event_id, ts, more, at): at in seconds."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+    return events.select(bucket, key, "event_id", "ts", *more, (F.unix_micros("ts").cast("double") / 1e6).alias("at"))
+
+
 def rates(events: DataFrame, labels: Sequence[str], length: str = "5 minutes", step: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """(start, labels, n, per_second): counts in sliding windows and over their seconds."""
     seconds = (F.unix_timestamp("w.end") - F.unix_timestamp("w.start")).cast("double")
@@ -62,7 +72,7 @@ def latency_quantiles(counts: DataFrame, bounds: Sequence[float], quantiles: Seq
     return counts.select("start", *[at(q).alias(f"p{round(100 * q)}") for q in quantiles])
 
 
-def limited(events: DataFrame, client: str, most: int = 60, seconds: int = 60, late: str = "1 minute") -> DataFrame:
+def limited(events: DataFrame, client: str, most: int = 60, seconds: int = 60, late: str = "1 minute", buckets: int = BUCKETS) -> DataFrame:
     """(client, event_id, allowed, remaining, retry_after): an event passes while fewer than `most` passed in the last `seconds`.
 
     Rejected events do not count. A client's state holds the times of those that passed, `most` at the most, and goes once
@@ -72,45 +82,51 @@ def limited(events: DataFrame, client: str, most: int = 60, seconds: int = 60, l
         if state.hasTimedOut:
             state.remove()
             return
-        passed = list(state.get[0]) if state.exists else []
+        held = dict(zip(*state.get, strict=True)) if state.exists else {}
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
         out = []
-        for event, at in zip(rows["event_id"], rows["at"], strict=True):
-            passed = [t for t in passed if t > at - seconds]
+        for who, event, at in zip(rows["client"], rows["event_id"], rows["at"], strict=True):
+            passed = [t for t in held.get(who, ()) if t > at - seconds]
             ok = len(passed) < most
             if ok:
                 passed.append(at)
-            out.append((key[0], event, ok, most - len(passed), 0.0 if ok else passed[0] + seconds - at))
-        state.update((passed,))
-        if passed:
-            state.setTimeoutTimestamp(max(int((max(passed) + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+            held[who] = passed
+            out.append((who, event, ok, most - len(passed), 0.0 if ok else passed[0] + seconds - at))
+        now = state.getCurrentWatermarkMs()
+        held = {who: list(p) for who, p in held.items() if p and int((max(p) + seconds) * 1000) >= now}
+        state.update((list(held), list(held.values())))
+        if held:
+            state.setTimeoutTimestamp(max(int((max(map(max, held.values())) + seconds) * 1000), now + 1))
         yield pd.DataFrame(out, columns=["client", "event_id", "allowed", "remaining", "retry_after"])
 
-    rows = timed(events, late).select(F.col(client).alias("client"), "event_id", "ts", F.unix_micros("ts").cast("double").alias("us")).withColumn("at", F.col("us") / 1e6)
-    return rows.groupBy("client").applyInPandasWithState(step, "client long, event_id long, allowed boolean, remaining int, retry_after double", "passed array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = _bucketed(timed(events, late).withColumn("client", F.col(client).cast("string")), "client", buckets)
+    out = rows.groupBy("bucket").applyInPandasWithState(step, "client string, event_id long, allowed boolean, remaining int, retry_after double", "clients array<string>, passed array<array<double>>", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("client", F.col("client").cast("long"))
 
 
-def cached(events: DataFrame, key: str, good: str, seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
+def cached(events: DataFrame, key: str, good: str, seconds: int = 3600, late: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """(key, event_id, hit): whether a good answer to the same key was stored within `seconds` before; a hit stores nothing."""
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        stored = state.get[0] if state.exists else None
+        stored = dict(zip(*state.get, strict=True)) if state.exists else {}
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        out = []
-        for event, at, ok in zip(rows["event_id"], rows["at"], rows["good"], strict=True):
-            hit = stored is not None and at - stored <= seconds
+        hits = []
+        for asked, at, ok in zip(rows["key"], rows["at"], rows["good"], strict=True):
+            hit = asked in stored and at - stored[asked] <= seconds
             if ok and not hit:
-                stored = at
-            out.append((k[0], event, hit))
-        if stored is not None:
-            state.update((stored,))
-            state.setTimeoutTimestamp(max(int((stored + seconds) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "event_id", "hit"])
-
-    rows = timed(events, late).select(F.expr(key).cast("string").alias("key"), "event_id", "ts", F.expr(good).alias("good"), F.unix_micros("ts").cast("double").alias("us")).withColumn("at", F.col("us") / 1e6)
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, event_id long, hit boolean", "stored double", "append", GroupStateTimeout.EventTimeTimeout)
+                stored[asked] = at
+            hits.append(hit)
+        now = state.getCurrentWatermarkMs()
+        stored = {asked: at for asked, at in stored.items() if int((at + seconds) * 1000) >= now}
+        state.update((list(stored), list(stored.values())))
+        if stored:
+            state.setTimeoutTimestamp(max(int((max(stored.values()) + seconds) * 1000) + 1, now + 1))
+        yield pd.DataFrame({"key": rows["key"].to_numpy(), "event_id": rows["event_id"].to_numpy(), "hit": hits})
+
+    rows = _bucketed(timed(events, late).withColumns({"key": F.expr(key).cast("string"), "good": F.expr(good)}), "key", buckets, "good")
+    return rows.groupBy("bucket").applyInPandasWithState(step, "key string, event_id long, hit boolean", "keys array<string>, stored array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_of(events: DataFrame, keys: Sequence[str], late: str = "1 hour") -> DataFrame:
