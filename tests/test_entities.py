@@ -150,6 +150,16 @@ def test_taxonomy(spark):
     assert {c for c, _ in got.values()} >= {"syntax", "schema_link", "join", "filter", "aggregation", "date_time", "others"}
 
 
+def test_taxonomy_reads_messages_once(spark):
+    """No message is shuffled or cut into rows, rows with one key keep their own classes, and a word within an earlier one does not hide it."""
+    rules = spark.createDataFrame([(0, "a", "x", "typed", False), (1, "b", "y", "type", False), (2, "c", "z", "types", False), (3, "d", "w", "a b", True)], "rank int, category string, subtype string, word string, is_phrase boolean")
+    df = spark.createDataFrame([(1, "TYPED"), (1, "retype"), (1, "types typed"), (None, "prototypes"), (2, "a b"), (2, "a\nb"), (3, None)], "id long, message string")
+    out = T.classified(df, rules, ["id"])
+    assert sorted((r.message or "", r.category) for r in out.collect()) == [("", "syntax"), ("TYPED", "a"), ("a\nb", "syntax"), ("a b", "d"), ("prototypes", "b"), ("retype", "b"), ("types typed", "a")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Join") == 1
+
+
 def _terms(text, aliases, most=4):
     w = re.findall(r"\w+", (text or "").lower())
     out, i = [], 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Categories, subtypes and descriptions of errors, in the order in which they count.
@@ -69,18 +69,21 @@ def rules(spark: SparkSession, taxonomy=TAXONOMY, phrases=PHRASES) -> DataFrame:
 def classified(messages: DataFrame, table: DataFrame, keys: list[str], message: str = "message", default: tuple[str, str] = DEFAULT) -> DataFrame:
     """messages with category and subtype of the lowest rule one of whose words lies anywhere in the message; case does not count.
 
-    A word without a space that lies in a message lies in one of its tokens. So words are looked for in the distinct tokens
-    of all messages, each of which keeps its lowest rank, and messages join these by token; phrases count only where no
-    word does. `keys` tell messages apart. Null and empty messages get the default, as do those that nothing hits.
+    Words are looked for in the order of their ranks, up to the first that a message has, so a message is read at most once a
+    word and nothing is shuffled; phrases count only where no word does. `keys` are the columns that come first. Null and
+    empty messages get the default, as do those that nothing hits.
     """
     listed = sorted((r["rank"], r["word"], r["is_phrase"]) for r in table.collect())  # some hundred rows
-    array = lambda phrase: F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(w).alias("word")) for i, w, p in listed if p == phrase])
-    lowest = lambda text, phrase: F.get(F.filter(array(phrase), lambda x: text.contains(x["word"])), F.lit(0))["rank"]
-    tokens = messages.select(*keys, F.explode(F.array_distinct(F.split(F.lower(message), r"\s+"))).alias("token"))
-    known = tokens.select("token").distinct().withColumn("rank", lowest(F.col("token"), False)).where("rank is not null")
-    by_word = tokens.join(known, "token").groupBy(*keys).agg(F.min("rank").alias("__word"))
-    left = messages.join(by_word, keys, "left")
-    found = lowest(F.lower(F.col(message)), True)
+
+    def lowest(text: Column, phrase: bool) -> Column:
+        kept: list[tuple[int, str]] = []
+        for rank, word, p in listed:
+            if p == phrase and not any(w in word for _, w in kept):  # else an earlier word lies in this one
+                kept.append((rank, word))
+        return F.coalesce(*[F.when(text.contains(w), F.lit(i)) for i, w in kept], F.lit(None).cast("int"))
+
     named = table.groupBy("rank").agg(F.first("category").alias("category"), F.first("subtype").alias("subtype"))
-    out = left.withColumn("rank", F.coalesce("__word", found)).drop("__word").join(F.broadcast(named), "rank", "left").drop("rank")  # a row for each rule
+    lower = messages.select(*keys, *[c for c in messages.columns if c not in keys], F.lower(F.col(message)).alias("__lower"))
+    ranked = lower.withColumn("rank", F.coalesce(lowest(F.col("__lower"), False), lowest(F.col("__lower"), True))).drop("__lower")
+    out = ranked.join(F.broadcast(named), "rank", "left").drop("rank")  # a row for each rule
     return out.withColumns({"category": F.coalesce("category", F.lit(default[0])), "subtype": F.coalesce("subtype", F.lit(default[1]))})
