@@ -84,6 +84,19 @@ def test_files_by_kind(spark, tmp_path):
     assert one.where("path like '%same.md'").count() == 0  # the first by path stays
 
 
+def test_files_are_read_once(spark, tmp_path):
+    """One scan serves every kind of file and both long and short sections; a list with a null entity and a file that is no list keep their rows as they were."""
+    path = tmp_path.as_posix()
+    content = {"a.md": "top\n# One\n" + "x. y " * 900 + "\n#### no\n## \n Two", "b.txt": "1. First\nx\n22. Second", "c.html": "<h2>H</h2><p>t</p>", "d.json": '[{"name":"n","description":"d"},null,{"columns":[{"name":"c","dataType":"t"}]}]', "e.json": "{"}
+    kinds.write_files(spark.createDataFrame(list(content.items()), "name string, content string"), path)
+    files = kinds.read_files(spark, path)
+    plan = kinds.file_chunks(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Relation") == 1
+    got = [tuple(r) for r in kinds.file_sections(files).select("kind", "section", "header", "level", F.substring("text", 1, 12)).orderBy("kind", "section").collect()]
+    assert got == [("html", 0, "H", 2, "## H\nt"), ("json", 0, "n", 0, "n\nd"), ("json", 2, "", 0, "Columns: c t"), ("md", 0, "", 0, "top"), ("md", 1, "One", 1, "# One\nx. y x"), ("md", 2, "Two", 2, "## \n Two"), ("txt", 0, "First", 0, "1. First\nx"), ("txt", 1, "Second", 0, "22. Second")]
+
+
+
 def test_table_functions(spark):
     udtf.register(spark)
     texts = [(1, "one. " * 3000), (2, None), (3, ""), (4, "short"), (5, "  \n "), (1, "again")]

@@ -63,25 +63,36 @@ def split_long(docs: DataFrame, keys: list[str], most: int = CHUNK, overlap: int
     @F.pandas_udf(spans)
     def spans_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pieces in batches:
-            yield pd.Series([[{"start": a, "end": b} for a, b in _cuts_at(np.asarray(p, np.int64), most, overlap)] for p in pieces])
+            yield pd.Series([None if p is None else [{"start": a, "end": b} for a, b in _cuts_at(np.asarray(p, np.int64), most, overlap)] for p in pieces])
 
     # cut before every mark, also where they overlap
     pieces_of = F.transform(F.split("text", r"(?=\n\n)|(?=\. )", -1), lambda x: F.when(x.startswith(". "), -F.length(x)).otherwise(F.length(x)))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.coalesce(F.length("text"), F.lit(0)).alias("end")))
-    long = docs.where(F.length("text") > most).withColumn("c", spans_of(pieces_of))  # only these need the sequential rule
-    both = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= most).withColumn("c", whole.cast(spans)).unionByName(long)
+    # only long texts need the sequential rule; one pass for both, as two branches would make `docs` twice
+    both = docs.withColumn("c", F.coalesce(spans_of(F.when(F.length("text") > most, pieces_of)), whole.cast(spans)))
     pieces = F.transform("c", lambda c: F.struct(c["start"].alias("start"), F.btrim(F.substring("text", c["start"] + 1, c["end"] - c["start"]), F.lit(SPACE)).alias("text")))
     held = both.select(*keys, F.filter(pieces, lambda p: p["text"] != "").alias("p"))
     flat = held.select(*keys, F.size("p").alias("parts"), F.posexplode("p").alias("part", "x"))
     return flat.select(*keys, "part", "parts", F.col("x.start").alias("start"), F.col("x.text").alias("text"), X.short_hash(F.col("x.text")).alias("hash"), F.length("x.text").alias("char_count"))
 
 
+def section_texts(text: Column, numbered: bool = False) -> Column:
+    """The trimmed pieces of a text that is cut before Markdown headers, or before numbered lines; some may be empty."""
+    before = r"(?m)(?=^\d+\.\s)" if numbered else r"(?m)(?=^#{1,3}\s)"
+    return F.transform(F.split(text, before, -1), lambda t: F.btrim(t, F.lit(SPACE)))
+
+
+def section_header(text: Column, numbered: bool = False) -> tuple[Column, Column]:
+    """(header, level) of such a piece."""
+    header = r"(?m)\A(\d+)\.\s+(.+?)$" if numbered else r"(?m)\A(#{1,3})\s+(.+?)$"
+    return F.btrim(F.regexp_extract(text, header, 2), F.lit(SPACE)), F.lit(0) if numbered else F.length(F.regexp_extract(text, header, 1))
+
+
 def sections(docs: DataFrame, keys: list[str], numbered: bool = False) -> DataFrame:
     """(keys, section, header, level, text): texts cut before Markdown headers, or before numbered lines."""
-    before, header = (r"(?m)(?=^\d+\.\s)", r"(?m)\A(\d+)\.\s+(.+?)$") if numbered else (r"(?m)(?=^#{1,3}\s)", r"(?m)\A(#{1,3})\s+(.+?)$")
-    parts = docs.select(*keys, F.posexplode(F.split("text", before, -1)).alias("section", "text")).withColumn("text", F.btrim("text", F.lit(SPACE))).where("text <> ''")
-    mark = F.regexp_extract("text", header, 1)
-    return parts.select(*keys, "section", F.btrim(F.regexp_extract("text", header, 2), F.lit(SPACE)).alias("header"), (F.lit(0) if numbered else F.length(mark)).alias("level"), "text")
+    parts = docs.select(*keys, F.posexplode(section_texts(F.col("text"), numbered)).alias("section", "text")).where("text <> ''")
+    header, level = section_header(F.col("text"), numbered)
+    return parts.select(*keys, "section", header.alias("header"), level.alias("level"), "text")
 
 
 def section_chunks(docs: DataFrame, keys: list[str]) -> DataFrame:

@@ -60,13 +60,18 @@ def file_sections(files: DataFrame) -> DataFrame:
     A JSON file is a list of entities (name, description, columns); one that is not gives no section. Pages lose their tags. Works
     on streams.
     """
-    of = lambda k: files.where(F.col("kind") == k)
-    keys = ["path", "kind"]
-    marked = of("md").unionByName(of("html").withColumn("text", D.page_text(F.col("text"))))
-    out = D.sections(marked, keys).unionByName(D.sections(of("txt"), keys, numbered=True))
+    kind = F.col("kind")
     entities = F.from_json("text", "array<struct<name:string,description:string,columns:array<struct<name:string,dataType:string>>>>")
-    json = of("json").select(*keys, F.posexplode(entities).alias("section", "e"))
-    return out.unionByName(json.select(*keys, "section", F.coalesce(F.col("e")["name"], F.lit("")).alias("header"), F.lit(0).alias("level"), _entity(F.col("e")).alias("text")).where("text <> ''"))
+    named = lambda name, text: F.struct(name.cast("string").alias("header"), text.alias("text"))
+    cut = lambda numbered: F.transform(D.section_texts(F.col("text"), numbered), lambda t: named(F.lit(None), t))
+    pieces = F.when(kind == "json", F.transform(entities, lambda e: named(F.coalesce(e["name"], F.lit("")), _entity(e)))).when(kind == "txt", cut(True)).when(kind.isin("md", "html"), cut(False))
+    # one pass for all kinds: a union of a branch for each would read every file as often
+    plain = files.withColumn("text", F.when(kind == "html", D.page_text(F.col("text"))).otherwise(F.col("text")))
+    rows = plain.select("path", "kind", F.posexplode(pieces).alias("section", "x")).select("path", "kind", "section", "x.header", "x.text").where("text <> ''")
+    by_line, by_mark = D.section_header(F.col("text"), True), D.section_header(F.col("text"), False)
+    header = F.coalesce("header", F.when(kind == "txt", by_line[0]).otherwise(by_mark[0]))
+    level = F.when(kind.isin("md", "html"), by_mark[1]).otherwise(0)
+    return rows.select("path", "kind", "section", header.alias("header"), level.alias("level"), "text")
 
 
 def file_chunks(files: DataFrame) -> DataFrame:
