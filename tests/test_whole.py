@@ -2,6 +2,7 @@
 
 import random
 import re
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -109,3 +110,17 @@ def test_limits_of_shares(spark):
     over = spark.createDataFrame([(c, float(v)) for c, v in enumerate(["800000000.01", "150000000.00", "49999999.99"])], "o_custkey long, o_totalprice double")
     assert [tuple(x) for x in corpus.w7(lambda _: over).collect()] == [(3, 0, 0.0)]
     assert {x[0]: x[1] for x in corpus.w8(lambda _: over).collect()} == {"B": 1, "C": 2}
+
+
+def test_baskets_by_lines(spark):
+    """Pairs of an order's distinct parts, counted in as many tasks as the lines ask for; nulls, repeats and single parts make no pair."""
+    r = random.Random(8)
+    lines = [(r.choice([None, *range(30)]), r.choice([None, *range(12)])) for _ in range(300)] + [(99, 1), (98, 2), (98, 2)]
+    want = {}
+    for o in {o for o, _ in lines if o is not None}:
+        for pair in combinations(sorted({p for x, p in lines if x == o and p is not None}), 2):
+            want[pair] = want.get(pair, 0) + 1
+    got = corpus._baskets(spark.createDataFrame(lines, "l_orderkey long, l_partkey long"), "l_orderkey", "l_partkey", each=20)
+    assert {(x.part_a, x.part_b): x.n for x in got.collect()} == want
+    assert got.rdd.getNumPartitions() >= len([1 for o, p in lines if o is not None and p is not None]) // 20
+    assert corpus._baskets(spark.createDataFrame([], "l_orderkey long, l_partkey long"), "l_orderkey", "l_partkey").count() == 0
