@@ -124,3 +124,16 @@ def test_baskets_by_lines(spark):
     assert {(x.part_a, x.part_b): x.n for x in got.collect()} == want
     assert got.rdd.getNumPartitions() >= len([1 for o, p in lines if o is not None and p is not None]) // 20
     assert corpus._baskets(spark.createDataFrame([], "l_orderkey long, l_partkey long"), "l_orderkey", "l_partkey").count() == 0
+
+
+def test_export_is_dealt_by_lines(spark, sf_dir, monkeypatch):
+    """The export's tasks follow the number of lines, not compressed bytes; no row depends on it."""
+    from whetstone.plans import catalog
+    from whetstone.registry import Reader
+
+    r = Reader(spark, sf_dir)
+    whole = sorted(map(tuple, catalog.s11(r).collect()))
+    monkeypatch.setattr(catalog, "LINES", 300)
+    dealt = catalog.s11(r)
+    assert dealt.rdd.getNumPartitions() >= r("lineitem").count() // 300
+    assert sorted(map(tuple, dealt.collect())) == whole and len(whole) == r("orders").count()

@@ -20,6 +20,10 @@ _COLS = f"(SELECT o_orderkey AS id, o_custkey % 3 AS cat, {_SCHEMA} AS table_sch
 _TABLES = f"(SELECT o_orderkey AS id, {_SCHEMA} AS table_schema, {_TABLE} AS table_name, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'table ' || o_orderkey END AS description, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS up, o_orderdate AS updated_at FROM orders)"
 
 
+#: Lines that one task takes on average where rows are dealt by their number.
+LINES = 500_000
+
+
 def _named(o):
     p = F.substring("o_orderpriority", 1, 1)
     schema = F.when(F.col("o_orderstatus") == "F", "gold_mart").when(F.col("o_orderstatus") == "O", "silver").otherwise("raw_zone")
@@ -143,8 +147,11 @@ _ENTITY = "table_schema || '.' || table_name || CASE WHEN description <> '' THEN
 def s11(r):
     """Entities with columns in JSON to texts."""
     one = F.struct("ordinal", "column_name", "data_type", "description")
-    columns = _columns(r).groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("columns"))
-    export = _tables(r).join(columns, "id", "left").select(F.to_json(F.struct("id", F.concat_ws(".", "table_schema", "table_name").alias("name"), "description", "columns")).alias("json"))
+    # dealt by the number of lines: a task's memory follows the rows it sorts, of which compressed bytes tell little
+    tasks = -(-r("lineitem").count() // LINES) or 1
+    keys = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
+    columns = _columns(lambda t: r(t).repartition(tasks, keys[t])).groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("columns"))
+    export = _tables(r).repartition(tasks, "id").join(columns, "id", "left").select(F.to_json(F.struct("id", F.concat_ws(".", "table_schema", "table_name").alias("name"), "description", "columns")).alias("json"))
     e = export.select(F.from_json("json", "id long, name string, description string, columns array<struct<column_name:string,data_type:string>>").alias("e")).select("e.*")
     return e.select("id", F.concat_ws("\n", "name", F.when(F.col("description") != "", F.col("description")), F.concat(F.lit("Columns: "), _listed(F.col("columns")))).alias("text"))
 
