@@ -277,5 +277,15 @@ def unpacked(blobs: pa.ChunkedArray | pa.Array, kind: np.dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
+def lean(run):
+    """A function of batches after whose last one Arrow's pool gives back what it keeps: idle workers stay beside later stages with all they hold."""
+
+    def out(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return out
+
+
 def text_column(df: DataFrame, name: str):
     return F.coalesce(df[name].cast("string"), F.lit(""))

@@ -17,6 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,8 @@ EACH = 6
 MEET, ALIKE = 0.99, 0.8
 #: Counters of pairs of neighbours that a line has.
 GRAMS = 512
+#: Pairs, and bytes of their texts, that a worker codes and compares at once, and documents that it cuts at once, whatever the batches hold.
+PIECE_PAIRS, PIECE_BYTES, PIECE_DOCS = 2048, 1_000_000, 256
 _TIMES = C.mixed(np.arange(1, BLOCKS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _DIGITS = np.arange(256, dtype=np.uint8)
 _DIGITS[48:58] = 48
@@ -161,7 +164,7 @@ _NORMAL = bytes(_DIGITS[_LOWER])
 
 def _texts(batches):
     """The normalised text of asked lines."""
-    for batch in batches:
+    for batch in (b.slice(i, PIECE_DOCS) for b in batches for i in range(0, b.num_rows, PIECE_DOCS)):
         ids, out = [], []
         for text, asks in zip(batch["text"], batch["asks"].to_pylist(), strict=True):
             parts = text.as_buffer().to_pybytes().split(b"\n")
@@ -256,14 +259,29 @@ def _within(packed, bits, x, y, nx, ny, most) -> np.ndarray:
     return out
 
 
+def _pieces(size: np.ndarray):
+    """Runs of pairs, given the bytes of their texts: PIECE_PAIRS pairs and PIECE_BYTES bytes at most; a longer pair is a run of its own."""
+    total = np.concatenate(([0], np.cumsum(size)))
+    first = 0
+    while first < len(size):
+        last = int(np.searchsorted(total, total[first] + PIECE_BYTES, "right")) - 1
+        last = max(first + 1, min(first + PIECE_PAIRS, last))
+        yield first, last
+        first = last
+
+
 def _verify(batches):
-    """Pairs of lines that are near. A line of several pairs is coded once."""
+    """Pairs of lines that are near. A line of several pairs of a piece is coded once."""
     for batch in batches:
-        n = batch.num_rows
-        ids, at, place = np.unique(np.concatenate((batch["a"].to_numpy(), batch["b"].to_numpy())), return_index=True, return_inverse=True)
-        known = _codes(pa.chunked_array([batch["na"], batch["nb"]]).take(pa.array(at)).to_pylist())
-        rows = batch.filter(pa.array(near_pairs(*known, place[:n], place[n:]), pa.bool_()))
-        yield pa.RecordBatch.from_arrays([rows["a"], rows["b"]], names=["a", "b"])
+        a, b = batch["a"].to_numpy(), batch["b"].to_numpy()
+        size = sum(pc.binary_length(batch[c]).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("na", "nb"))
+        for i, j in _pieces(size):
+            n = j - i
+            _, at, place = np.unique(np.concatenate((a[i:j], b[i:j])), return_index=True, return_inverse=True)
+            texts = pa.chunked_array([batch["na"].slice(i, n), batch["nb"].slice(i, n)])
+            known = _codes(texts.take(pa.array(at)).to_pylist())
+            good = near_pairs(*known, place[:n], place[n:])
+            yield pa.RecordBatch.from_arrays([pa.array(a[i:j][good], pa.int64()), pa.array(b[i:j][good], pa.int64())], names=["a", "b"])
 
 
 def _gathered(pieces, each=100_000):
@@ -306,17 +324,18 @@ def _across(keys):
         x, y = np.concatenate(xs), np.concatenate(ys)
         name, root = np.unique(comp, return_inverse=True)
         out = [np.zeros((0, 2), np.int64)]
-        for begin in range(0, len(x), 8192):
-            a, b = x[begin : begin + 8192], y[begin : begin + 8192]
+        size = pc.binary_length(table["norm"]).to_numpy().astype(np.int64)[order]
+        for i, j in _pieces(size[x] + size[y]):
+            a, b = x[i:j], y[i:j]
             some = root[a] != root[b]  # others are united by now
             a, b = a[some], b[some]
             ids, at = np.unique(doc[np.concatenate((a, b))], return_index=True)
             known = _codes([table["norm"][int(order[i])].as_py() for i in np.concatenate((a, b))[at]])
             good = near_pairs(*known, np.searchsorted(ids, doc[a]), np.searchsorted(ids, doc[b]))
-            for i, j in zip(a[good].tolist(), b[good].tolist(), strict=True):
-                if root[i] != root[j]:
-                    root = np.where(root == root[j], root[i], root)
-                    out.append(np.array([[doc[i], doc[j]]]))
+            for u, v in zip(a[good].tolist(), b[good].tolist(), strict=True):
+                if root[u] != root[v]:
+                    root = np.where(root == root[v], root[u], root)
+                    out.append(np.array([[doc[u], doc[v]]]))
         p = np.concatenate(out)
         return pa.table({"a": pa.array(p[:, 0], pa.int64()), "b": pa.array(p[:, 1], pa.int64())})
 
@@ -327,7 +346,7 @@ def _without(digests, rows=False):
     import hashlib
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, PIECE_DOCS) for b in batches for i in range(0, b.num_rows, PIECE_DOCS)):
             total, gone, kept = [], [], []
             for text, drop in zip(batch["text"].to_pylist(), batch["drop"].to_pylist(), strict=True):
                 lines, drop = text.split("\n"), set(drop or ())
@@ -348,12 +367,12 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
     """(doc_id, line, keep_doc, keep_line): lines that occur again or have a near copy, and the occurrence of their group that stays."""
     spark = docs.sparkSession
     sigs = ", ".join(f"{c} long" for c in SIGS)
-    lines = C.durable(docs.mapInArrow(_hashed, f"doc_id long, line long, h1 long, h2 long, {sigs}"))
+    lines = C.durable(docs.mapInArrow(C.lean(_hashed), f"doc_id long, line long, h1 long, h2 long, {sigs}"))
     place = F.struct(F.col("doc_id").alias("keep_doc"), F.col("line").alias("keep_line"))
     distinct = C.durable(lines.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in SIGS)))
     nb = C.buckets(spark)
     keys = choices()
-    found = C.durable(distinct.select("h1", *SIGS).mapInArrow(_pack(keys, nb), "bucket int, rows binary").groupBy("bucket").applyInArrow(_groups(nb), _FOUND))
+    found = C.durable(distinct.select("h1", *SIGS).mapInArrow(C.lean(_pack(keys, nb)), "bucket int, rows binary").groupBy("bucket").applyInArrow(_groups(nb), _FOUND))
     ids = distinct.select(F.col("h1").alias("id"), "at", *SIGS)
     side = lambda c, what: ids.select(F.col("id").alias(c), *(F.col(s).alias(f"{c}{s}") for s in what))
     pairs = found.where("kind = 0").groupBy("bucket").applyInArrow(_distinct, "a long, b long")
@@ -363,9 +382,9 @@ def line_verdicts(docs: DataFrame) -> DataFrame:
     lists = C.durable(join_lists(found))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(lists.select("doc")).distinct()
     asks = ids.join(wanted, "id", "left_semi").groupBy(F.col("at.keep_doc").alias("doc_id")).agg(F.collect_list(F.struct(F.col("at.keep_line").alias("line"), "id")).alias("asks"))
-    texts = C.durable(docs.join(C.durable(asks).hint("merge"), "doc_id").select("text", "asks").mapInArrow(_texts, "id long, norm string").groupBy("id").agg(F.min("norm").alias("norm")))
+    texts = C.durable(docs.join(C.durable(asks).hint("merge"), "doc_id").select("text", "asks").mapInArrow(C.lean(_texts), "id long, norm string").groupBy("id").agg(F.min("norm").alias("norm")))
     text = lambda c: texts.select(F.col("id").alias(c), F.col("norm").alias(f"n{c}"))
-    classes = C.durable(components(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "na", "nb").mapInArrow(_verify, "a long, b long")))
+    classes = C.durable(components(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "na", "nb").mapInArrow(C.lean(_verify), "a long, b long")))
 
     open_, parts = still_apart(lists, classes)
     open_ = C.durable(open_.select("doc", "comp", "task", "side", "inside", "choice"))
@@ -398,7 +417,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows give none; other columns are ignored.
     """
     docs, names = C.keyed(docs, id_col, text_col)
-    out = _dropped(docs).select("doc_id", "text", "drop").mapInArrow(_without(digests), "doc_id long, n_lines long, n_removed long, kept string")
+    out = _dropped(docs).select("doc_id", "text", "drop").mapInArrow(C.lean(_without(digests)), "doc_id long, n_lines long, n_removed long, kept string")
     return C.renamed(out, names, "doc_id")
 
 
@@ -409,7 +428,7 @@ def apply_line_dedup(docs: DataFrame) -> DataFrame:
     further columns stay as they are, whatever their names.
     """
     rows, _ = C.keyed(docs, "doc_id", "text", rows=True)
-    kept = _dropped(rows).select("doc_id", "text", "drop", "row").mapInArrow(_without(False, True), T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), rows.schema["row"]]))
+    kept = _dropped(rows).select("doc_id", "text", "drop", "row").mapInArrow(C.lean(_without(False, True)), T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), rows.schema["row"]]))
     kept = kept.where("n_removed = 0 or kept rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     new = {"text": F.col("kept"), "n_chars": F.length("kept")}
     of = lambda c: F.when(F.col("n_removed") > 0, new[c]).otherwise(F.col("row")[c]).cast(docs.schema[c].dataType).alias(c) if c in new else F.col("row")[c].alias(c)
