@@ -219,4 +219,4 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "n_tokens", "ids", "decoded"]
     kind = "string" if digests else "binary"
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), C.text_column(docs, text_col).alias("text"))
-    return rows.mapInArrow(run, f"{names[0]} long, {names[1]} long, {names[2]} {kind}, {names[3]} {kind}")
+    return rows.mapInArrow(C.lean(run), f"{names[0]} long, {names[1]} long, {names[2]} {kind}, {names[3]} {kind}")

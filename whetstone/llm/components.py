@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from whetstone.llm.common import durable, join_hot
+from whetstone.llm.common import durable, join_hot, lean
 
 
 def _forest(batches):
@@ -39,7 +39,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round halves the depth of every tree at least; rounds end when a whole round changes no edge.
     """
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    pairs = durable(pairs.mapInArrow(_forest, "u long, v long").distinct())
+    pairs = durable(pairs.mapInArrow(lean(_forest), "u long, v long").distinct())
     before = None
     while True:
         state = pairs.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("h")).first()

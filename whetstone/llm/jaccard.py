@@ -327,7 +327,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _classes(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) of rows whose ids stand for one text each."""
     spark = docs.sparkSession
-    measured = C.durable(docs.mapInArrow(_measure(shingle_words), _DOC))
+    measured = C.durable(docs.mapInArrow(C.lean(_measure(shingle_words)), _DOC))
     sets = measured.where("kind = 0").select("doc_id", "n", "h1", "h2", "k", "slack", "cost", "sketch")
 
     best = {}
@@ -353,7 +353,7 @@ def _classes(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
         return out
 
     nb = C.buckets(spark)
-    keyed = docs.mapInArrow(_emit(shingle_words, layout, hot, nb), "bucket int, low long, short boolean, rows binary")
+    keyed = docs.mapInArrow(C.lean(_emit(shingle_words, layout, hot, nb)), "bucket int, low long, short boolean, rows binary")
     found = C.durable(keyed.groupBy("bucket").applyInArrow(_groups(nb), _FOUND))
 
     info = sets.where("n > 0").groupBy("doc_id").agg(F.max_by(F.struct("n", "sketch", "h1", "h2"), "n").alias("x")).select("doc_id", "x.*")
@@ -366,7 +366,7 @@ def _classes(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
         ta, tb = (docs.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
         near = near.hint("merge") if large else near
         both = near.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
-        return C.durable(both.mapInArrow(_verify(shingle_words, 75), "a long, b long").distinct())
+        return C.durable(both.mapInArrow(C.lean(_verify(shingle_words, 75)), "a long, b long").distinct())
 
     filled = C.durable(sets.where("n > 0").select("doc_id", F.col("n").alias("size"), "h1", "h2"))
     twins = C.durable(filled.groupBy("size", "h1", "h2").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1"))
