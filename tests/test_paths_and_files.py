@@ -257,3 +257,44 @@ def test_unbounded_paths_carry_numbers(spark):
         M.reread = kept
     assert {(x.start, x.node): x.path for x in got} == want and len(got) == len(want)
     assert not any("min(path" in t for t in texts)
+
+
+def test_fronts_are_shared_by_pairs(spark, monkeypatch):
+    """Pairs with one end in common grow one front from it; the paths are those of brute force."""
+    import random
+    from collections import defaultdict
+
+    from whetstone.operators import paths
+
+    r = random.Random(6)
+    edges = {(f"a{i}", f"b{r.randrange(40)}") for i in range(60) for _ in range(4)} | {(f"b{i}", f"c{r.randrange(12)}") for i in range(40) for _ in range(2)} | {(f"c{i}", f"d{i % 2}") for i in range(12)} | {("d0", "a1"), ("a2", "d1")}
+    asked = [(f"a{i}", f"d{k}") for i in range(60) for k in range(2)] + [("a3", "a3"), ("d1", "a0"), (None, "d0"), ("a1", "d0")]
+    rows, write = [], paths.reread
+
+    def counted(df, path, *more):
+        out = write(df, path, *more)
+        if "/front-" in path:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(paths, "reread", counted)
+    got = {(x.start, x.node): (x.path, x.n) for x in paths.paths_between(spark.createDataFrame(sorted(edges), "src string, dst string"), spark.createDataFrame(asked, "start string, node string"), 5).collect()}
+    onward = defaultdict(list)
+    for a, b in edges:
+        onward[a].append(b)
+    want = {}
+    for a, b in {x for x in asked if None not in x}:
+        level, seen = {a: a}, {a}
+        for n in range(6):
+            if b in level:
+                want[a, b] = (level[b], n)
+                break
+            step = {}
+            for x, p in level.items():
+                for y in onward[x]:
+                    if y not in seen:
+                        step[y] = min(step.get(y, p + ">" + y), p + ">" + y)
+            seen |= set(step)
+            level = step
+    assert got == want and len(want) > 100
+    assert sum(rows) < 600  # 120 pairs, each with fronts of its own, make more
