@@ -1,7 +1,10 @@
 """MinHash signatures against brute force, and how often a value's grams are made for one."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from whetstone import registry
 from whetstone.functions import text as X
 
 
@@ -17,3 +20,13 @@ def test_minhash_makes_grams_once(spark):
     plan = signed._jdf.queryExecution().optimizedPlan().toString()
     assert "array_distinct" in plan
     assert "array_distinct" not in plan[plan.index("array_min") : plan.index("xxhash64")]  # not inside the function over the hashes
+
+
+TEXTS = ["Größer ALS x, 42_b; größer", "東京 \n a1 été", "", None, "d377c9aa056ab85cf58c4e299cff1736db855bb1 abcdef"]
+
+
+def test_every_word_is_signed(spark, tmp_path):
+    """Words of any length and script have a signature, not only those of six ASCII letters or more."""
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [x.value for x in registry.queries()["t1_minhash_signatures"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted({w for t in TEXTS if t for w in re.findall(r"\w+", t.lower())})

@@ -10,6 +10,7 @@ from whetstone.functions import text as X
 from whetstone.operators import documents as D
 from whetstone.operators import feedback as B
 from whetstone.operators import metadata as M
+from whetstone.operators import terms
 from whetstone.plans.catalog import _tables, _TABLES
 from whetstone.registry import query
 from whetstone.sources import catalog as S
@@ -445,6 +446,11 @@ def e1(r):
     return M.embedded(r("documents").select("doc_id", "text")).select("doc_id", "embedding")
 
 
+def _words(r):
+    """Every distinct word of all documents, in lower case: runs of letters, digits and marks of any script."""
+    return r("documents").select(F.explode(terms.words(F.col("text"))).alias("value")).distinct()
+
+
 @query("t2_similar_words")
 def t2_words(r):
     """Similar pairs among the distinct words of all documents, exactly: from 0.75 on, as words of few letters have very many pairs from 0.3 on."""
@@ -556,9 +562,8 @@ def l3(r):
 
 @query("t1_minhash_signatures")
 def t1(r):
-    """A signature of 128 least hashes for every distinct word of the documents; tests bound the error of its estimates."""
-    words = r("documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("value")).distinct()
-    return words.select("value", X.minhash(X.grams(F.col("value")), 128).alias("signature"))
+    """A signature of 128 least hashes for every distinct word of the documents, of any length and script; tests bound the error of its estimates."""
+    return _words(r).select("value", X.minhash(X.grams(F.col("value")), 128).alias("signature"))
 
 
 @query("t3_entity_values", "SELECT DISTINCT * FROM (SELECT 'part' AS tab, 'p_name' AS col, p_name AS value FROM part UNION ALL SELECT 'part', 'p_brand', p_brand FROM part UNION ALL SELECT 'part', 'p_type', p_type FROM part UNION ALL SELECT 'customer', 'c_mktsegment', c_mktsegment FROM customer UNION ALL SELECT 'orders', 'o_orderpriority', o_orderpriority FROM orders) WHERE length(trim(value)) >= 2")
