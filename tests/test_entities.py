@@ -71,6 +71,22 @@ def test_keywords_among_like_values(spark, tmp_path, monkeypatch):
     assert seen and met.value < len(asked) * len(values) / 2
 
 
+@pytest.mark.parametrize("small", [500_000, 600])
+def test_few_pairs_leave_a_block(spark, tmp_path, monkeypatch, small):
+    """Of many values that are like a keyword each block gives no more than the best, and ties go by table, column and value in one block as in many."""
+    monkeypatch.setattr(E, "SMALL_BLOCK", small, raising=False)
+    values = [(f"t{i % 3}", "c", f"Customer#{i:06d}") for i in range(900)] + [("t0", "d", f"{w} x") for w in ("customer", "CUSTOMER", "Customer")]
+    path = str(tmp_path / "index")
+    E.add_values(spark.createDataFrame(values, VALUES), path)
+    asked = [f"customer {i:06d}" for i in range(200, 900, 100)] + ["customer", "customer#00", "zzz"]
+    met = spark.sparkContext.accumulator(0)
+    count, compare = F.udf(lambda x: met.add(1) or x, "double"), E.X.jaccard
+    monkeypatch.setattr(E.X, "jaccard", lambda a, b: count(compare(a, b)))
+    got = E.match_keywords(spark.createDataFrame([(k,) for k in asked], "keyword string"), path).collect()
+    assert {(x.keyword, x.tab, x.col, x.value, x["rank"]) for x in got} == {(k, *x[:3], i + 1) for k in asked for i, x in enumerate(_best(k, values))}
+    assert met.value <= 20 * len(asked) * (1 if small > 600 else 30)
+
+
 def test_half_written_values_do_not_count(spark, tmp_path, values):
     path = str(tmp_path / "index")
     E.add_values(spark.createDataFrame(values[:100], VALUES), path)

@@ -8,6 +8,7 @@ grams, so it is exact. Values are added by appending; known ones are skipped.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Sequence
 from functools import reduce
@@ -20,8 +21,10 @@ from whetstone.sources.files import reread, scratch
 
 #: Folders of postings; growth of the length classes; rows of a probe that are broadcast at most.
 BUCKETS, GROWTH, BROADCAST_ROWS = 32, 1.5, 200_000
-#: Grams of a keyword, the rarest that the index has, whose values give the first bound.
-PROBED = 2
+#: Postings of a block of values: at most, about, and so many where there are less blocks than two a core.
+BLOCK, SMALL_BLOCK = 4_000_000, 500_000
+#: Grams of a keyword, the rarest of a block, that are taken first, and values met that are compared for a bound.
+PROBED, TRIED = 2, 64
 
 
 def column_values(tables: dict[str, DataFrame], columns: dict[str, Sequence[str]]) -> DataFrame:
@@ -72,45 +75,116 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def _scan(k: int, least: float):
+    """Of keywords (id, codes) and a block's values (key, tab, col, value) and postings (key, code, n): for each keyword its k best values of the block, (id, key, similarity).
+
+    A keyword's grams are taken from the rarest of the block on. The k-th best of the values met so far is a bound; once a value without any of
+    the grams taken cannot reach it, of those met only the ones whose further grams could take them there are compared by all their grams.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(left: pa.Table, postings: pa.Table) -> pa.Table:
+        words, named = left.filter(left["id"].is_valid()), left.filter(left["key"].is_valid())
+        out = []
+        if len(words) and len(postings):
+            keys, value = np.unique(postings["key"].to_numpy(), return_inverse=True)
+            codes, gram = np.unique(postings["code"].to_numpy(), return_inverse=True)
+            sizes = np.zeros(len(keys), np.int64)
+            sizes[value] = postings["n"].to_numpy()
+            by_gram, by_value = np.argsort(gram, kind="stable"), np.argsort(value, kind="stable")
+            lists, begin = value[by_gram].astype(np.int32), np.searchsorted(gram[by_gram], np.arange(len(codes) + 1))
+            rows, row = gram[by_value].astype(np.int32), np.searchsorted(value[by_value], np.arange(len(keys) + 1))
+            del value, gram, by_gram, by_value, postings
+            place = np.zeros(len(keys), np.int64)  # ties go by table, column and value
+            order = named.sort_by([(c, "ascending") for c in ("tab", "col", "value")])["key"].to_numpy()
+            at = np.minimum(np.searchsorted(keys, order), len(keys) - 1)
+            there = keys[at] == order
+            place[at[there]] = np.flatnonzero(there)
+            asked = np.zeros(len(codes), bool)
+
+            def similarity(some, n):
+                """By all grams of the values, of those of the keyword that `asked` marks."""
+                lengths = row[some + 1] - row[some]
+                ends = np.cumsum(lengths)
+                both = np.add.reduceat(asked[rows[np.repeat(row[some] - ends + lengths, lengths) + np.arange(ends[-1])]].astype(np.int64), ends - lengths)
+                return both / (n + sizes[some] - both)
+
+            flat, ends = words["codes"].combine_chunks(), words["codes"].combine_chunks().offsets.to_numpy()
+            flat = flat.values.to_numpy()
+            for i, word in enumerate(words["id"].to_pylist()):
+                own = flat[ends[i] : ends[i + 1]]
+                n, g = len(own), np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+                g = g[codes[g] == own]
+                if not len(g):
+                    continue
+                g = g[np.argsort(begin[g + 1] - begin[g], kind="stable")]
+                asked[g] = True
+                bound, used = least - 1e-9, min(PROBED, len(g))
+                while True:
+                    touched = np.concatenate([lists[begin[x] : begin[x + 1]] for x in g[:used]])
+                    if len(touched) * 16 < len(keys):
+                        some, met = np.unique(touched, return_counts=True)
+                    else:
+                        met = np.bincount(touched, minlength=len(keys))
+                        some = np.flatnonzero(met >= max(1.0, bound * n - (len(g) - used)))
+                        met = met[some]
+                    most = np.minimum(met + (len(g) - used), sizes[some])
+                    most = most / (n + sizes[some] - most)
+                    if len(some) >= k:
+                        first = some[np.argpartition(-most, TRIED - 1)[:TRIED]] if len(some) > TRIED else some
+                        bound = max(bound, np.partition(similarity(first, n), len(first) - k)[len(first) - k] - 1e-9)
+                    needed = min(int(n - bound * n) + 1 - (n - len(g)), len(g))  # without so many of its rarest grams a value stays below the bound
+                    if used >= needed:
+                        break
+                    used = min(needed, 2 * used)
+                some = some[most >= bound]
+                if len(some):
+                    s = similarity(some, n)
+                    some, s = some[s >= bound], s[s >= bound]
+                    best = np.lexsort((place[some], -s))[:k]
+                    out.append((np.full(len(best), word), keys[some[best]], s[best]))
+                asked[g] = False
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 3
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("id", "key", "similarity"), cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+
+    return run
+
+
 def match_keywords(keywords: DataFrame, path: str, k: int = 5, least: float = 0.3) -> DataFrame:
     """(keyword, tab, col, value, similarity, rank): of each distinct keyword the k values of greatest Jaccard similarity from `least` on.
 
-    Ties go by table, column and value. Null and empty keywords match nothing. Values that have one of a keyword's PROBED rarest grams
-    come first: the k-th best of them is a bound that the answer reaches. A value that reaches it has one of the keyword's first
-    n - bound * n + 1 grams, the rarest first, and a length near the keyword's, so only those postings are read then, and frequent grams are rarely among
-    them. A batch of few grams is broadcast to the postings (after a count), a larger one is joined by shuffle; only folders of its grams are read where these are few.
+    Ties go by table, column and value. Null and empty keywords match nothing. Of the index those postings are read whose gram a keyword has and whose
+    length class can reach `least` with it. They are dealt to tasks by blocks of values; each holds a block's lists and looks up all keywords in them,
+    so no pair of a keyword and a value leaves a task unless it is among the block's k best.
+    The grams that matter are broadcast to the postings where they are few (after a count), else joined by shuffle; only their folders are read then.
     """
     spark = keywords.sparkSession
     values = spark.read.parquet(f"{path}/values")
     whole = [r["run"] for r in values.select("run").distinct().collect()]  # one a call of add_values
     postings = spark.read.parquet(f"{path}/postings").where(F.col("run").isin(whole)).select("bucket", "gram", "class", "n", "key")
     asked = keywords.select(F.col("keyword")).where("keyword is not null and keyword <> ''").distinct()
-    asked = asked.select("keyword", X.grams(F.lower(F.trim("keyword"))).alias("g")).select("keyword", F.size("g").alias("asked"), "g", F.transform("g", X.gram_code).alias("codes"))
-    bucket = F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int")
-    each = asked.select("keyword", "asked", F.explode("g").alias("gram")).withColumn("bucket", bucket)
-    few = each.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    sent = F.broadcast if few else lambda df: df
+    asked = asked.select(F.monotonically_increasing_id().alias("id"), "keyword", X.grams(F.lower(F.trim("keyword"))).alias("g"))
+    asked = reread(asked.select("id", "keyword", "g", F.transform("g", X.gram_code).alias("codes")), scratch(spark, "asked"))  # ids must stay
+    n = F.size("g")
+    classes = F.sequence(_length_class(F.greatest(F.ceil(F.lit(least) * n - 1e-9), F.lit(1))), _length_class(F.floor(n / F.lit(least) + 1e-9)))
+    reach = asked.select(F.explode("g").alias("gram"), classes.alias("classes")).distinct().select("gram", F.explode("classes").alias("class")).distinct()
+    reach = reread(reach.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int")), scratch(spark, "reach"))
+    few = reach.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     if few:
-        folders = [r["bucket"] for r in each.select("bucket").distinct().collect()]  # BUCKETS rows at most
+        folders = [r["bucket"] for r in reach.select("bucket").distinct().collect()]  # BUCKETS rows at most
         postings = postings.where(F.col("bucket").isin(folders))
-    often = postings.join(sent(each.select("bucket", "gram").distinct()), ["bucket", "gram"], "left_semi").groupBy("gram").agg(F.count("*").alias("often"))
-    rare = Window.partitionBy("keyword").orderBy(F.coalesce("often", F.lit(0)), "gram")
-    grams = each.join(often, "gram", "left").withColumn("place", F.row_number().over(rare))
-    grams = reread(grams.where("often is not null").withColumn("found", F.row_number().over(rare)), scratch(spark, "asked"))  # grams that no value has keep their places
-    sets = values.groupBy("key").agg(F.min("value").alias("value")).select("key", F.transform(X.grams(F.lower("value")), X.gram_code).alias("codes_of"))
-
-    def near(probe: DataFrame) -> DataFrame:
-        """(keyword, key, similarity) of the values that have one of the grams (keyword, asked, bound, bucket, gram) and reach the bound."""
-        low, high = F.ceil(F.col("bound") * F.col("asked") - 1e-9), F.floor(F.col("asked") / F.col("bound") + 1e-9)  # lengths that can reach it, and their classes
-        probe = probe.select("keyword", "bucket", "gram", low.alias("low"), high.alias("high"), "bound", F.explode(F.sequence(_length_class(F.greatest(low, F.lit(1))), _length_class(high))).alias("class"))
-        met = postings.join(sent(probe), ["bucket", "gram", "class"]).where("n between low and high").select("keyword", "bound", "key").distinct()
-        both = met.join(sets, "key").join(sent(asked.select("keyword", "codes")), "keyword")
-        return both.select("keyword", "key", "bound", X.jaccard(F.col("codes"), F.col("codes_of")).alias("similarity")).where(F.col("similarity") >= F.col("bound") - 1e-9)
-
-    first = near(grams.where(F.col("found") <= PROBED).withColumn("bound", F.lit(float(least))))
-    best = Window.partitionBy("keyword").orderBy(F.desc("similarity"))
-    bounds = first.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("keyword", F.col("similarity").alias("bound"))
-    bounded = grams.join(reread(bounds, scratch(spark, "bounds")), "keyword", "left").withColumn("bound", F.greatest(F.coalesce("bound", F.lit(0.0)), F.lit(float(least))))
-    named = near(bounded.where(F.col("place") <= F.col("asked") - F.ceil(F.col("bound") * F.col("asked") - 1e-9) + 1)).where(F.col("similarity") >= least).join(values.drop("run"), "key")
+    postings = postings.join(F.broadcast(reach) if few else reach, ["bucket", "gram", "class"], "left_semi").select("key", X.gram_code(F.col("gram")).alias("code"), F.col("n").cast("long").alias("n"))
+    held = postings.count()
+    blocks = max(1, math.ceil(held / BLOCK), min(2 * spark.sparkContext.defaultParallelism, math.ceil(held / SMALL_BLOCK)))
+    block = F.pmod(F.xxhash64(F.lit("block"), "key"), F.lit(blocks)).cast("int").alias("block")
+    none = lambda t, *names: [F.lit(None).cast(t).alias(x) for x in names]
+    words = asked.select("id", "codes", *none("long", "key"), *none("string", "tab", "col", "value"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    named = values.groupBy("key").agg(F.min(F.struct("tab", "col", "value")).alias("v")).select(*none("long", "id"), *none("array<long>", "codes"), "key", "v.*", block)
+    met = words.unionByName(named).groupBy("block").cogroup(postings.withColumn("block", block).groupBy("block")).applyInArrow(_scan(k, least), "id long, key long, similarity double")
+    met = met.withColumn("r", F.rank().over(Window.partitionBy("id").orderBy(F.desc("similarity")))).where(F.col("r") <= k).select("id", "key")  # of all blocks; ties stay
+    met = reread(met, scratch(spark, "met"))
+    sets = values.join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("value").alias("value")).select("key", F.transform(X.grams(F.lower("value")), X.gram_code).alias("codes_of"))
+    near = met.join(asked.select("id", "keyword", "codes"), "id").join(sets, "key").select("keyword", "key", X.jaccard(F.col("codes"), F.col("codes_of")).alias("similarity")).where(F.col("similarity") >= least)
     w = Window.partitionBy("keyword").orderBy(F.desc("similarity"), "tab", "col", "value")
-    return named.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("keyword", "tab", "col", "value", "similarity", "rank")
+    return near.join(values.drop("run"), "key").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("keyword", "tab", "col", "value", "similarity", "rank")
