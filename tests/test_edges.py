@@ -96,6 +96,31 @@ def test_cells_recall(spark):
     assert M.nearest_in_cells(q.where("false"), e.where("false"), 5).count() == 0
 
 
+def test_cells_by_products(spark, monkeypatch):
+    """Similarities in cells are sums in order whatever the blocks, equal vectors tie by id, and no pair outside the k best of a block leaves its task."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 6)).astype(np.float32)
+    x[300:] = x[:100]
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 6)], "vec_id long, embedding array<float>")
+    u = x.astype(float)
+    u /= np.sqrt(sum(u[:, j] * u[:, j] for j in range(6)))[:, None]
+    want = {}
+    for q in range(0, 400, 50):
+        s = sum(u[:, j] * u[q, j] for j in range(6))
+        s[q] = -np.inf
+        want[q] = [(i, s[i]) for i in np.lexsort((np.arange(400), -s))[:3].tolist()]
+    for block, queries in ((8192, 30_000), (7, 3)):
+        monkeypatch.setattr(M, "CORPUS_BLOCK", block)
+        monkeypatch.setattr(M, "PROBING", queries, raising=False)
+        found = M.nearest_in_cells(e.where("vec_id % 50 = 0"), e, 3, recall=1.0)
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.similarity))
+        assert got == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "CoGroup" in plan and "zip_with" not in plan
+
+
 def test_cumulative_share(spark):
     data = [(i, float(v)) for i, v in enumerate([5, 5, 5, 5, 1, 0, 9] * 40)]
     got = rows(A.cumulative_share(spark.createDataFrame(data, "k int, v double"), "k", "v").orderBy(F.desc("v"), "k").select("k", "running"))

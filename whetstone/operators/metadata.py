@@ -294,6 +294,8 @@ def hop_keys(paths: DataFrame, edges: DataFrame) -> DataFrame:
 
 #: Vectors that cells are fitted on, and queries that the number of probed cells is measured on: at most so many.
 FIT_ROWS, CALIBRATION_ROWS = 20_000, 200
+#: Queries that meet a block of a cell together, and their products with it that a task holds at once.
+PROBING, PRODUCTS = 30_000, 4_000_000
 
 
 def _first_of(k: int):
@@ -312,6 +314,37 @@ def _first_of(k: int):
     return run
 
 
+def _best_of_cell(k: int):
+    """Of queries (query_id, q) and a block of a cell (vec_id, e) the k best others of each query.
+
+    Products of matrices choose them, with room for their rounding; the similarities of those chosen are summed number by number.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if len(left) and len(right):
+            q = left["q"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(left), -1)
+            x = right["e"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(right), -1)
+            asks, ids, own = left["query_id"].to_numpy(), right["vec_id"].to_numpy(), np.ascontiguousarray(x.T)
+            step = max(1, PRODUCTS // len(ids))
+            for at in range(0, len(asks), step):
+                s = q[at : at + step] @ own
+                s[np.isnan(s)] = np.inf  # as the largest, which NaN is to Spark
+                s[asks[at : at + step, None] == ids[None]] = -np.inf
+                least = np.partition(s, -k, axis=1)[:, -k, None] if len(ids) > k else np.full((len(s), 1), -np.inf)
+                i, j = np.nonzero((s >= least - 1e-9) & (s > -np.inf))
+                similarity = np.zeros(len(i))
+                for d in range(x.shape[1]):
+                    similarity += x[j, d] * q[at + i, d]
+                pairs = pa.RecordBatch.from_arrays([pa.array(asks[at + i], pa.int64()), pa.array(ids[j], pa.int64()), pa.array(similarity, pa.float64())], names=["query_id", "vec_id", "similarity"])
+                out += _first_of(k)([pairs])
+        return pa.Table.from_batches(out, pa.schema({"query_id": pa.int64(), "vec_id": pa.int64(), "similarity": pa.float64()}))
+
+    return run
+
+
 def nearest_in_cells(queries: DataFrame, corpus: DataFrame, k: int, recall: float = 0.95) -> DataFrame:
     """(query_id, vec_id, similarity, rank) as `nearest`, from the cells nearest to a query only.
 
@@ -322,7 +355,7 @@ def nearest_in_cells(queries: DataFrame, corpus: DataFrame, k: int, recall: floa
     import pyarrow as pa
 
     spark = corpus.sparkSession
-    unit = lambda df: df.where("vec_id is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("e")).withColumn("n", F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))).where("n > 0").select("vec_id", F.transform("e", lambda x: x / F.col("n")).alias("e"))
+    unit = lambda df: df.where("vec_id is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("e")).withColumn("n", F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))).where("n > 0").select("vec_id", F.transform(F.array("n"), lambda n: F.transform("e", lambda x: x / n))[0].alias("e"))  # noqa: E731  an outer variable holds the length, as it would be taken anew for each number
     rows = unit(corpus)
     total = corpus.count()
     if not total:
@@ -358,11 +391,15 @@ def nearest_in_cells(queries: DataFrame, corpus: DataFrame, k: int, recall: floa
     probes = int(np.quantile(deep, recall, method="higher")) + 1 if len(some) else 1
     schema = "vec_id long, e array<double>, cells array<int>"
     held = rows.mapInArrow(ranked(1), schema).select("vec_id", "e", F.col("cells")[0].alias("cell"))
-    held = reread(held, scratch(spark, "cells"), by=["cell"])
+    held = reread(held, scratch(spark, "cells"))
+    blocks = reread(held.groupBy("cell").agg(F.ceil(F.count("*") / CORPUS_BLOCK).cast("int").alias("blocks")), scratch(spark, "blocks"))
+    parts = max(1, -(-asked.count() // PROBING))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part")
     probing = asked.mapInArrow(ranked(probes), schema).select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"), F.explode("cells").alias("cell"))
-    dot = F.aggregate(F.zip_with("e", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    both = probing.join(held, "cell").where("query_id <> vec_id").select("query_id", "vec_id", dot.alias("similarity"))
-    both = both.mapInArrow(_first_of(k), both.schema)  # a sort of all of a task's pairs would hold them
+    left = probing.join(F.broadcast(blocks), "cell").select("query_id", "q", "cell", part, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    right = held.join(F.broadcast(blocks), "cell").select("vec_id", "e", "cell", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"))
+    by = ("cell", "part", "block")
+    both = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_best_of_cell(k), "query_id long, vec_id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
