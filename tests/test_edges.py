@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from whetstone import registry
 from whetstone.functions import sqltext as Q
 from whetstone.functions import text as X
 from whetstone.operators import analytics as A
@@ -59,6 +60,14 @@ def test_candidates_are_compared_where_they_meet(spark):
     assert "xxhash64" in plan and any("array_intersect" in x and "Join" in x for x in last)
 
 
+def test_every_word_is_compared(spark, tmp_path):
+    """Words of any length and script are compared, not only those of six ASCII letters or more."""
+    texts = ["größer größere 東京 abc 1234567 Abc", "größerer 12345678 ABCD", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows(registry.queries()["t2_similar_words"](spark, str(tmp_path)).select("a", "b"))
+    assert sorted(got) == [("1234567", "12345678"), ("größer", "größere"), ("größere", "größerer")]
+
+
 def test_profile(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, None, "y"), (2, None, None)], "a int, b string, c string")
     assert sorted(rows(M.profile(df))) == [("a", 2, 0.0, "1", "2"), ("b", 0, 100.0, None, None), ("c", 2, 33.33, "x", "y")]

@@ -453,9 +453,8 @@ def _words(r):
 
 @query("t2_similar_words")
 def t2_words(r):
-    """Similar pairs among the distinct words of all documents, exactly: from 0.75 on, as words of few letters have very many pairs from 0.3 on."""
-    words = r("documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("value")).distinct()
-    return M.similar_values(words, 0.75)
+    """Similar pairs among the distinct words of all documents, of any length and script, exactly: from 0.75 on, as words of few letters have very many pairs from 0.3 on."""
+    return M.similar_values(_words(r), 0.75)
 
 
 # --- graphs ----------------------------------------------------------------------------------------------------------
