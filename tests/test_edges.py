@@ -5,12 +5,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from whetstone import registry
 from whetstone.functions import sqltext as Q
 from whetstone.functions import text as X
+from whetstone.operators import alike
 from whetstone.operators import analytics as A
 from whetstone.operators import documents as D
 from whetstone.operators import feedback as B
@@ -60,6 +62,30 @@ def test_candidates_are_compared_where_they_meet(spark):
     assert "xxhash64" in plan and any("array_intersect" in x and "Join" in x for x in last)
 
 
+def test_alike_by_parts(spark):
+    """Pairs that the parts of their grams bring together are written once, by far fewer meetings than words that share a syllable."""
+    from itertools import product
+
+    syllables = ["tion", "ing", "er", "heit", "che", "ó"]
+    words = sorted({"".join(x) for n in (2, 3, 4) for x in product(syllables, repeat=n)})
+    grams = {w: {w[i : i + 3] for i in range(len(w) - 2)} or {w} for w in words}
+    want = {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.75}
+    upper = [w.upper() if i % 7 == 0 else w for i, w in enumerate(words)]
+    found, met = [], 0
+    blocks = pa.Table.from_batches(alike.keys(0.75, 5)([pa.RecordBatch.from_pydict({"value": v, "lower": w}) for v, w in ((upper[:99], words[:99]), (upper[99:], words[99:]))]))
+    for task in range(5):
+        own = blocks.filter(pa.array(blocks["task"].to_numpy() == task))
+        keys = np.concatenate([pa.ipc.read_record_batch(x.as_buffer(), alike.ROW)["key"].to_numpy() for x in own["rows"]])
+        met += sum(n * (n - 1) // 2 for n in np.unique(keys, return_counts=True)[1].tolist())
+        found += alike.met(0.75)(own).to_pylist()
+    lower = [tuple(sorted((x["a"].lower(), x["b"].lower()))) for x in found]
+    assert len(lower) == len(want) and set(lower) == want and all(x["a"] < x["b"] and {x["a"], x["b"]} <= set(upper) for x in found)
+    assert all(abs(x["similarity"] - len(grams[a] & grams[b]) / len(grams[a] | grams[b])) < 1e-12 for x, (a, b) in zip(found, lower, strict=True))
+    assert met < len(words) ** 2 / 20
+    plan = M.similar_values(spark.createDataFrame([("common",), ("commune",)], "value string"), 0.75)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan
+
+
 def test_every_word_is_compared(spark, tmp_path):
     """Words of any length and script are compared, not only those of six ASCII letters or more."""
     texts = ["größer größere 東京 abc 1234567 Abc", "größerer 12345678 ABCD", None]

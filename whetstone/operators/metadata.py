@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from whetstone.functions import text as X
+from whetstone.operators import alike
 from whetstone.sources.files import reread, scratch
 
 
@@ -77,50 +78,47 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, hops: int | None = 4) ->
     return seen
 
 
-#: Grams of a value up to which it is found by three of its grams together, and the similarity from which that is done.
-SHORT, ALIKE = 24, 0.6
+#: Grams of a value up to which it is found by parts of its grams, and the similarity from which that is done.
+SHORT, ALIKE = alike.MOST, 0.6
+#: Keys of values in a task, at most, about, and so many where there are less tasks than four a core; keys of a value.
+KEYS, FEW_KEYS, KEYS_EACH = 400_000, 50_000, 20
 
 
 def similar_values(values: DataFrame, least: float = 0.3) -> DataFrame:
     """(a, b, similarity) of values whose gram sets' Jaccard reaches `least`, exactly.
 
-    Grams are ordered from the rarest on. Two sets that must share `need` grams share k of them within the first n - need + k of
-    each. From ALIKE on, values of up to SHORT grams meet by three such grams (by fewer where fewer need be shared), carry their
-    grams with them and are compared where they meet, so that only similar pairs are written. All others meet by one gram.
+    From ALIKE on, values of up to SHORT grams meet by parts of their grams that must be equal (`operators/alike.py`), and are compared where they meet, so
+    that only similar pairs leave a task. All others meet by one gram: grams are ordered from the rarest on, and two sets
+    that must share `need` grams share one within the first n - need + 1 of each.
     """
     spark = values.sparkSession
-    g = values.where("value is not null").distinct().select("value", F.transform(X.grams(F.lower("value")), X.gram_code).alias("g"))
+    most = SHORT if least >= ALIKE else 0
+    known = values.where("value is not null").select("value").distinct()
+    if most:
+        known = reread(known, scratch(spark, "values"))
+    g = known.where(F.length(F.lower("value")) - 2 >= least * most) if most else known  # others have too few grams
+    g = g.select("value", F.transform(X.grams(F.lower("value")), X.gram_code).alias("g"))
     often = g.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("often"))
     ranked = g.select("value", F.explode("g").alias("gram")).join(often, "gram").groupBy("value").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("r"))
     ranked = reread(ranked.select("value", F.col("r.gram").alias("g"), F.size("r").alias("n")), scratch(spark, "grams"))
-    most = SHORT if least >= ALIKE else 0
     need = F.ceil(F.lit(least) * F.col("n")).cast("int")
     sizes = F.least("na", "nb") >= least * F.greatest("na", "nb")
     similarity = X.jaccard(F.col("ga"), F.col("gb"))
     # one gram
     first = F.slice("g", F.lit(1), F.col("n") - need + 1)
-    index = ranked.where(F.col("n") >= least * most).select(F.col("value").alias("a"), F.col("n").alias("na"), F.explode(first).alias("gram"))
-    other = index.select(F.col("a").alias("b"), F.col("na").alias("nb"), "gram")
-    pairs = index.join(other, "gram").where((F.col("a") < F.col("b")) & sizes & (F.greatest("na", "nb") > most)).select("a", "b").distinct()
-    of = lambda c: ranked.select(F.col("value").alias(c), F.col("g").alias(f"g{c}"))
-    out = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("similarity", similarity).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    index = ranked.where(F.col("n") >= least * most).select("value", "n", *(["g"] if most else []), F.explode(first).alias("gram"))
+    side = lambda c: index.select("gram", F.col("value").alias(c), *(F.col(x).alias(f"{x}{c}") for x in index.columns if x in ("n", "g")))
+    met = side("a").join(side("b"), "gram").where((F.col("a") < F.col("b")) & sizes & (F.greatest("na", "nb") > most))
     if not most:
-        return out
-    keys = (
-        "transform(p, x -> xxhash64(x))",
-        "flatten(transform(p, (x, i) -> transform(slice(p, i + 2, 64), y -> xxhash64(x, y))))",
-        "flatten(flatten(transform(p, (x, i) -> transform(slice(p, i + 2, 64), (y, j) -> transform(slice(p, i + j + 3, 64), z -> xxhash64(x, y, z))))))",
-    )
-    # a pair meets by as many grams as the larger set must share, three at most; a set that must share fewer is there for its larger partners
-    parts = []
-    for k, one in enumerate(keys, 1):
-        some = ranked.where((F.col("n") <= most) & (F.col("n") >= k) & (F.least(need, F.lit(len(keys))) <= k))
-        some = some.withColumn("p", F.slice("g", F.lit(1), F.col("n") - F.greatest(need, F.lit(k)) + k))
-        parts.append(some.select("value", "n", "g", need.alias("need"), F.lit(k).alias("k"), F.explode(F.expr(one)).alias("key")))
-    index = reduce(DataFrame.unionByName, parts)
-    side = lambda c: index.select("k", "key", F.col("value").alias(c), *(F.col(x).alias(f"{x}{c}") for x in ("n", "g", "need")))
-    met = side("a").join(side("b"), ["k", "key"]).where((F.col("a") < F.col("b")) & sizes & (F.least(F.greatest("needa", "needb"), F.lit(len(keys))) == F.col("k")))
-    return out.unionByName(met.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least).distinct())
+        of = lambda c: ranked.select(F.col("value").alias(c), F.col("g").alias(f"g{c}"))
+        pairs = met.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
+        return pairs.withColumn("similarity", similarity).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    out = met.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least).distinct()
+    keys = known.count() * KEYS_EACH
+    tasks = max(1, -(-keys // KEYS), min(4 * spark.sparkContext.defaultParallelism, keys // FEW_KEYS))
+    dealt = known.select("value", F.lower("value").alias("lower")).repartition(tasks, F.xxhash64("value"))  # files of values may be few and of any size
+    blocks = dealt.mapInArrow(alike.keys(least, tasks), alike.SCHEMA)
+    return out.unionByName(blocks.groupBy("task").applyInArrow(alike.met(least), "a string, b string, similarity double"))
 
 
 def similar_values_lsh(values: DataFrame, least: float = 0.3, bands: int = 63, rows: int = 2) -> DataFrame:
