@@ -75,7 +75,7 @@ def test_alike_by_parts(spark):
     blocks = pa.Table.from_batches(alike.keys(0.75, 5)([pa.RecordBatch.from_pydict({"value": v, "lower": w}) for v, w in ((upper[:99], words[:99]), (upper[99:], words[99:]))]))
     for task in range(5):
         own = blocks.filter(pa.array(blocks["task"].to_numpy() == task))
-        keys = np.concatenate([pa.ipc.read_record_batch(x.as_buffer(), alike.ROW)["key"].to_numpy() for x in own["rows"]])
+        keys = alike.unpacked(own["rows"])["key"].to_numpy()
         met += sum(n * (n - 1) // 2 for n in np.unique(keys, return_counts=True)[1].tolist())
         found += alike.met(0.75)(own).to_pylist()
     lower = [tuple(sorted((x["a"].lower(), x["b"].lower()))) for x in found]

@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 
 #: Grams of a set at most; values whose keys, and pairs that are compared, are held at once; what fills rows of grams up.
 MOST, VALUES, PAIRS, NONE = 24, 40_000, 100_000, np.iinfo(np.int64).max
-#: Of a value and a choice of parts; `lower` only where it differs from the value. Rows go in blocks, one for each task, as a row by itself costs the shuffle more than what it holds.
-ROW = pa.schema({"key": pa.uint64(), "choice": pa.int32(), "bits": pa.uint64(), "n": pa.int8(), "value": pa.string(), "lower": pa.string()})
+#: Of a value and a choice of parts; `lower` only where it differs from the value. Rows go in compressed blocks, one for each task, as a row by itself costs the shuffle far more than what it holds.
+ROW = pa.schema({"key": pa.uint32(), "choice": pa.int16(), "value": pa.string(), "lower": pa.string()})
 SCHEMA = "task int, rows binary"
 
 
@@ -85,13 +85,13 @@ def keys(least: float, tasks: int):
     of, parts = layouts(least)
     within = {x: (of == x).any(1) for x in parts}
 
-    def keyed(b: pa.Table) -> pa.Table:
+    def keyed(b: pa.Table) -> tuple[np.ndarray, pa.Table]:
+        """The task of each row, in order, and the rows."""
         code, ends = grams(b["lower"].to_pylist())
         n = np.diff(ends)
         keep = np.flatnonzero(n <= MOST)
         hashes = _mixed(code)
-        bits = np.bitwise_or.reduceat(np.uint64(1) << (hashes >> np.uint64(58)), ends[:-1])
-        row, key, choice = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+        row, key, choice = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int16)]
         for x, (p, choices) in parts.items():
             rows = keep[within[x][n[keep]]]
             part = (hashes >> np.uint64(20)) % np.uint64(p)
@@ -99,22 +99,21 @@ def keys(least: float, tasks: int):
             for c, chosen in enumerate(choices):
                 row.append(rows)
                 key.append(_mixed(sum((sums[j] for j in chosen), np.zeros(len(rows), np.uint64)) + np.uint64(x * 1000 + c)))
-                choice.append(np.full(len(rows), x * 1000 + c, np.int32))
+                choice.append(np.full(len(rows), x * 1000 + c, np.int16))
         row, key, choice = np.concatenate(row), np.concatenate(key), np.concatenate(choice)
-        order = np.argsort(_task(key, tasks), kind="stable")
-        row, key, choice = row[order], key[order], choice[order]
+        task = ((key >> np.uint64(3)) % np.uint64(tasks)).astype(np.int32)
+        order = np.argsort(task, kind="stable")
+        row, key, choice = row[order], (key[order] >> np.uint64(32)).astype(np.uint32), choice[order]
         b = b.take(pa.array(row)).combine_chunks()
         other = pc.if_else(pc.equal(b["value"], b["lower"]), pa.scalar(None, pa.string()), b["lower"])
-        return pa.table([pa.array(key), pa.array(choice), pa.array(bits[row]), pa.array(n[row].astype(np.int8)), b["value"], other], schema=ROW)
+        return task[order], pa.table([pa.array(key), pa.array(choice), b["value"], other], schema=ROW)
 
     def run(batches):
         for table in gathered(batches):
-            rows = keyed(table).combine_chunks().to_batches()
-            for b in rows:
-                task = _task(b["key"].to_numpy(), tasks)
-                first = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
-                blocks = [b.slice(x, y - x).serialize().to_pybytes() for x, y in zip(first.tolist(), [*first[1:].tolist(), len(task)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(task[first], pa.int32()), pa.array(blocks, pa.binary())], names=["task", "rows"])
+            task, rows = keyed(table)
+            first = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]])[: len(task)])
+            blocks = [_packed(rows.slice(x, y - x)) for x, y in zip(first.tolist(), [*first[1:].tolist(), len(task)], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(task[first], pa.int32()), pa.array(blocks, pa.binary())], names=["task", "rows"])
 
     def gathered(batches):
         held = []
@@ -129,8 +128,15 @@ def keys(least: float, tasks: int):
     return run
 
 
-def _task(key: np.ndarray, tasks: int) -> np.ndarray:
-    return ((key >> np.uint64(3)) % np.uint64(tasks)).astype(np.int32)
+def _packed(rows: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, ROW, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(rows)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(blocks) -> pa.Table:
+    return pa.concat_tables([ROW.empty_table(), *(pa.ipc.open_stream(x.as_buffer()).read_all() for x in blocks)])
 
 
 def met(least: float):
@@ -168,7 +174,7 @@ def met(least: float):
         return pa.table({"a": pa.array([v[0] for v in pairs], pa.string()), "b": pa.array([v[1] for v in pairs], pa.string()), "similarity": pa.array(similarity, pa.float64())})
 
     def run(blocks: pa.Table) -> pa.Table:
-        table = pa.Table.from_batches([pa.ipc.read_record_batch(x.as_buffer(), ROW) for c in blocks["rows"].chunks for x in c], ROW)
+        table = unpacked(x for c in blocks["rows"].chunks for x in c)
         key = table["key"].to_numpy()
         order = np.argsort(key, kind="stable")
         key = key[order]
@@ -177,8 +183,13 @@ def met(least: float):
         twin[:-1] |= twin[1:]
         order, key = order[twin], key[twin]
         some = table.take(pa.array(order))
-        choice, bits, n = some["choice"].to_numpy(), some["bits"].to_numpy(), some["n"].to_numpy().astype(int)
+        choice = some["choice"].to_numpy().astype(int)
         value, lower = some["value"].to_pylist(), pc.coalesce(some["lower"], some["value"]).to_pylist()
+        n, bits = np.zeros(len(key), int), np.zeros(len(key), np.uint64)
+        for x in range(0, len(key), PAIRS):
+            code, ends = grams(lower[x : x + PAIRS])
+            n[x : x + PAIRS] = np.diff(ends)
+            bits[x : x + PAIRS] = np.bitwise_or.reduceat(np.uint64(1) << (_mixed(code) >> np.uint64(58)), ends[:-1])
         out, held, lag, i = [], [], 1, np.arange(len(key))
         while True:
             i = i[: np.searchsorted(i, len(key) - lag)]
